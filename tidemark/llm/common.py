@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.workers import ship_package  # noqa: F401  (the operators take it from here)
+
 #: White space of the contracts: space and \t \n \v \f \r.
 SPACE = " \\t-\\r"
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application, so that it need not be installed there."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(top):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    whole = os.path.join(folder, f)
-                    z.write(whole, os.path.relpath(whole, os.path.dirname(top)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share; a temporary one only where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
