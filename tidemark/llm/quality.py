@@ -97,13 +97,13 @@ def votes(m: DataFrame) -> dict[str, Column]:
     }
 
 
-def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, good_share: float = 0.9, accuracy: float = 0.9, anchor: float = 0.02) -> dict:
+def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, good_share: float = 0.9, accuracy: float = 0.9, anchor: float = 0.02, n_rules: int | None = None) -> dict:
     """EM for conditionally independent voters from (votes, count) of all patterns.
 
     Parameters per rule are P(vote | good) and P(vote | bad) over the three votes. A prior worth ``anchor`` of all
     rows holds them near a voter of the given starting accuracy, so that ``good`` and ``bad`` keep their meaning.
     """
-    n_rules = len(patterns[0][0]) if patterns else 0
+    n_rules = len(patterns[0][0]) if patterns else n_rules or 0
     total = sum(c for _, c in patterns)
     share = good_share
     say = [{y: {v: (0.2 if v == 0 else 0.8 * (accuracy if v == y else 1 - accuracy)) for v in (-1, 0, 1)} for y in (1, -1)} for _ in range(n_rules)]
@@ -144,7 +144,7 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     names = [f"vote_{k}" for k in rules]
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     patterns = [(tuple(r[x] for x in names), r["count"]) for r in cast.where(~failed).groupBy(*names).count().orderBy(*names).collect()]
-    model = fit_label_model(patterns)
+    model = fit_label_model(patterns, n_rules=len(names))
     odds = F.lit(math.log(model["share"]) - math.log(1 - model["share"]))
     for name, say in zip(names, model["say"], strict=True):
         weight = {x: math.log(say[1][x]) - math.log(say[-1][x]) for x in (-1, 0, 1)}
