@@ -139,3 +139,43 @@ def test_quality_helpers(spark):
         check_factor(df)
     with pytest.raises(ContractError):
         quarantine(df, {"low": F.col("value") < 5}, least=1)
+
+
+def test_factor_engine(spark, tmp_path):
+    from tidemark.errors import CacheMissError, FactorError, FutureDataError
+    from tidemark.operators.engine import Factor, FactorEngine
+
+    bars = spark.createDataFrame([(1, d, float(k + 1)) for k, d in enumerate(D)], "i long, d date, close double")
+    calls = []
+
+    def ret(context, needed):
+        calls.append(context.start)
+        return fac.two_point_return(context.bars, 2)
+
+    base = Factor("ret", ret, lookback=2)
+    twice = Factor("twice", lambda c, needed: needed[0].withColumn("value", F.col("value") * 2), needs=(base,))
+    engine = FactorEngine(spark, bars, D, "f", str(tmp_path))
+    got = engine.compute(twice, D[10], D[20])
+    assert got.count() == 11 and math.isclose(got.where(F.col("d") == F.lit(D[10])).first().value, 2 * (11 / 9 - 1))
+    n = len(calls)
+    assert engine.compute(twice, D[10], D[20]).count() == 11 and len(calls) == n
+    assert engine.compute(twice, D[12], D[15], cutoff=D[20]).count() == 4 and len(calls) == n
+    with pytest.raises(CacheMissError):
+        engine.compute(twice, D[5], D[6], policy="require")
+    with pytest.raises(FutureDataError):
+        engine.compute(twice, D[5], D[6], cutoff=D[5])
+    with pytest.raises(FactorError):
+        engine.compute(Factor("x", ret, needs=(Factor("ret", ret, version="2"), base)), D[5], D[6])
+    assert engine.purge([]) == 2
+
+
+def test_run_folder(spark, tmp_path):
+    import os
+
+    from tidemark.operators.report import write_run
+
+    rows = [(1, *r) for r in bt.simulate({d: {1: bar(10.0)} for d in D[:3]}, {D[0]: {1: 0.5}}, {}, {}, bt.Rules())]
+    df = spark.createDataFrame(rows, bt.LEDGER)
+    folder = write_run(df, {"total_return": 0.0}, {}, str(tmp_path / "run"))
+    assert spark.read.parquet(os.path.join(folder, "nav")).count() == 3 and "Account" in open(os.path.join(folder, "report.html")).read()
+    assert bt.reconcile(df, {1: bt.Rules().cash}).count() == 0

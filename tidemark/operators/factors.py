@@ -14,22 +14,24 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import positive_log
 from tidemark.functions.windows import change, median, rolling, series
 
-BY_DAY = series("i", "d")
+def by_day():
+    """The rows of one instrument by day; made on use, for a window needs a session."""
+    return series("i", "d")
 
 
 def two_point_return(bars: DataFrame, n: int) -> DataFrame:
-    return bars.select("d", "i", change(F.col("close"), n, BY_DAY).alias("value")).where("value is not null")
+    return bars.select("d", "i", change(F.col("close"), n, by_day()).alias("value")).where("value is not null")
 
 
 def momentum_top(bars: DataFrame, n: int, k: int) -> DataFrame:
     """The ``k`` largest ``n``-row returns of each day."""
-    ret = bars.select("d", "i", F.round(change(F.col("close"), n, BY_DAY), 6).alias("ret")).where("ret is not null")
+    ret = bars.select("d", "i", F.round(change(F.col("close"), n, by_day()), 6).alias("ret")).where("ret is not null")
     place = F.row_number().over(W.partitionBy("d").orderBy(F.desc("ret"), "i"))
     return ret.withColumn("n", place).where(F.col("n") <= k).drop("n")
 
 
 def median_amount(bars: DataFrame, n: int) -> DataFrame:
-    return bars.select("d", "i", rolling(median, F.col("amount"), n, BY_DAY).alias("value")).where("value is not null")
+    return bars.select("d", "i", rolling(median, F.col("amount"), n, by_day()).alias("value")).where("value is not null")
 
 
 def composite(parts: list[tuple[DataFrame, float]]) -> DataFrame:

@@ -8,6 +8,7 @@ import json
 import math
 import random
 import sqlite3
+import threading
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -51,6 +52,7 @@ class Store:
 
     def __init__(self, path: str):
         self.db = sqlite3.connect(path, check_same_thread=False)
+        self.lock = threading.RLock()  # one connection serves all trial threads
         self.db.executescript(
             """create table if not exists runs (id text primary key, kind text, fingerprint text, status text, note text);
             create table if not exists params (run text, name text, value text, primary key (run, name));
@@ -84,11 +86,12 @@ class Store:
         return out
 
     def trial(self, search: str, key: str) -> dict | None:
-        row = self.db.execute("select metrics from trials where search = ? and key = ? and status = 'done'", (search, key)).fetchone()
+        with self.lock:
+            row = self.db.execute("select metrics from trials where search = ? and key = ? and status = 'done'", (search, key)).fetchone()
         return row and json.loads(row[0])
 
     def save_trial(self, search: str, key: str, params: dict, metrics: dict | None, status: str) -> None:
-        with self.db:
+        with self.lock, self.db:
             self.db.execute("insert or replace into trials values (?, ?, ?, ?, ?)", (search, key, json.dumps(params, sort_keys=True), json.dumps(metrics), status))
 
 

@@ -14,12 +14,14 @@ from tidemark.functions.scalar import ratio
 from tidemark.functions.windows import change, ewm, lag_by, rolling, rolling_corr, series, streak
 from tidemark.operators.factors import trend
 
-BY_DAY = series("i", "d")
+def by_day():
+    """The rows of one instrument by day; made on use, for a window needs a session."""
+    return series("i", "d")
 YEAR = 252.0
 
 
 def _trend(rows: DataFrame, n: int, name: str) -> DataFrame:
-    frame = BY_DAY.rowsBetween(-(n - 1), 0)
+    frame = by_day().rowsBetween(-(n - 1), 0)
     closes = F.collect_list("close").over(frame)
     t = F.when(F.size(F.col("__c")) == n, trend(F.col("__c"), n))
     return rows.withColumn("__c", closes).withColumn("__t", t).withColumn(f"{name}slope", F.col("__t.slope")).withColumn(f"{name}r2", F.col("__t.r2")).drop("__c", "__t")
@@ -27,7 +29,7 @@ def _trend(rows: DataFrame, n: int, name: str) -> DataFrame:
 
 def _drop_flag(c: Column) -> Column:
     """A recent fall: 5 % on one of the last three days, or over the last two or four of them."""
-    w = BY_DAY
+    w = by_day()
     one = [lag_by(c, k, w) / lag_by(c, k + 1, w) < 0.95 for k in range(3)]
     rule = F.coalesce(one[0], F.lit(False)) | F.coalesce(one[1], F.lit(False)) | F.coalesce(one[2], F.lit(False))
     return rule | F.coalesce(c / lag_by(c, 2, w) < 0.95, F.lit(False)) | F.coalesce(c / lag_by(c, 4, w) < 0.95, F.lit(False))
@@ -36,7 +38,7 @@ def _drop_flag(c: Column) -> Column:
 def features(bars: DataFrame) -> DataFrame:
     """(d, i, features...) for active bars."""
     c, o, h, l, v, a = (F.col(x) for x in ("close", "open", "high", "low", "volume", "amount"))
-    w = BY_DAY
+    w = by_day()
     rows = bars.where(~F.col("paused")).withColumn("ret", change(c, 1, w)).withColumn("lv", F.ln(1 + v))
     rows = rows.withColumn("dlv", F.col("lv") - F.lag("lv").over(w)).withColumn("prev", F.lag("close").over(w))
     rows = rows.withColumn("tr", F.when(F.col("prev").isNotNull(), F.greatest(h - l, F.abs(h - F.col("prev")), F.abs(l - F.col("prev")))))
@@ -110,7 +112,7 @@ def _drawdown(closes: Column) -> Column:
 
 def decay_days(rows: DataFrame, cap: int = 3) -> DataFrame:
     """Adds for how many scores in a row the score fell, at most ``cap``; null scores neither count nor reset."""
-    w = BY_DAY
+    w = by_day()
     known = W.partitionBy("i", F.col("score").isNull()).orderBy("d")
     fell = F.when(F.col("score").isNotNull(), F.coalesce(F.col("score") < F.lag("score").over(known), F.lit(False)))
     marked = rows.withColumn("__fell", fell)
