@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship_package
+from tidemark.llm.common import hash_sample, map_batches, ship_package
 
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
 #: Python counts these as white space, Unicode and the library do not.
@@ -233,18 +233,19 @@ class Codec:
         return b"".join(map(token, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def frequent_chunks(docs: DataFrame, text: Column, sample: int, size: int) -> list[str]:
-    """The most frequent chunks of at most ``sample`` rows, those with the smallest hashes of their texts."""
-    rows = docs.select(text.alias("text")).where("text is not null").orderBy(F.xxhash64("text"), "text").limit(sample)
+def frequent_chunks(docs: DataFrame, text_col: str, sample: int, size: int) -> list[str]:
+    """The most frequent chunks of at most ``sample`` rows, chosen by the hashes of their plain columns."""
+    plain = [f.name for f in docs.schema if isinstance(f.dataType, (T.StringType, T.LongType, T.IntegerType))]
+    rows = hash_sample(docs.where(F.col(f"`{text_col}`").isNotNull()), sample, *plain).select(F.col(f"`{text_col}`").alias("text"))
     counts: Counter[str] = Counter()
     for r in rows.toLocalIterator():
         counts.update(CHUNK.findall(r.text))
     return [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size] if "\x00" not in w]
 
 
-def ship_lexicon(docs: DataFrame, text: Column, vocabulary: str, sample: int = 400, size: int = 30_000) -> str:
+def ship_lexicon(docs: DataFrame, text_col: str, vocabulary: str, sample: int = 400, size: int = 30_000) -> str:
     """Builds the lexicon on the driver and adds its file to the job; the file's name."""
-    words = frequent_chunks(docs, text, sample, size)
+    words = frequent_chunks(docs, text_col, sample, size)
     ids = [np.frombuffer(x, "<u4").tolist() for x in Merger(vocabulary).ids(words)] if words else []
     fd, path = tempfile.mkstemp(suffix=".lexicon")
     os.close(fd)
@@ -273,36 +274,39 @@ REPORT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("i
 
 
 def encode_column(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", sample: int = 400, size: int = 30_000) -> DataFrame:
-    """``docs`` with the ids of each text as binary (little-endian unsigned 32-bit) in ``ids_col``."""
-    name = ship_lexicon(docs, F.col(f"`{text_col}`"), vocabulary, sample, size)
+    """``docs`` with the ids of each text as binary (little-endian unsigned 32-bit) in ``ids_col``, which replaces any
+    column of that name."""
+    docs = docs.drop(ids_col)
+    at = docs.columns.index(text_col)
+    name = ship_lexicon(docs, text_col, vocabulary, sample, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary, name)
         for b in batches:
-            texts = [x or "" for x in b.column(b.schema.get_field_index(text_col)).to_pylist()]
-            ids = pa.array(coder.encode(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
+            ids = pa.array(coder.encode([x or "" for x in b.column(at).to_pylist()]), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, ids], [f"c{k}" for k in range(b.num_columns + 1)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.BinaryType())]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.BinaryType())]))
 
 
 def decode_column(rows: DataFrame, vocabulary: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of the ids in ``text_col``; null ids decode to null."""
+    rows = rows.drop(text_col)
+    at = rows.columns.index(ids_col)
     ship_package(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary, None)
         for b in batches:
-            ids = b.column(b.schema.get_field_index(ids_col)).to_pylist()
-            text = pa.array([None if x is None else coder.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, text], [*b.schema.names, text_col])
+            text = pa.array([None if x is None else coder.decode(x) for x in b.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, text], [f"c{k}" for k in range(b.num_columns + 1)])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
+    return map_batches(rows, run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def bpe_report(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", sample: int = 400, size: int = 30_000) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of what the codec encodes and decodes, one row per row."""
-    name = ship_lexicon(docs, F.col(f"`{text_col}`"), vocabulary, sample, size)
+    name = ship_lexicon(docs, text_col, vocabulary, sample, size)
     base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.workers import ship_package  # noqa: F401  (the operators take it from here)
 
@@ -52,6 +53,26 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]++")), F.lit(0)).cast("long")
 
 
+def map_batches(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any names; ``run`` goes by positions, not by names."""
+    names = [f.name for f in schema]
+    plain = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema)])
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, plain).toDF(*names)
+
+
+def hash_sample(rows: DataFrame, k: int, *keys: str) -> DataFrame:
+    """At most ``k`` rows of ``rows``: those with the smallest hashes of ``keys``, the same in every run.
+
+    Rows are first thinned by hash to about ``4 * k`` in all, so what meets to be ordered does not grow with the
+    number of partitions. ``keys`` should tell rows apart.
+    """
+    n = rows.count()
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in keys])
+    if n > 4 * k:
+        rows = rows.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 4 * k / n))
+    return rows.orderBy(h, *[F.col(f"`{c}`") for c in keys]).limit(k)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, hot: int) -> DataFrame:
     """Inner join of many rows of ``left`` with one row of ``right`` per ``key``, even where one key holds a third of ``left``.
 

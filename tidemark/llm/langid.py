@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship_package
+from tidemark.llm.common import hash_sample, map_batches, ship_package
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -122,8 +122,8 @@ def train(rows: list[tuple[str, str]], bits: int = 16, width: int = 16, epochs:
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 1500, **how) -> Model:
     """Trains on at most ``sample`` labelled rows that are not held out."""
     rows = docs.where((remainder(id_col) != 0) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    rows = rows.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
-    few = rows.orderBy(F.xxhash64("text"), "text", "lang").limit(sample).collect()
+    rows = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    few = hash_sample(rows, sample, "id").collect()
     return train([(r.text, r.lang) for r in few], **how)
 
 
@@ -131,18 +131,20 @@ OUT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.Doub
 
 
 def predict_languages(rows: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
-    """``rows`` with the language, its calibrated probability and whether it is rejected."""
+    """``rows`` with the language, its calibrated probability and whether it is rejected; columns of those ``names`` are replaced."""
+    rows = rows.drop(*names)
+    at = rows.columns.index(text_col)
     ship_package(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = sent.value.predict(b.column(b.schema.get_field_index(text_col)).to_pylist())
+            found = sent.value.predict(b.column(at).to_pylist())
             made = [pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [f"c{k}" for k in range(b.num_columns + 3)])
 
     fields = [T.StructField(n, f.dataType) for n, f in zip(names, OUT, strict=True)]
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *fields]))
+    return map_batches(rows, run, T.StructType([*rows.schema.fields, *fields]))
 
 
 def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
@@ -155,12 +157,13 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_identified(docs: DataFrame, text_col: str = "text", model: Model | None = None, **how) -> DataFrame:
     """The rows of ``docs`` whose language is not rejected, with their columns unchanged."""
     model = model or fit_language_model(docs, text_col=text_col, **how)
+    at = docs.columns.index(text_col)
     ship_package(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, _, rejected = sent.value.predict(b.column(b.schema.get_field_index(text_col)).to_pylist())
+            _, _, rejected = sent.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([not x for x in rejected], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -25,11 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ship_package
+from tidemark.llm.common import hash_sample, ship_package
 from tidemark.llm.langid import remainder
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -169,8 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Builds the model from at most ``per_class`` rows of each label that are not held out."""
     marked = labels.where(remainder(id_col) != 0).where(F.col(f"`{label_col}`").isin(0, 1)).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     n = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
-    first = W.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    few = marked.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_class).drop("nth")
+    few = hash_sample(marked.where("y = 0"), per_class, "id").unionByName(hash_sample(marked.where("y = 1"), per_class, "id"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(few), "id").orderBy("id", "y", "text").collect()  # at most 2 * per_class rows
     total = sum(n.values()) or 1
