@@ -11,7 +11,8 @@ is lost and no signature is shared by chance emptiness.
 Sets with one content form a class; only one set per large class signs. Within a signature, every set is paired with
 the smallest id that shares it, not with all others. Verified pairs give groups; only where a signature still spans
 several groups are the pairs between groups checked too, so every link between different sets is either seen or
-implied, and a signature that thousands of near copies share costs one pair for each. A 256-bit parity sketch bounds
+implied, and a signature that thousands of near copies share costs one pair for each. Each set meets the smallest of
+its pivots first. A parity sketch bounds
 the difference of two sets from below and discards most false pairs inside the join; the rest are verified on the
 sets themselves, computed anew from the texts.
 
@@ -114,13 +115,15 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Four 64-bit words: for each of 256 buckets, whether it holds an odd number of elements."""
-    at = np.bincount((mix64(s + M1) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(at.astype(np.uint8), bitorder="little").view("<i8")
+#: Words of 64 bits in a parity sketch.
+WIDTH = 16
+PARITY = tuple(f"p{k}" for k in range(WIDTH))
 
 
-PARITY = ("p0", "p1", "p2", "p3")
+def parity(s: np.ndarray) -> np.ndarray:
+    """For each of 64 * WIDTH buckets, whether it holds an odd number of elements, as 64-bit words."""
+    at = np.bincount((mix64(s + M1) >> np.uint64(64 - (64 * WIDTH).bit_length() + 1)).astype(np.int64), minlength=64 * WIDTH) & 1
+    return np.packbits(at.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
@@ -130,14 +133,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.R
 
 
 def set_facts(base: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, digest, p0..p3) of rows (id, text)."""
+    """(id, n_shingles, digest, parity words) of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
             sets = shingle_sets(b.column(1).to_pylist(), n)
-            odd = np.array([parity(s) for s in sets]).reshape(-1, 4)
+            odd = np.array([parity(s) for s in sets]).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary()), *[pa.array(odd[:, k].astype(np.int64)) for k in range(4)]],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary()), *[pa.array(odd[:, k].astype(np.int64)) for k in range(WIDTH)]],
                 ["id", "n_shingles", "digest", *PARITY],
             )
 
@@ -162,33 +165,43 @@ def signed(base: DataFrame, n: int, percent: int, skip: dict[bytes, int]) -> Dat
 
 
 def verified(pairs: DataFrame, base: DataFrame, n: int, percent: int, small: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, with the sets computed from the texts of the documents involved.
+    """The pairs (a, b) whose sets link; ``a`` is the pivot that several ``b`` may share.
 
-    Up to ``small`` documents involved are a broadcast list; more meet their texts in a shuffle.
+    Sets are computed from the texts of the documents involved and travel once per pair, to their pivot; a pivot with
+    many partners is met in several places, each with a share of them. Up to ``small`` rows of wanted documents are a
+    broadcast list; more meet their texts in a shuffle.
     """
-    involved = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    count = involved.count()
-    rows = base.join(F.broadcast(involved) if count <= small else involved, "id", "left_semi")
+    share = 500
+    met = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / share).cast("int").alias("places"))
+    partners = pairs.join(met, "a").select(F.col("b").alias("id"), F.col("a").alias("at"), F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("side"))
+    pivots = met.select(F.col("a").alias("id"), F.col("a").alias("at"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("side"))
+    wanted = cut(partners.unionByName(pivots))
+    count = wanted.count()
+    rows = base.join(F.broadcast(wanted) if count <= small else wanted, "id").select("id", "at", "place", "side", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _chunks(batches):
-            found = shingle_sets(b.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "elements"])
+            found = shingle_sets(b.column(4).to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([s.tobytes() for s in found], pa.binary())], ["id", "at", "place", "side", "elements"])
 
-    have = rows.mapInArrow(sets, "id long, elements binary")
+    dealt = rows.mapInArrow(sets, "id long, at long, place int, side int, elements binary").repartition(n_partitions(base.sparkSession), "at", "place").sortWithinPartitions("at", "place", "side")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, x = None, None
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            left, right = [], []
+            for doc, at, side, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+                y = np.frombuffer(e.as_buffer(), np.uint64)
+                if side == 0:
+                    pivot, x = at, y.copy()
+                elif pivot == at:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        left.append(at)
+                        right.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    left = pairs.join(have.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
-    both = left.join(have.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return dealt.mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,22 +264,39 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         y = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), *[F.col(p).alias("b" + p) for p in PARITY])
         return pairs.join(x, "a").join(y, "b").where(_may_link(percent)).select("a", "b")
 
+    def grouped(links: DataFrame) -> DataFrame:
+        """(id, class_id, group) of all documents with a set."""
+        groups = components(links).withColumnRenamed("id", "class_id")
+        return cut(ids.join(groups, "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("group")))
+
+    def apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
+        """The pairs whose ends are still in different groups."""
+        own = named.where("id = class_id")
+        x, y = own.select(F.col("id").alias("a"), F.col("group").alias("ga")), own.select(F.col("id").alias("b"), F.col("group").alias("gb"))
+        return pairs.join(x, "a").join(y, "b").where("ga <> gb").select("a", "b")
+
     tried = cut(bounded(stars))
-    links = cut(verified(tried, base, shingle, percent, small))
-    groups = components(links)
-    named = cut(ids.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("group")))
+    # One pivot per set settles most groups; only pairs that it leaves apart are checked after it.
+    links = cut(verified(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), base, shingle, percent, small))
+    named = grouped(links)
+    later = cut(apart(tried.join(tried.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti"), named))
+    if not later.isEmpty():
+        links = cut(links.unionByName(verified(later, base, shingle, percent, small)))
+        named = grouped(links)
     # Signatures that still span several groups: check the pairs between groups.
     spread = shared.select("sig", "id").join(named, "id").select("sig", "class_id", "group").distinct()
     open_sigs = spread.groupBy("sig").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("sig")
-    rest = cut(spread.join(open_sigs, "sig", "left_semi").join(reps.withColumnRenamed("id", "class_id"), "class_id"))
+    rest = cut(spread.join(open_sigs, "sig", "left_semi"))
     if not rest.isEmpty():
-        x = rest.select("sig", F.col("class_id").alias("a"), F.col("group").alias("ga"), F.col("n_shingles").alias("na"), *[F.col(p).alias("a" + p) for p in PARITY])
-        y = rest.select(F.col("sig").alias("sig_b"), F.col("class_id").alias("b"), F.col("group").alias("gb"), F.col("n_shingles").alias("nb"), *[F.col(p).alias("b" + p) for p in PARITY])
-        pairs = x.join(y, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_link(percent)).select("a", "b").distinct()
+        facts_of = cut(rest.select("class_id").distinct().join(reps.withColumnRenamed("id", "class_id"), "class_id"))
+        told = F.broadcast(facts_of) if facts_of.count() <= small else facts_of
+        x, y = rest.select("sig", F.col("class_id").alias("a"), F.col("group").alias("ga")), rest.select(F.col("sig").alias("sig_b"), F.col("class_id").alias("b"), F.col("group").alias("gb"))
+        side = lambda k: told.select(F.col("class_id").alias(k), F.col("n_shingles").alias("n" + k), *[F.col(p).alias(k + p) for p in PARITY])
+        met = x.join(y, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b")
+        pairs = met.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b").distinct()
         extra = cut(verified(cut(pairs.join(tried, ["a", "b"], "left_anti")), base, shingle, percent, small))
         if not extra.isEmpty():
-            groups = components(links.unionByName(extra))
-            named = ids.join(groups.withColumnRenamed("id", "class_id"), "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("group"))
+            named = grouped(links.unionByName(extra))
     out = facts.select("id", "n_shingles").join(named, "id", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("group", "id").alias("component_id"))
 
