@@ -65,9 +65,11 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     # score and steps cover the message itself and all ancestors below ``up``.
     levels = [cut(nodes)]
     while not levels[-1].where("up is not null").isEmpty():
-        low, high = levels[-1].alias("a"), levels[-1].alias("b")
-        both = low.join(high, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")), "left")
-        levels.append(cut(both.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.score") + F.coalesce("b.score", F.lit(0.0))).alias("score"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"))))
+        # Only messages that have not reached their root go on; the others are carried over as they are.
+        low, high = levels[-1].where("up is not null").alias("a"), levels[-1].alias("b")
+        both = low.join(high, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")))
+        longer = both.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.steps") + F.col("b.steps")).alias("steps"))
+        levels.append(cut(longer.unionByName(levels[-1].where("up is null"))))
     whole = levels[-1]
     inner = levels[0].where("up is not null").select("tree", F.col("up").alias("id")).distinct()
     leaves = whole.join(inner, ["tree", "id"], "left_anti")
