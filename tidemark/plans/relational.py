@@ -176,7 +176,7 @@ def join_13(spark, sf_dir):
 def join_14(spark, sf_dir):
     from tidemark.operators.intervals import expand_sessions
 
-    halts = membership(spark, sf_dir).where(F.col("end").isNotNull() & (F.col("id") % 20 == 0))
+    halts = membership(spark, sf_dir).where(F.col("end").isNotNull())
     return expand_sessions(halts, calendar(spark, sf_dir), "start", "end").select("id", "d")
 
 
