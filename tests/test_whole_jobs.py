@@ -65,3 +65,41 @@ def test_every_closed_interval_is_expanded(spark, market):
 def test_expansion_holds_what_the_sql_covers(spark):
     got = catalog.QUERIES["join_14_range_expansion"](spark, SF).where("id % 20 = 0").toPandas()
     assert plain(got, "id", "d") == plain(of_sql("join_14_range_expansion"), "id", "d")
+
+
+def industry_of(spark, folder):
+    """The industry of an instrument on a day: of the intervals that hold it, the latest start wins."""
+    held = views.membership(spark, folder).collect()
+
+    def find(i, d):
+        found = [(m.start, m.industry) for m in held if m.i == i and m.start <= d and (m.end is None or m.end >= d)]
+        return max(found)[1] if found else "UNKNOWN"
+
+    return find
+
+
+def test_industries_of_all_days(spark, market):
+    got = catalog.QUERIES["join_08_interval_join"](spark, market).collect()
+    find = industry_of(spark, market)
+    want = sorted((b.i, b.d, find(b.i, b.d)) for b in views.bars(spark, market).collect())
+    assert sorted((r.i, r.d, r.industry) for r in got) == want
+    assert min(d for _, d, _ in want).year == 1996 and len({x for _, _, x in want}) == 5
+
+
+def test_industry_pnl_of_all_days(spark, market):
+    got = {(r.d, r.industry): r.pnl for r in catalog.QUERIES["ana_06_industry_pnl"](spark, market).collect()}
+    find, last, want = industry_of(spark, market), {}, {}
+    for b in sorted(views.bars(spark, market).collect(), key=lambda b: (b.i, b.d)):
+        volume, close = last.get(b.i, (0.0, 0.0))
+        key = (b.d, find(b.i, b.d))
+        want[key] = want.get(key, 0.0) + volume * (b.close - close)
+        last[b.i] = (b.volume, b.close)
+    assert got.keys() == want.keys() and min(got)[0].year == 1996
+    assert all(abs(got[k] - want[k]) < 2e-3 for k in want)
+
+
+@needs_tables
+@pytest.mark.parametrize("name, columns", [("join_08_interval_join", "i d industry"), ("ana_06_industry_pnl", "d industry pnl")])
+def test_industries_hold_what_the_sql_covers(spark, name, columns):
+    got = catalog.QUERIES[name](spark, SF).where("d >= '2001-01-01'").toPandas()
+    assert plain(got, *columns.split()) == plain(of_sql(name), *columns.split())

@@ -126,7 +126,7 @@ def join_07(spark, sf_dir):
 @query("join_08_interval_join", with_views("""SELECT i, d, coalesce(industry, 'UNKNOWN') AS industry FROM (SELECT b.i, b.d, m.industry, row_number() OVER (PARTITION BY b.i, b.d ORDER BY m.start DESC NULLS LAST, m.industry DESC) AS n
 FROM (SELECT i, d FROM bars WHERE d >= DATE '2001-01-01') b LEFT JOIN membership m ON b.i = m.i AND m.start <= b.d AND (m."end" IS NULL OR m."end" >= b.d)) WHERE n = 1""", BARS, MEMBERSHIP))
 def join_08(spark, sf_dir):
-    days = bars(spark, sf_dir).where("d >= '2001-01-01'").select("i", "d")
+    days = bars(spark, sf_dir).select("i", "d")
     return interval_join(days, membership(spark, sf_dir), ["i"], "d", "start", "end", ["industry"], {"industry": "UNKNOWN"})
 
 

@@ -263,7 +263,7 @@ j AS (SELECT p.i, p.d, p.pnl, m.industry, row_number() OVER (PARTITION BY p.i, p
 SELECT d, coalesce(industry, 'UNKNOWN') AS industry, round(sum(pnl) + 1e-6, 3) AS pnl FROM j WHERE n = 1 GROUP BY 1, 2""", BARS, MEMBERSHIP))
 def ana_06(spark, sf_dir):
     rows = bars(spark, sf_dir).select("i", "d", F.col("volume").alias("quantity"), F.col("close").alias("price"))
-    pnl = ana.security_pnl(rows).select("i", "d", "pnl").where("d >= '2001-01-01'")
+    pnl = ana.security_pnl(rows).select("i", "d", "pnl")
     return ana.industry_pnl(pnl, membership(spark, sf_dir)).select("d", "industry", F.round(F.col("pnl") + F.lit(1e-6), 3).alias("pnl"))
 
 
