@@ -103,3 +103,39 @@ def test_industry_pnl_of_all_days(spark, market):
 def test_industries_hold_what_the_sql_covers(spark, name, columns):
     got = catalog.QUERIES[name](spark, SF).where("d >= '2001-01-01'").toPandas()
     assert plain(got, *columns.split()) == plain(of_sql(name), *columns.split())
+
+
+def test_covariances_of_all_instruments(spark, market):
+    got = {(r.x, r.y): r["cov"] for r in catalog.QUERIES["agg_17_covariance"](spark, market).collect()}
+    wide = views.bars(spark, market).toPandas().pivot(index="d", columns="i", values="close")
+    want = {(x, y): (1.0 if x == y else 0.9) * float(v) for x, own in wide.cov().to_dict().items() for y, v in own.items() if not np.isnan(v)}
+    assert got.keys() == want.keys() and len(want) == 81
+    assert all(abs(got[k] - want[k]) < 6e-3 for k in want)
+
+
+def test_risk_parity_of_all_instruments(spark, tmp_path):
+    days = [dt.datetime(2000, 1, 1) + dt.timedelta(days=k) for k in range(70)]
+    r = np.random.default_rng(3)
+    rows = [(s, d, 1.0, float(np.exp(r.normal(0, 0.01 * s))) * 100, "N") for s in range(1, 10) for d in days]
+    pd.DataFrame(rows, columns="l_suppkey l_shipdate l_quantity l_extendedprice l_returnflag".split()).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    pd.DataFrame({"s_suppkey": range(1, 10), "s_nationkey": range(9)}).to_parquet(tmp_path / "supplier.parquet")
+    got = {r.i: r.weight for r in catalog.QUERIES["por_04_risk_parity"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(9)) and abs(sum(got.values()) - 1) < 1e-9
+    wide = views.bars(spark, str(tmp_path)).toPandas().pivot(index="d", columns="i", values="close").sort_index()
+    cov = wide.pct_change().tail(60).cov().to_numpy()
+    w = np.array([got[k] for k in range(9)])
+    part = w * ((0.9 * cov + 0.1 * np.diag(np.diag(cov))) @ w)
+    assert np.allclose(part, part.mean(), rtol=1e-4)
+
+
+def test_unpivot_of_all_instruments(spark, market):
+    got = catalog.QUERIES["agg_19_unpivot"](spark, market).collect()
+    want = sorted((b.i, b.d, f, b[f]) for b in views.bars(spark, market).collect() for f in ("open", "close"))
+    assert sorted((r.i, r.d, r.field, r.value) for r in got) == want and {w[0] for w in want} == set(range(9))
+
+
+@needs_tables
+@pytest.mark.parametrize("name, columns, part", [("agg_17_covariance", "x y cov", "x < 6 and y < 6"), ("agg_19_unpivot", "i d field value", "i < 2")])
+def test_all_instruments_hold_what_the_sql_covers(spark, name, columns, part):
+    got, want = (plain(x, *columns.split()) for x in (catalog.QUERIES[name](spark, SF).where(part).toPandas(), of_sql(name)))
+    assert [r[:-1] for r in got] == [r[:-1] for r in want] and np.allclose([r[-1] for r in got], [r[-1] for r in want], rtol=1e-9)

@@ -74,7 +74,11 @@ def top_k_dropout(ranked: list[str], held: list[str], k: int, keep_until: int, r
 
 
 def risk_parity(returns, shrink: float = 0.1, rounds: int = 1000, tolerance: float = 1e-8):
-    """Weights with equal risk contributions for a (time x instrument) array of returns."""
+    """Weights with equal risk contributions for a (time x instrument) array of returns.
+
+    One weight after the other is set so that its own contribution is right. Unlike a step of all weights at once, this
+    converges for any covariance, also where hedges make some contributions negative on the way.
+    """
     import numpy as np
 
     x = np.asarray(returns, float)
@@ -82,14 +86,20 @@ def risk_parity(returns, shrink: float = 0.1, rounds: int = 1000, tolerance: flo
     cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov))
     n = len(cov)
     w = np.full(n, 1.0 / n)
+    scale = np.diag(cov).mean()
+    if not scale > 0:
+        return w
+    cov = cov / scale
+    own = np.maximum(np.diag(cov), 1e-12)
     for _ in range(rounds):
         part = w * (cov @ w)
         total = part.sum()
-        if total <= 0 or np.abs(part - total / n).max() < tolerance * total:
+        if total > 0 and np.abs(part - total / n).max() < tolerance * total:
             break
-        w = w * np.sqrt((total / n) / np.maximum(part, 1e-300))
-        w /= w.sum()
-    return w
+        for i in range(n):
+            rest = cov[i] @ w - cov[i, i] * w[i]
+            w[i] = (np.sqrt(rest * rest + 4 * own[i] / n) - rest) / (2 * own[i])
+    return w / w.sum()
 
 
 def risk_parity_by_date(returns: DataFrame, n: int = 60) -> DataFrame:

@@ -132,7 +132,7 @@ def por_03_positive(spark, sf_dir):
 def por_04(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    rows = bars(spark, sf_dir).where("i < 6").withColumn("r", change(F.col("close"), 1, by())).where("r is not null")
+    rows = bars(spark, sf_dir).withColumn("r", change(F.col("close"), 1, by())).where("r is not null")
     lag = F.row_number().over(W.partitionBy("i").orderBy(F.desc("d"))) - 1
     last = bars(spark, sf_dir).agg(F.max("d").alias("last"))
     return por.risk_parity_by_date(rows.select("i", lag.cast("long").alias("lag"), "r").join(F.broadcast(last)).select(F.col("last").alias("d"), "i", "lag", "r"))
