@@ -239,6 +239,15 @@ def test_similarity_against_brute_force(spark, n, percent, small):
     assert got == brute_groups(rows, n, percent)
 
 
+def test_similarity_without_ids(spark):
+    texts = [(1, "a b c d"), (2, "a b c d"), (3, "x y z"), (None, "a b c d"), (None, "a b c d"), (None, "one two three four five"), (None, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ssjoin.similarity_groups(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1, 1), (2, 2, 1, 1), (3, 1, 3, 3), (None, 2, None, None), (None, 2, None, None), (None, 3, None, None), (None, 0, None, None)], key=str)
+    kept = ssjoin.keep_one_of_each_group(df, shingle=3, percent=90)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([texts[0], *texts[2:]], key=str)
+
+
 def test_exact_dedup(edge, nothing):
     got = collections.defaultdict(list)
     for r in dedup.exact_dedup(edge).collect():

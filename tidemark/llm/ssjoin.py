@@ -235,7 +235,8 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     ship_package(spark)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    base = rows.where("id is not null")
     if not base.groupBy("id").count().where("count > 1").isEmpty():
         base = cut(base.groupBy("id").agg(F.min("text").alias("text")))
     facts = cut(set_facts(base, shingle))
@@ -298,6 +299,8 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if not extra.isEmpty():
             named = grouped(links.unionByName(extra))
     out = facts.select("id", "n_shingles").join(named, "id", "left")
+    # Rows without an id have no class and no component; each is a document of its own.
+    out = out.unionByName(set_facts(rows.where("id is null"), shingle).select("id", "n_shingles"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("group", "id").alias("component_id"))
 
 
