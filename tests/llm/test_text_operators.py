@@ -155,6 +155,13 @@ def test_chat_trees(spark):
     assert [t.text for t in out[1, 1].turns] == ["q", "good", "more", "end"] and out[1, 1].learned == ["good", "end"]
 
 
+def test_chat_without_conversation_id(spark):
+    df = spark.createDataFrame([(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 2, "user", "more"), (1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_report(spark, df).collect()} == {None: (3, 1), 1: (1, 0)}
+    found = chat.paths(chat.chain(df)).collect()
+    assert sorted((r.tree or 0, r.id, r.depth) for r in found) == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (1, 1, 1)]
+
+
 def test_mixing(edge, nothing):
     rows = mixing.mix_report(edge).collect()
     assert len(rows) == len(edge_rows()) and all(0 <= r.taken <= 3 * r["size"] for r in rows)

@@ -10,7 +10,7 @@ The template is ``<|turn|>role\\ntext\\n<|end|>\\n`` per turn. Control strings (
 templates) inside a text get a ``~`` in front, after any number of ``~`` already there, so that removing one ``~``
 undoes it; roles escape ``%``, line ends and ``<``. The loss mask lists the code-point range of each assistant text.
 
-Defined results: null text and null role count as empty; a parent that does not exist makes a root; rows with one id
+Defined results: null text and null role count as empty; a null tree is a tree like others; a parent that does not exist makes a root; rows with one id
 in a tree are ordered by role and text when ``chain`` builds the tree, and must not occur otherwise; empty input gives
 empty output.
 """
@@ -59,6 +59,11 @@ def chain(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(tree, leaf, branch, id, depth): the messages of the best ``branches`` root-to-leaf paths of every tree."""
+    return _paths(messages.withColumn("tree", F.struct("tree")), branches).withColumn("tree", F.col("tree.tree"))
+
+
+def _paths(messages: DataFrame, branches: int) -> DataFrame:
+    """``paths`` of messages whose ``tree`` is never null: a struct of it equals itself in joins, with a null inside too."""
     nodes = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select("tree", F.col("id").alias("parent"), F.lit(True).alias("known"))
     nodes = nodes.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).alias("steps"))
@@ -89,8 +94,9 @@ def format_paths(messages: DataFrame, branches: int = 1, learn: str = "assistant
 
     ``mask`` is an array of (start, end) code-point ranges of ``formatted``, one per text of role ``learn``.
     """
+    messages = messages.withColumn("tree", F.struct("tree"))
     said = messages.select("tree", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = paths(messages, branches).join(said, ["tree", "id"])
+    rows = _paths(messages, branches).join(said, ["tree", "id"])
     head = F.concat(F.lit("<|turn|>"), _role(F.col("role")), F.lit("\n"))
     turns = rows.select("tree", "leaf", "branch", "depth", head.alias("head"), escape(F.col("text")).alias("body"), F.when(F.col("role") == learn, True).otherwise(False).alias("learn"))
     turns = turns.withColumn("long", F.length("head") + F.length("body") + F.length(F.lit("\n<|end|>\n")))
@@ -98,7 +104,7 @@ def format_paths(messages: DataFrame, branches: int = 1, learn: str = "assistant
     turns = turns.withColumn("start", F.coalesce(F.sum("long").over(path), F.lit(0)) + F.length("head"))
     piece = F.struct("depth", F.concat("head", "body", F.lit("\n<|end|>\n")).alias("piece"), F.when(F.col("learn"), F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.length("body")).cast("long").alias("end"))).alias("range"))
     one = turns.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    return one.select("tree", "leaf", "branch", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), F.filter(F.transform("pieces", lambda p: p["range"]), lambda r: r.isNotNull()).alias("mask"))
+    return one.select("tree.tree", "leaf", "branch", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), F.filter(F.transform("pieces", lambda p: p["range"]), lambda r: r.isNotNull()).alias("mask"))
 
 
 def write_formatted(formatted: DataFrame, path: str) -> DataFrame:
