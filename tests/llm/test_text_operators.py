@@ -226,8 +226,8 @@ def test_similarity_edges(edge, nothing):
     assert ssjoin.similarity_groups(nothing).count() == 0
 
 
-@pytest.mark.parametrize("n, percent, small", [(3, 90, 10**6), (5, 80, 0)])
-def test_similarity_against_brute_force(spark, n, percent, small):
+@pytest.mark.parametrize("n, percent, most", [(3, 90, 2048), (5, 80, 2048), (5, 80, 8)])
+def test_similarity_against_brute_force(spark, n, percent, most):
     r = np.random.default_rng(n)
     texts = []
     shared = [f"p{k}" for k in range(40)]
@@ -242,7 +242,7 @@ def test_similarity_against_brute_force(spark, n, percent, small):
     texts += [" ".join(f"h{x}" if r.random() > 0.004 else "edit" + str(r.integers(0, 10**6)) for x in range(150)) for _ in range(60)]  # one large group
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ssjoin.similarity_groups(df, shingle=n, percent=percent, small=small).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ssjoin.similarity_groups(df, shingle=n, percent=percent, most=most).collect()}
     assert got == brute_groups(rows, n, percent)
 
 

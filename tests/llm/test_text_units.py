@@ -148,21 +148,42 @@ def test_toxicity_votes_and_empty_model():
     assert v.tolist() == sorted(v.tolist())
 
 
-def test_signatures_meet_for_every_link():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_signatures_meet_for_every_link(percent):
     r = np.random.default_rng(8)
-    for percent in (80, 90):
-        bands = ssjoin.Bands(percent)
-        for _ in range(400):
-            n = int(r.integers(1, 120))
-            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-            keep = int(r.integers(max(1, int(len(a) * percent / 100) - 1), len(a) + 1))
-            more = int(r.integers(0, max(2, len(a) // 6)))
-            b = np.unique(np.concatenate((r.permutation(a)[:keep], r.integers(0, 1 << 63, more).astype(np.uint64))))
-            common = len(np.intersect1d(a, b))
-            if 100 * common >= percent * (len(a) + len(b) - common):
-                assert np.intersect1d(ssjoin.signatures(a, bands), ssjoin.signatures(b, bands)).size
-                x = sum(bin(int(p) & (1 << 64) - 1 ^ int(q) & (1 << 64) - 1).count("1") for p, q in zip(ssjoin.parity(a), ssjoin.parity(b), strict=True))
-                assert x <= len(a) + len(b) - 2 * common
+    bands = ssjoin.Bands(percent)
+    linked = 0
+    for _ in range(1500):
+        n = int(r.integers(1, 120)) if r.random() < 0.8 else int(r.integers(120, 3000))
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        keep = int(r.integers(max(1, int(len(a) * percent / 100) - 1), len(a) + 1))
+        more = int(r.integers(0, max(2, len(a) // 6)))
+        b = np.unique(np.concatenate((r.permutation(a)[:keep], r.integers(0, 1 << 63, more).astype(np.uint64))))
+        common = len(np.intersect1d(a, b))
+        if 100 * common >= percent * (len(a) + len(b) - common) and common < max(len(a), len(b)):
+            linked += 1
+            at, sigs = ssjoin.signatures([a, a[:0], b], bands)
+            assert np.intersect1d(sigs[at == 0], sigs[at == 2]).size and not (at == 1).any()
+            (table,) = list(ssjoin.sketch_pairs([ssjoin.sketch(a), ssjoin.sketch(b)], np.array([1, 2]), percent))
+            assert table[0] == 0 and table[1].tolist() == [1]
+    assert linked > 400
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_signatures_of_all_small_sets(percent):
+    """Every pair of sets over a small domain that links shares a signature, whatever parts the elements fall into."""
+    r = np.random.default_rng(percent)
+    bands = ssjoin.Bands(percent)
+    for _ in range(5):
+        domain = np.unique(r.integers(0, 1 << 63, 12).astype(np.uint64))
+        sets = [domain[[bool(bits >> k & 1) for k in range(len(domain))]] for bits in range(1, 1 << len(domain)) if bits.bit_count() >= 8]
+        at, sigs = ssjoin.signatures(sets, bands)
+        own = [set(sigs[at == k].tolist()) for k in range(len(sets))]
+        for i, x in enumerate(sets):
+            for j in range(i):
+                common = len(np.intersect1d(x, sets[j], assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(sets[j]) - common):
+                    assert own[i] & own[j]
 
 
 def test_label_model_finds_the_bad_rule():

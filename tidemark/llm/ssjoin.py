@@ -3,33 +3,38 @@
 Sets of ``x`` and ``y`` elements whose Jaccard similarity is at least ``s`` differ in at most
 ``(1 - s) / (1 + s) * (x + y)`` elements. Sizes fall into bands that grow by ``1 / s``, so linked sets lie in one band
 or in neighbours; each set signs for its own band and for the next. For a band whose pairs differ in at most ``k``
-elements, the feature domain (hashes of shingles) is cut into parts, and every subset of one part is a signature: with
-``k + 2`` parts, sets that differ in at most ``k`` elements agree on two parts at least, hence on one that is not
-empty unless both have two empty parts. Only such sparse sets, rare ones, also sign with their empty parts, so no link
-is lost and no signature is shared by chance emptiness.
-
-Sets with one content form a class; only one set per large class signs. Within a signature, every set is paired with
-the smallest id that shares it, not with all others. Verified pairs give groups; only where a signature still spans
-several groups are the pairs between groups checked too, so every link between different sets is either seen or
-implied, and a signature that thousands of near copies share costs one pair for each. Each set meets the smallest of
-its pivots first. A parity sketch bounds
-the difference of two sets from below and discards most false pairs inside the join; the rest are verified on the
-sets themselves, computed anew from the texts.
+elements, the feature domain (hashes of shingles) is cut into ``n1`` parts, and each part into ``n2`` sub-parts. With
+``n1 * (k2 + 1) > k``, linked sets differ in at most ``k2`` elements of some part, and so agree on ``n2 - k2`` of its
+sub-parts; every subset of that many sub-parts is a signature. :data:`LEVELS` fixes ``k2`` and ``n2`` per size.
+
+A subset may be empty, and empty signatures tell nothing apart. ``n1`` has ``spare`` parts more than needed, so linked
+sets agree in ``spare + 1`` parts at least; only a set with more than ``spare`` parts that have an empty subset, a rare
+one, signs those subsets too. Hence no link is lost.
+
+The work after signing is linear in rows:
+
+1. Sets with one content form a class; one id stands for it.
+2. Within a batch of a task, and then within a signature, each set is paired with the smallest id that shares it.
+3. Each set meets the smallest of these pivots, first with a parity sketch, which bounds the difference from below,
+   then, if that allows a link, with the set itself. The links give groups.
+4. Signatures that still span several groups are blocks. A task gets each member of a block once, with its sketch, and
+   compares all of them in memory; members that may link to another group are sent there once more with their sets, and
+   the task returns links that join groups, fewer than the block has groups. Blocks of too many members are cut, and
+   pairs of pieces are checked, but not pieces of one group with each other.
 
 Elements are 64-bit hashes of shingles.
 
 Defined results: texts with fewer words than a shingle have their whole word sequence as the only element; null texts
 and texts without words have the empty set, which links with nothing; ids must be unique (rows that repeat an id are
 taken as one document with the first of its texts in code-point order); rows without an id link with nothing and have
-no component; empty tables give empty results; other columns
-may have any names.
+no component; a similarity equal to the bound links; empty tables give empty results; other columns may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +48,12 @@ from tidemark.llm.common import cut, join_hot, n_partitions, ship_package
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
+#: (largest set, k2, n2). Sets of up to 1,000 elements, where a passage of 60 words is a good part of a text, sign pairs
+#: of three sub-parts, which hold a third more elements than a part with k2 = 0 and cost half as many signatures again.
+#: On 47,000 texts at five words and 0.8 that leaves 84,000 pairs to look at instead of 142,000. Larger sets rarely
+#: collide by a shared passage and sign single parts.
+LEVELS = ((1000, 1, 3), (1 << 62, 0, 1))
+
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads them evenly."""
@@ -83,122 +94,244 @@ class Bands:
         self.percent, self.low = percent, [1]
         while self.low[-1] < longest:
             self.low.append(max(self.low[-1] + 1, self.low[-1] * 100 // percent + 1))
+        self.plans = np.array([self.plan(b) for b in range(len(self.low) - 1)], np.int64)
+
+    def of(self, size) -> np.ndarray:
+        return np.searchsorted(self.low, size, side="right") - 1
 
-    def of(self, size: int) -> int:
-        return int(np.searchsorted(self.low, size, side="right")) - 1
+    def plan(self, band: int) -> tuple[int, int, int, int]:
+        """(n1, k2, n2, spare) for the pairs of which one lies in ``band`` and the other in it or in the band below.
 
-    def parts(self, band: int) -> int:
-        """k + 2 for the pairs of which one lies in ``band`` and the other in it or in the band below."""
+        n1 is 0 where no two different sets can link.
+        """
         most = self.low[band + 1] - 1
-        return 2 * most * (100 - self.percent) // (100 + self.percent) + 2
+        k = 2 * most * (100 - self.percent) // (100 + self.percent)
+        k2, n2 = next((a, b) for top, a, b in LEVELS if most <= top)
+        need = k // (k2 + 1) + 1
+        spare = 1 + need // 24
+        return (need + spare if k else 0), k2, n2, spare
+
+
+def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the set, 64-bit signature) of all signatures of sorted sets; empty sets have none."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    doc = np.repeat(np.arange(len(sets), dtype=np.int64), size)
+    own = bands.of(size)
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    spread, value = mix64(flat ^ M3), mix64(flat + M2)
+    for band in (own, own + 1):
+        plan = bands.plans[np.maximum(band, 0)]
+        for k2, n2 in sorted({(int(a), int(b)) for a, b in plan[(size > 0) & (plan[:, 0] > 0)][:, 1:3]}):
+            here = ((plan[:, 1] == k2) & (plan[:, 2] == n2) & (plan[:, 0] > 0))[doc]
+            d, x = doc[here], spread[here]
+            part = ((x >> np.uint64(32)) * plan[d, 0].astype(np.uint64)) >> np.uint64(32)
+            sub = ((x & np.uint64(0xFFFFFFFF)) * np.uint64(n2)) >> np.uint64(32)
+            # One row per part that holds elements; its sub-parts are sums of element hashes.
+            key = (d.astype(np.uint64) << np.uint64(44)) | (part << np.uint64(4)) | sub
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(value[here][order], first) if len(first) else np.zeros(0, np.uint64)
+            key = key[first]
+            row_key = key >> np.uint64(4)
+            new = np.concatenate(([True], row_key[1:] != row_key[:-1])) if len(key) else np.zeros(0, bool)
+            row = np.cumsum(new) - 1
+            table = np.zeros((int(new.sum()), n2), np.uint64)
+            full = np.zeros(table.shape, bool)
+            at = (key & np.uint64(15)).astype(np.int64)
+            table[row, at], full[row, at] = sums, True
+            row_doc, row_part = (row_key[new] >> np.uint64(40)).astype(np.int64), row_key[new] & np.uint64((1 << 40) - 1)
+            # Sets with too many hollow parts sign empty subsets too: their missing parts become rows.
+            solid = np.bincount(row_doc[full.sum(axis=1) > k2], minlength=len(sets))
+            hollow = np.zeros(len(sets), bool)
+            hollow[np.unique(d)] = True
+            hollow &= plan[:, 0] - solid > plan[:, 3]
+            for i in np.flatnonzero(hollow).tolist():
+                gone = np.setdiff1d(np.arange(plan[i, 0], dtype=np.uint64), row_part[row_doc == i])
+                row_doc, row_part = np.concatenate((row_doc, np.full(len(gone), i))), np.concatenate((row_part, gone))
+                table, full = np.concatenate((table, np.zeros((len(gone), n2), np.uint64))), np.concatenate((full, np.zeros((len(gone), n2), bool)))
+            for c, subset in enumerate(itertools.combinations(range(n2), n2 - k2)):
+                tag = mix64(row_part * np.uint64(64) + np.uint64(c) + (band[row_doc] + 1).astype(np.uint64) * M1)
+                keep = full[:, subset].any(axis=1) | hollow[row_doc]
+                # Sub-parts keep their places in the sum, so that contents cannot trade them.
+                mixed = sum((mix64(table[:, j] + np.uint64(j)) for j in subset), np.zeros(len(tag), np.uint64))
+                owners.append(row_doc[keep])
+                found.append(mix64(mixed + tag)[keep])
+    return np.concatenate(owners), np.concatenate(found)
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """The size, then parities of the numbers of elements in buckets, as 64-bit words.
+
+    Two to four buckets an element, 256 at least.
+    """
+    bits = max(256, 1 << (2 * len(s) - 1).bit_length()) if len(s) else 256
+    odd = np.bincount((mix64(s + M1) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.concatenate((np.array([len(s)], "<u8"), np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")))
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """64-bit signatures of a sorted, non-empty set."""
-    out = []
-    own = bands.of(len(s))
-    spread = mix64(s ^ M3)
-    for band in (own, own + 1):
-        n = bands.parts(band)
-        part = ((spread >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        sums = np.zeros(n, np.uint64)
-        order = np.argsort(part, kind="stable")
-        p = part[order]
-        first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-        sums[p[first].astype(np.int64)] = np.add.reduceat(mix64(s[order] + M2), first)
-        full = np.zeros(n, bool)
-        full[p[first].astype(np.int64)] = True
-        tag = mix64(np.arange(n, dtype=np.uint64) + np.array([band], np.uint64) * M1)
-        if n - full.sum() >= 2:
-            full[:] = True
-        out.append(mix64(sums + tag)[full])
-    return np.concatenate(out)
-
-
-#: Words of 64 bits in a parity sketch.
-WIDTH = 16
-PARITY = tuple(f"p{k}" for k in range(WIDTH))
-
-
-def parity(s: np.ndarray) -> np.ndarray:
-    """For each of 64 * WIDTH buckets, whether it holds an odd number of elements, as 64-bit words."""
-    at = np.bincount((mix64(s + M1) >> np.uint64(64 - (64 * WIDTH).bit_length() + 1)).astype(np.int64), minlength=64 * WIDTH) & 1
-    return np.packbits(at.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[pa.RecordBatch]:
+def folded(words: np.ndarray, width: int) -> np.ndarray:
+    """A sketch at a smaller width."""
+    while len(words) > width:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def may_link(x: np.ndarray, size: np.ndarray, table: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether size and parities allow a link of one set with each of a table of others."""
+    differ = np.bitwise_count(table ^ x).sum(axis=1, dtype=np.int64)
+    fits = 100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)
+    return fits & (differ * (100 + percent) <= (sizes + size) * (100 - percent))
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def sketch_pairs(sketches: list[np.ndarray], group: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member the later members of other groups that it may link to."""
+    width = min(map(len, sketches), default=1) - 1
+    size = np.array([s[0] for s in sketches], np.int64)
+    table = np.array([folded(s[1:], width) for s in sketches])
+    for i in range(len(sketches) - 1):
+        near = np.flatnonzero((group[i + 1 :] != group[i]) & may_link(table[i], size[i], table[i + 1 :], size[i + 1 :], percent)) + i + 1
+        if len(near):
+            yield i, near
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: int, rows: int = 256, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Pieces of at most ``rows`` rows and about ``size`` characters of column ``text``."""
     for b in batches:
-        for a in range(0, b.num_rows, size):
-            yield b.slice(a, size)
+        ends = np.cumsum([len(x) if x is not None else 0 for x in b.column(text).to_pylist()])
+        a = 0
+        while a < b.num_rows:
+            z = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size)) + 1
+            z = min(a + rows, max(a + 1, z), b.num_rows)
+            yield b.slice(a, z - a)
+            a = z
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
+    """Whole groups of rows with equal values of a sorted column, one batch per group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(column).to_numpy(zero_copy_only=False)
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [b.num_rows]))
+        for a, z in itertools.pairwise(starts.tolist()):
+            if held and keys[a] != last:
+                yield pa.concat_batches(held)
+                held = []
+            last = keys[a]
+            held.append(b.slice(a, z - a))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def set_facts(base: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, digest, parity words) of rows (id, text)."""
+    """(id, n_shingles, digest, sketch) of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _chunks(batches):
+        for b in _slices(batches, 1):
             sets = shingle_sets(b.column(1).to_pylist(), n)
-            odd = np.array([parity(s) for s in sets]).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary()), *[pa.array(odd[:, k].astype(np.int64)) for k in range(WIDTH)]],
-                ["id", "n_shingles", "digest", *PARITY],
-            )
+            digests = pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary())
+            sketches = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), digests, sketches], ["id", "n_shingles", "digest", "sketch"])
+
+    return base.mapInArrow(run, T.StructType([base.schema[0], *T.StructType.fromDDL("n_shingles long, digest binary, sketch binary")]))
 
-    return base.mapInArrow(run, T.StructType([base.schema[0], T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), *[T.StructField(p, T.LongType()) for p in PARITY]]))
 
+def signed(base: DataFrame, n: int, percent: int, skip: dict[bytes, int], most: int = 1 << 20) -> DataFrame:
+    """(key, id, sig, first) of rows (id, text); of a set whose digest is in ``skip`` only the row with that id signs.
 
-def signed(base: DataFrame, n: int, percent: int, skip: dict[bytes, int]) -> DataFrame:
-    """(id, sig) of rows (id, text); of a set whose digest is in ``skip`` only the row with that id signs."""
+    Up to about ``most`` signatures of a task are combined at a time: the smallest id with a signature has it as its
+    key and nulls after that (``first`` is its own id if others follow it); each follower has a key of its own, the
+    signature and that smallest id. So a signature that a third of all documents share reaches one key only once for
+    each such batch.
+    """
+
+    def combined(ids: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((ids, sigs))
+        ids, sigs = ids[order], sigs[order]
+        lead = np.concatenate(([True], sigs[1:] != sigs[:-1]))
+        first = ids[lead][np.cumsum(lead) - 1]
+        again = ~lead & (ids == np.concatenate(([0], ids[:-1])))  # one set, one signature twice
+        ids, sigs, lead, first = (x[~again] for x in (ids, sigs, lead, first))
+        followed = lead & ~np.concatenate((lead[1:], [True]))
+        key = np.where(lead, sigs, mix64(sigs + mix64(ids.view(np.uint64)))).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(ids), pa.array(sigs.view(np.int64), mask=lead), pa.array(first, mask=lead & ~followed)],
+            ["key", "id", "sig", "first"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
-        for b in _chunks(batches):
-            ids, sigs = [], []
-            for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), n), strict=True):
-                if len(s) and not (skip and skip.get(hashlib.sha256(s.tobytes()).digest(), doc) != doc):
-                    sigs.append(signatures(s, bands))
-                    ids.append(np.full(len(sigs[-1]), doc, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sigs).view(np.int64))], ["id", "sig"])
+        ids, sigs, held = [], [], 0
+        for b in _slices(batches, 1):
+            sets = shingle_sets(b.column(1).to_pylist(), n)
+            docs = b.column(0).to_numpy()
+            if skip:
+                sets = [s if skip.get(hashlib.sha256(s.tobytes()).digest(), doc) == doc else s[:0] for doc, s in zip(docs.tolist(), sets, strict=True)]
+            at, found = signatures(sets, bands)
+            ids.append(docs[at])
+            sigs.append(found)
+            held += len(at)
+            if held >= most:
+                yield combined(np.concatenate(ids), np.concatenate(sigs))
+                ids, sigs, held = [], [], 0
+        if held:
+            yield combined(np.concatenate(ids), np.concatenate(sigs))
 
-    return base.mapInArrow(run, "id long, sig long")
+    return base.mapInArrow(run, "key long, id long, sig long, first long")
 
 
-def verified(pairs: DataFrame, base: DataFrame, n: int, percent: int, small: int) -> DataFrame:
-    """The pairs (a, b) whose sets link; ``a`` is the pivot that several ``b`` may share.
+def _among(rows: DataFrame, wanted: DataFrame, most_mb: float = 4.0) -> DataFrame:
+    """Join on ``id`` of many rows with a written list of wanted ids and numbers, which is broadcast up to ``most_mb``."""
+    mb = wanted.count() * 8 * (len(wanted.columns) + 1) / 1e6
+    return rows.join(F.broadcast(wanted) if mb <= most_mb else wanted, "id")
 
-    Sets are computed from the texts of the documents involved and travel once per pair, to their pivot; a pivot with
-    many partners is met in several places, each with a share of them. Up to ``small`` rows of wanted documents are a
-    broadcast list; more meet their texts in a shuffle.
-    """
-    share = 500
-    met = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / share).cast("int").alias("places"))
-    partners = pairs.join(met, "a").select(F.col("b").alias("id"), F.col("a").alias("at"), F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("side"))
-    pivots = met.select(F.col("a").alias("id"), F.col("a").alias("at"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("side"))
-    wanted = cut(partners.unionByName(pivots))
-    count = wanted.count()
-    rows = base.join(F.broadcast(wanted) if count <= small else wanted, "id").select("id", "at", "place", "side", "text")
+
+def with_sets(wanted: DataFrame, base: DataFrame, n: int) -> DataFrame:
+    """``wanted`` (id and other columns) with ``elements``, the set of the document's text as bytes."""
+    names = [c for c in wanted.columns if c != "id"]
+    rows = _among(base, wanted).select("id", *names, "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _chunks(batches):
-            found = shingle_sets(b.column(4).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([s.tobytes() for s in found], pa.binary())], ["id", "at", "place", "side", "elements"])
+        for b in _slices(batches, len(names) + 1):
+            found = shingle_sets(b.column(len(names) + 1).to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s.tobytes() for s in found], pa.binary())], ["id", *names, "elements"])
+
+    return rows.mapInArrow(sets, T.StructType([*rows.schema.fields[:-1], T.StructField("elements", T.BinaryType())]))
+
 
-    dealt = rows.mapInArrow(sets, "id long, at long, place int, side int, elements binary").repartition(n_partitions(base.sparkSession), "at", "place").sortWithinPartitions("at", "place", "side")
+def at_pivots(pairs: DataFrame, tell: Callable[[DataFrame], DataFrame], payload: str, test: Callable[[np.ndarray, np.ndarray], bool], kind: str, share: int = 64) -> DataFrame:
+    """The pairs (a, b) that pass ``test``; ``a`` is the pivot that several ``b`` share.
+
+    ``tell`` adds ``payload`` to rows with ids. It travels once for each ``b`` and once for each ``share`` partners of
+    a pivot: those meet in a place of their own.
+    """
+    met = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("places"))
+    met = met.withColumn("places", F.greatest("places", F.lit(1)))
+    partners = pairs.join(met, "a").select(F.col("b").alias("id"), F.col("a").alias("at"), F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("side"))
+    pivots = met.select(F.col("a").alias("id"), F.col("a").alias("at"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("side"))
+    told = tell(cut(partners.unionByName(pivots))).select(F.xxhash64("at", "place").alias("spot"), "side", "at", "id", F.col(payload))
+    dealt = told.repartition(n_partitions(pairs.sparkSession), "spot").sortWithinPartitions("spot", "at", "side")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, x = None, None
         for b in batches:
             left, right = [], []
-            for doc, at, side, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
-                y = np.frombuffer(e.as_buffer(), np.uint64)
+            for side, at, doc, e in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), b.column(4), strict=True):
+                y = np.frombuffer(e.as_buffer(), kind)
                 if side == 0:
                     pivot, x = at, y.copy()
-                elif pivot == at:
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        left.append(at)
-                        right.append(doc)
+                elif pivot == at and test(x, y):
+                    left.append(at)
+                    right.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(check, "a long, b long")
@@ -227,11 +360,84 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, small: int = 200_000) -> DataFrame:
+def blocks(members: DataFrame, most: int) -> DataFrame:
+    """(block, id, group) from (sig, id, group, weight): one block per signature, or, beyond a weight of ``most``, per
+    pair of pieces.
+
+    Pieces weigh about ``most / 2``. A group that fills pieces has pieces of its own, which are not paired with each
+    other; pieces of all other groups are.
+    """
+    large = cut(members.groupBy("sig").agg(F.sum("weight").alias("m")).where(F.col("m") > most))
+    if large.isEmpty():
+        return members.select(F.col("sig").alias("block"), "id", "group")
+    half = max(1, most // 2)
+    small = members.join(large.select("sig"), "sig", "left_anti").select(F.col("sig").alias("block"), "id", "group")
+    rows = members.join(large, "sig")
+    owners = rows.groupBy("sig", "group").agg(F.sum("weight").alias("c")).where(F.col("c") > half)
+    rows = rows.join(owners, ["sig", "group"], "left")
+    owner = F.when(F.col("c").isNotNull(), F.col("group"))
+    own, mixed = F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / half)), F.pmod(F.xxhash64("group"), F.ceil(F.col("m") / half))
+    rows = rows.select("sig", "id", "group", owner.alias("owner"), F.xxhash64("sig", owner, F.coalesce(own, mixed)).alias("piece"))
+    rows = cut(rows)
+    pieces = rows.select("sig", "piece", "owner").distinct()
+    x, y = pieces.select("sig", F.col("piece").alias("p"), F.col("owner").alias("po")), pieces.select(F.col("sig").alias("s2"), F.col("piece").alias("q"), F.col("owner").alias("qo"))
+    met = x.join(y, (F.col("sig") == F.col("s2")) & (F.col("p") <= F.col("q"))).where("po is null or qo is null or po <> qo")
+    met = met.select("sig", F.xxhash64("sig", "p", "q").alias("block"), F.explode(F.array_distinct(F.array("p", "q"))).alias("piece"))
+    return small.unionByName(rows.join(met, ["sig", "piece"]).select("block", "id", "group"))
+
+
+def between_groups(members: DataFrame, facts: DataFrame, base: DataFrame, n: int, percent: int, most: int) -> DataFrame:
+    """Links (a, b) that join all groups of (sig, id, group, weight) with a link between members of one signature."""
+    spark = members.sparkSession
+    told = blocks(members, most).join(facts.select("id", "sketch"), "id").select("block", "id", "group", "sketch")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _runs(batches):
+            hit = np.zeros(b.num_rows, bool)
+            for i, others in sketch_pairs([np.frombuffer(x.as_buffer(), "<u8") for x in b.column(3)], b.column(2).to_numpy(), percent):
+                hit[i] = True
+                hit[others] = True
+            if hit.any():
+                yield b.select([0, 1, 2]).filter(pa.array(hit))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n_partitions(spark), "block").sortWithinPartitions("block", "id")
+
+    hits = cut(dealt(told).mapInArrow(near, "block long, id long, group long"))
+    if hits.isEmpty():
+        return hits.select(F.col("id").alias("a"), F.col("id").alias("b"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _runs(batches):
+            ids, group = b.column(1).to_numpy(), b.column(2).to_numpy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(3)]
+            up = {g: g for g in group.tolist()}
+
+            def root(g: int, up: dict[int, int] = up) -> int:
+                while up[g] != g:
+                    up[g] = up[up[g]]
+                    g = up[g]
+                return g
+
+            left, right = [], []
+            for i, others in sketch_pairs([sketch(s) for s in sets], group, percent):
+                for j in others.tolist():
+                    x, y = root(int(group[i])), root(int(group[j]))
+                    if x != y and linked(sets[i], sets[j], percent):
+                        up[max(x, y)] = min(x, y)
+                        left.append(int(ids[i]))
+                        right.append(int(ids[j]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    return dealt(with_sets(hits, base, n).select("block", "id", "group", "elements")).mapInArrow(check, "a long, b long")
+
+
+def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, most: int = 2048) -> DataFrame:
     """(id, n_shingles, class_id, component_id) for every document.
 
-    ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable by links. ``small``
-    bounds what is broadcast when verifying (ids of 8 bytes).
+    ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable by links. ``most``
+    bounds the members of a block that one task compares.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -245,76 +451,59 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     hot = max(1000, 4 * n_partitions(spark))
     # Classes with at least total / 1000 members: at most 1000 rows.
     large = {bytes(r.digest): r.class_id for r in classes.where((F.col("n") > 1) & (F.col("n") * 1000 >= total)).collect()}
-    placed = cut(join_hot(facts.where("n_shingles > 0").select("id", "digest", "n_shingles", *PARITY), classes, "digest", "n", total, hot).select("id", "n_shingles", "class_id", *PARITY))
-    reps = placed.where("id = class_id").select("id", "n_shingles", *PARITY)
-
-    by_sig = W.partitionBy("sig")
-    sigs = signed(base, shingle, percent, large)
-    first = F.min("id").over(by_sig.orderBy("id").rowsBetween(W.unboundedPreceding, 0))
-    shared = sigs.withColumn("first", first).withColumn("more", F.lead("id").over(by_sig.orderBy("id")))
-    shared = cut(shared.where("id <> first or more is not null").select("sig", "id", "first"))
-
-    ids = placed.select("id", "class_id")
-    stars = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(ids.select(F.col("id").alias("a"), F.col("class_id").alias("ca")), "a").join(ids.select(F.col("id").alias("b"), F.col("class_id").alias("cb")), "b")
-    stars = stars.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and parities allow a link."""
-        x = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), *[F.col(p).alias("a" + p) for p in PARITY])
-        y = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), *[F.col(p).alias("b" + p) for p in PARITY])
-        return pairs.join(x, "a").join(y, "b").where(_may_link(percent)).select("a", "b")
+    placed = cut(join_hot(facts.where("n_shingles > 0").select("id", "digest"), classes, "digest", "n", total, hot).select("id", "class_id"))
+
+    by_key = W.partitionBy("key").orderBy("id")
+    marks = signed(base, shingle, percent, large).select(
+        F.coalesce("sig", "key").alias("sig"),
+        "id",
+        F.when(F.col("sig").isNull(), F.min("id").over(by_key.rowsBetween(W.unboundedPreceding, 0))).otherwise(F.col("first")).alias("first"),
+        (F.col("first").isNotNull() | F.lead("id").over(by_key).isNotNull()).alias("more"),
+    )
+    # (sig, id, first): who shares a signature, and the smallest id there or in the batch. Classes act through one id.
+    # (sig, id, first): who shares a signature, and the smallest id there or in the batch. One id stands for a class.
+    copies = placed.where("id <> class_id")
+    shared = marks.where("id <> first or more").select("sig", "id", "first").join(copies, "id", "left")
+    shared = cut(shared.select("sig", F.coalesce("class_id", "id").alias("id"), "first"))
+
+    # One pivot per set settles most groups.
+    tried = shared.where("id <> first").groupBy("id").agg(F.min("first").alias("first"))
+    tried = tried.join(copies.withColumnRenamed("id", "first"), "first", "left").select(F.coalesce("class_id", "first").alias("a"), F.col("id").alias("b")).where("a <> b")
+    sketches = facts.select("id", "sketch")
+    near = at_pivots(cut(tried), lambda ids: _among(sketches, ids), "sketch", lambda x, y: bool(may_link(*_level(x, y), percent)[0]), "<u8")
+    links = cut(at_pivots(cut(near), lambda ids: with_sets(ids, base, shingle), "elements", lambda x, y: linked(x, y, percent), "<u8"))
 
     def grouped(links: DataFrame) -> DataFrame:
         """(id, class_id, group) of all documents with a set."""
-        groups = components(links).withColumnRenamed("id", "class_id")
-        return cut(ids.join(groups, "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("group")))
-
-    def apart(pairs: DataFrame, named: DataFrame) -> DataFrame:
-        """The pairs whose ends are still in different groups."""
-        own = named.where("id = class_id")
-        x, y = own.select(F.col("id").alias("a"), F.col("group").alias("ga")), own.select(F.col("id").alias("b"), F.col("group").alias("gb"))
-        return pairs.join(x, "a").join(y, "b").where("ga <> gb").select("a", "b")
-
-    tried = cut(bounded(stars))
-    # One pivot per set settles most groups; only pairs that it leaves apart are checked after it.
-    links = cut(verified(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), base, shingle, percent, small))
+        found = components(links).withColumnRenamed("id", "class_id")
+        return cut(placed.join(found, "class_id", "left").select("id", "class_id", F.coalesce("component", "class_id").alias("group")))
+
     named = grouped(links)
-    later = cut(apart(tried.join(tried.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti"), named))
-    if not later.isEmpty():
-        links = cut(links.unionByName(verified(later, base, shingle, percent, small)))
-        named = grouped(links)
-    # Signatures that still span several groups: check the pairs between groups.
-    spread = shared.select("sig", "id").join(named, "id").select("sig", "class_id", "group").distinct()
-    open_sigs = spread.groupBy("sig").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("sig")
-    rest = cut(spread.join(open_sigs, "sig", "left_semi"))
-    if not rest.isEmpty():
-        facts_of = cut(rest.select("class_id").distinct().join(reps.withColumnRenamed("id", "class_id"), "class_id"))
-        told = F.broadcast(facts_of) if facts_of.count() <= small else facts_of
-        x, y = rest.select("sig", F.col("class_id").alias("a"), F.col("group").alias("ga")), rest.select(F.col("sig").alias("sig_b"), F.col("class_id").alias("b"), F.col("group").alias("gb"))
-        side = lambda k: told.select(F.col("class_id").alias(k), F.col("n_shingles").alias("n" + k), *[F.col(p).alias(k + p) for p in PARITY])
-        met = x.join(y, (F.col("sig") == F.col("sig_b")) & (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb"))).select("a", "b")
-        pairs = met.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b").distinct()
-        extra = cut(verified(cut(pairs.join(tried, ["a", "b"], "left_anti")), base, shingle, percent, small))
-        if not extra.isEmpty():
-            named = grouped(links.unionByName(extra))
+    # Signatures that still span several groups; of those with the same members, one.
+    size = facts.select("id", (1 + F.floor(F.col("n_shingles") / 1000)).alias("weight"))
+    spread = shared.select("sig", "id").join(named.where("id = class_id").select("id", "group"), "id").distinct()
+    told = spread.groupBy("sig").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(id, 1))").alias("y"))
+    open_sigs = told.where("lo <> hi").groupBy("m", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
+    members = cut(spread.join(open_sigs, "sig", "left_semi").join(size, "id").select("sig", "id", "group", "weight"))
+    extra = cut(between_groups(members, facts, base, shingle, percent, most))
+    if not extra.isEmpty():
+        named = grouped(links.unionByName(extra))
     out = facts.select("id", "n_shingles").join(named, "id", "left")
     # Rows without an id have no class and no component; each is a document of its own.
     out = out.unionByName(set_facts(rows.where("id is null"), shingle).select("id", "n_shingles"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("group", "id").alias("component_id"))
 
 
-def _may_link(percent: int):
-    """Whether columns na, nb, ap0.., bp0.. allow a link: sizes, and the parity bound on the difference."""
-    differ = sum((F.bit_count(F.col("a" + p).bitwiseXOR(F.col("b" + p))) for p in PARITY), F.lit(0))
-    sizes = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return sizes & (differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+def _level(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Arguments of :func:`may_link` for two sketches."""
+    width = min(len(x), len(y)) - 1
+    return folded(x[1:], width), x[:1].astype(np.int64), folded(y[1:], width)[None], y[:1].astype(np.int64)
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its group, with their columns unchanged."""
     groups = similarity_groups(docs, id_col, text_col, shingle, percent)
     gone = cut(groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")))
-    count = gone.count()
-    gone = F.broadcast(gone) if count <= 200_000 else gone
+    # The list is broadcast up to 4 MB of ids.
+    gone = F.broadcast(gone) if gone.count() * 16 <= 4e6 else gone
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
