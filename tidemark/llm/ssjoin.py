@@ -17,10 +17,11 @@ The work after signing is linear in rows:
 2. Within a batch of a task, and then within a signature, each set is paired with the smallest id that shares it.
 3. Each set meets the smallest of these pivots, first with a parity sketch, which bounds the difference from below,
    then, if that allows a link, with the set itself. The links give groups.
-4. Signatures that still span several groups are blocks. A task gets each member of a block once, with its sketch, and
-   compares all of them in memory; members that may link to another group are sent there once more with their sets, and
-   the task returns links that join groups, fewer than the block has groups. Blocks of too many members are cut, and
-   pairs of pieces are checked, but not pieces of one group with each other.
+4. Signatures that still span several groups are blocks. A task gets each member of a block once, with its sketch,
+   compares all of them in memory and returns, of the pairs that may link, those that connect the members. Clusters so
+   connected are blocks again, to which each member sends its set once; the task returns links that join groups, fewer
+   than there are groups. Blocks of too many members are cut, and pairs of pieces are checked, but not pieces of one
+   group with each other.
 
 Elements are 64-bit hashes of shingles.
 
@@ -245,28 +246,29 @@ def set_facts(base: DataFrame, n: int) -> DataFrame:
     return base.mapInArrow(run, T.StructType([base.schema[0], *T.StructType.fromDDL("n_shingles long, digest binary, sketch binary")]))
 
 
+#: Low bits of a key that tell batches apart; the rest is the signature.
+SALT = 12
+
+
 def signed(base: DataFrame, n: int, percent: int, skip: dict[bytes, int], most: int = 1 << 20) -> DataFrame:
-    """(key, id, sig, first) of rows (id, text); of a set whose digest is in ``skip`` only the row with that id signs.
+    """(key, id) of rows (id, text); of a set whose digest is in ``skip`` only the row with that id signs.
 
     Up to about ``most`` signatures of a task are combined at a time: the smallest id with a signature has it as its
-    key and nulls after that (``first`` is its own id if others follow it); each follower has a key of its own, the
-    signature and that smallest id. So a signature that a third of all documents share reaches one key only once for
-    each such batch.
+    key, with a salt of 0. If others follow, they and it have it as a key with the batch's salt. So a signature that a
+    third of all documents share reaches one key only once for each such batch.
     """
 
     def combined(ids: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch:
+        sigs &= ~np.uint64((1 << SALT) - 1)
         order = np.lexsort((ids, sigs))
         ids, sigs = ids[order], sigs[order]
         lead = np.concatenate(([True], sigs[1:] != sigs[:-1]))
-        first = ids[lead][np.cumsum(lead) - 1]
         again = ~lead & (ids == np.concatenate(([0], ids[:-1])))  # one set, one signature twice
-        ids, sigs, lead, first = (x[~again] for x in (ids, sigs, lead, first))
-        followed = lead & ~np.concatenate((lead[1:], [True]))
-        key = np.where(lead, sigs, mix64(sigs + mix64(ids.view(np.uint64)))).view(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(ids), pa.array(sigs.view(np.int64), mask=lead), pa.array(first, mask=lead & ~followed)],
-            ["key", "id", "sig", "first"],
-        )
+        ids, sigs, lead = ids[~again], sigs[~again], lead[~again]
+        met = ~lead | ~np.concatenate((lead[1:], [True]))  # in groups of two or more
+        salt = np.uint64(1 + int(mix64(sigs[:1] + ids[:1].view(np.uint64))[0]) % ((1 << SALT) - 1))
+        key = np.concatenate((sigs[lead], sigs[met] | salt)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate((ids[lead], ids[met])))], ["key", "id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -286,7 +288,7 @@ def signed(base: DataFrame, n: int, percent: int, skip: dict[bytes, int], most:
         if held:
             yield combined(np.concatenate(ids), np.concatenate(sigs))
 
-    return base.mapInArrow(run, "key long, id long, sig long, first long")
+    return base.mapInArrow(run, "key long, id long")
 
 
 def _among(rows: DataFrame, wanted: DataFrame, most_mb: float = 4.0) -> DataFrame:
@@ -386,51 +388,74 @@ def blocks(members: DataFrame, most: int) -> DataFrame:
     return small.unionByName(rows.join(met, ["sig", "piece"]).select("block", "id", "group"))
 
 
+class Roots:
+    """Groups that merge, named by their smallest members."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def of(self, g: int) -> int:
+        up = self.up
+        while (h := up.get(g, g)) != g:
+            up[g] = up.get(h, h)
+            g = h
+        return g
+
+    def merge(self, g: int, h: int) -> bool:
+        """Whether they were apart."""
+        g, h = self.of(g), self.of(h)
+        self.up[max(g, h)] = min(g, h)
+        return g != h
+
+
 def between_groups(members: DataFrame, facts: DataFrame, base: DataFrame, n: int, percent: int, most: int) -> DataFrame:
-    """Links (a, b) that join all groups of (sig, id, group, weight) with a link between members of one signature."""
-    spark = members.sparkSession
-    told = blocks(members, most).join(facts.select("id", "sketch"), "id").select("block", "id", "group", "sketch")
+    """Links (a, b) that join all groups of (sig, id, group, weight) with a link between members of one signature.
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _runs(batches):
-            hit = np.zeros(b.num_rows, bool)
-            for i, others in sketch_pairs([np.frombuffer(x.as_buffer(), "<u8") for x in b.column(3)], b.column(2).to_numpy(), percent):
-                hit[i] = True
-                hit[others] = True
-            if hit.any():
-                yield b.select([0, 1, 2]).filter(pa.array(hit))
+    First the sketches: a task returns, of the pairs in a block that may link, those that connect its members. Members
+    so connected form a cluster, of which every member sends its set once, to the cluster's block; there all pairs that
+    may link and whose groups are still apart are verified.
+    """
+    spark = members.sparkSession
+    pair = "a long, b long"
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition(n_partitions(spark), "block").sortWithinPartitions("block", "id")
 
-    hits = cut(dealt(told).mapInArrow(near, "block long, id long, group long"))
-    if hits.isEmpty():
-        return hits.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    def tell(left: list[int], right: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _runs(batches):
+            ids, found, roots = b.column(1).to_pylist(), ([], []), Roots()
+            for i, others in sketch_pairs([np.frombuffer(x.as_buffer(), "<u8") for x in b.column(3)], b.column(2).to_numpy(), percent):
+                for j in others.tolist():
+                    if roots.merge(i, j):
+                        found[0].append(ids[i])
+                        found[1].append(ids[j])
+            if found[0]:
+                yield tell(*found)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _runs(batches):
-            ids, group = b.column(1).to_numpy(), b.column(2).to_numpy()
+            ids, group, found, roots = b.column(1).to_pylist(), b.column(2).to_numpy(), ([], []), Roots()
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(3)]
-            up = {g: g for g in group.tolist()}
-
-            def root(g: int, up: dict[int, int] = up) -> int:
-                while up[g] != g:
-                    up[g] = up[up[g]]
-                    g = up[g]
-                return g
-
-            left, right = [], []
             for i, others in sketch_pairs([sketch(s) for s in sets], group, percent):
                 for j in others.tolist():
-                    x, y = root(int(group[i])), root(int(group[j]))
-                    if x != y and linked(sets[i], sets[j], percent):
-                        up[max(x, y)] = min(x, y)
-                        left.append(int(ids[i]))
-                        right.append(int(ids[j]))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                    x, y = int(group[i]), int(group[j])
+                    if roots.of(x) != roots.of(y) and linked(sets[i], sets[j], percent):
+                        roots.merge(x, y)
+                        found[0].append(ids[i])
+                        found[1].append(ids[j])
+            if found[0]:
+                yield tell(*found)
 
-    return dealt(with_sets(hits, base, n).select("block", "id", "group", "elements")).mapInArrow(check, "a long, b long")
+    told = blocks(members, most).join(facts.select("id", "sketch"), "id").select("block", "id", "group", "sketch")
+    maybe = cut(dealt(told).mapInArrow(near, pair).distinct())
+    if maybe.isEmpty():
+        return maybe
+    clusters = components(maybe).withColumnRenamed("component", "sig")
+    clusters = cut(clusters.join(members.select("id", "group", "weight").distinct(), "id").select("sig", "id", "group", "weight"))
+    return dealt(with_sets(cut(blocks(clusters, most)), base, n).select("block", "id", "group", "elements")).mapInArrow(check, pair)
 
 
 def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, most: int = 2048) -> DataFrame:
@@ -454,12 +479,8 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = cut(join_hot(facts.where("n_shingles > 0").select("id", "digest"), classes, "digest", "n", total, hot).select("id", "class_id"))
 
     by_key = W.partitionBy("key").orderBy("id")
-    marks = signed(base, shingle, percent, large).select(
-        F.coalesce("sig", "key").alias("sig"),
-        "id",
-        F.when(F.col("sig").isNull(), F.min("id").over(by_key.rowsBetween(W.unboundedPreceding, 0))).otherwise(F.col("first")).alias("first"),
-        (F.col("first").isNotNull() | F.lead("id").over(by_key).isNotNull()).alias("more"),
-    )
+    first, more = F.min("id").over(by_key.rowsBetween(W.unboundedPreceding, 0)), F.lead("id").over(by_key).isNotNull()
+    marks = signed(base, shingle, percent, large).select(F.shiftright("key", SALT).alias("sig"), "id", first.alias("first"), more.alias("more"))
     # (sig, id, first): who shares a signature, and the smallest id there or in the batch. Classes act through one id.
     # (sig, id, first): who shares a signature, and the smallest id there or in the batch. One id stands for a class.
     copies = placed.where("id <> class_id")
