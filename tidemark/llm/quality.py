@@ -1,15 +1,20 @@
 """Document quality by weak supervision, in DataFrame operations only.
 
 Rules look at one document each and vote good, bad or abstain. Their accuracies are not set by hand: expectation
-maximisation over all documents that pass the base rule estimates them with the share of good ones (the label model of
-conditionally independent voters), and a document stays if its posterior probability of being good reaches a
-threshold. Only the counts of vote patterns enter the estimation, at most 3 to the power of the number of rules, so
-the driver never sees documents.
+maximisation over all documents that pass the base rule estimates what each rule says of good and of bad documents,
+together with the share of good ones, from the votes alone. It starts from a count of votes in which a bad vote weighs
+``weigh`` good ones, which only fixes what is called bad; rules that say the same of both kinds end up with no weight.
+Rules that see one cause (symbols, letters) agree more often than independent voters would; each rule's weight is
+divided by 1 plus its correlations with the others within the kinds. A document stays if its posterior probability of
+being good reaches a threshold. Only the counts of vote patterns enter the estimation, at most 3 to the power of the
+number of rules, so the driver never sees documents.
 
 Base measures follow fixed definitions (words are ``[^\\x20\\x09-\\x0D]+``). Repeated 8-word windows are found in two
 steps: hashes of all windows first, and only where two of those agree the windows themselves are compared.
 
-Defined results: null text has no words and fails the base rule; ties do not arise; empty tables give empty results;
+Defined results: null text has no words and fails the base rule; a posterior equal to the threshold keeps the
+document; documents with equal votes, copies among them, have equal posteriors; where no document passes the base rule
+there is nothing to estimate; very long texts are measured whole; rows may repeat; empty tables give empty results;
 other columns may have any names.
 """
 
@@ -61,6 +66,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = docs.select(F.col(f"`{id_col}`").alias(id_col), text.alias("text"), words_of(text).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     letters = F.length(F.regexp_replace("text", "[^\\p{L}]++", ""))
+    wordless = F.regexp_count("text", F.lit(f"(?<![^{SPACE}])[^{SPACE}\\p{{L}}]++(?![^{SPACE}])"))
+    endings = F.filter("lines", lambda x: x.rlike(f"[.!?\u2026\u3002][\"')\u00bb\u201d]?[{SPACE}]*$"))
     return base.withColumn("lines", lines).select(
         id_col,
         F.size("words").cast("long").alias("n_words"),
@@ -70,7 +77,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _repeated(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         letters.cast("long").alias("n_letters"),
-        F.length(F.regexp_replace("text", "[^\\p{Lu}]++", "")).cast("long").alias("n_capitals"),
+        wordless.cast("long").alias("n_wordless"),
+        F.size(endings).cast("long").alias("n_endings"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
     )
 
@@ -82,59 +90,79 @@ def votes(m: DataFrame) -> dict[str, Column]:
     def rule(good: Column, bad: Column) -> Column:
         return F.when(good, 1).when(bad, -1).otherwise(0)
 
-    symbols, repeats, dups = F.col("n_symbols") / chars, F.col("n_repeat_words") / n, F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)).cast("double")
-    letters, capitals = F.col("n_letters") / chars, F.col("n_capitals") / F.greatest("n_letters", F.lit(1)).cast("double")
-    mean, rich = chars / n, F.col("n_distinct") / n
+    lines = F.greatest("n_lines", F.lit(1)).cast("double")
+    symbols, letters, wordless = F.col("n_symbols") / chars, F.col("n_letters") / chars, F.col("n_wordless") / n
+    repeats, dups, endings, rich = F.col("n_repeat_words") / n, F.col("n_dup_lines") / lines, F.col("n_endings") / lines, F.col("n_distinct") / n
     return {
-        "symbols": rule(symbols < 0.01, symbols > 0.04),
-        "repeats": rule(repeats < 0.05, repeats > 0.2),
+        "symbols": rule(symbols < 0.01, symbols > 0.05),
+        "letters": rule(letters > 0.93, letters < 0.85),
+        "wordless": rule(wordless < 0.03, wordless > 0.2),
+        "repeats": rule(repeats < 0.02, repeats > 0.15),
         "lines": rule(dups < 0.05, dups > 0.2),
-        "letters": rule(letters > 0.92, letters < 0.88),
-        "capitals": rule(capitals < 0.2, capitals > 0.5),
-        "length": rule((mean > 2.5) & (mean < 12), (mean < 2) | (mean > 20)),
-        "variety": rule((rich > 0.3) | (F.col("n_words") > 2000), (rich < 0.15) & (F.col("n_words") < 2000)),
-        "size": rule(F.col("n_words") >= 50, F.col("n_words") < 20),
+        "endings": rule(endings > 0.9, endings < 0.6),
+        "variety": rule(rich > 0.6, (rich < 0.3) & (F.col("n_words") < 2000)),
+        "size": rule(F.col("n_words") >= 100, F.col("n_words") < 40),
     }
 
 
-def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, good_share: float = 0.9, accuracy: float = 0.9, anchor: float = 0.02, n_rules: int | None = None) -> dict:
-    """EM for conditionally independent voters from (votes, count) of all patterns.
+KINDS = (1, -1)
 
-    Parameters per rule are P(vote | good) and P(vote | bad) over the three votes. A prior worth ``anchor`` of all
-    rows holds them near a voter of the given starting accuracy, so that ``good`` and ``bad`` keep their meaning.
-    """
+
+def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 300, weigh: int = 3, n_rules: int | None = None) -> dict:
+    """EM for voters from (votes, count) of all patterns: the share of good ones, P(vote | kind) per rule, and each
+    rule's discount for correlation with other rules."""
     n_rules = len(patterns[0][0]) if patterns else n_rules or 0
     total = sum(c for _, c in patterns)
-    share = good_share
-    say = [{y: {v: (0.2 if v == 0 else 0.8 * (accuracy if v == y else 1 - accuracy)) for v in (-1, 0, 1)} for y in (1, -1)} for _ in range(n_rules)]
-    prior, worth = say, 1 + anchor * total
+    p = [(v.count(1) + 1) / (v.count(1) + weigh * v.count(-1) + 2) for v, _ in patterns]
+    model: dict = {}
     for _ in range(rounds):
-        new = [{y: {v: worth * p for v, p in row[y].items()} for y in (1, -1)} for row in prior]
-        good = 0.0
-        for v, c in patterns:
-            p = posterior({"share": share, "say": say}, v)
-            good += p * c
+        say = [{y: dict.fromkeys((-1, 0, 1), 1.0) for y in KINDS} for _ in range(n_rules)]
+        for (v, c), good in zip(patterns, p, strict=True):
             for k, x in enumerate(v):
-                new[k][1][x] += p * c
-                new[k][-1][x] += (1 - p) * c
-        moved = abs(share - (good + 1) / (total + 2))
-        share = (good + 1) / (total + 2)
-        say = [{y: {v: n / sum(row[y].values()) for v, n in row[y].items()} for y in (1, -1)} for row in new]
+                say[k][1][x] += good * c
+                say[k][-1][x] += (1 - good) * c
+        say = [{y: {v: n / sum(row[y].values()) for v, n in row[y].items()} for y in KINDS} for row in say]
+        share = (sum(good * c for good, (_, c) in zip(p, patterns, strict=True)) + 1) / (total + 2)
+        model = {"share": share, "say": say, "trust": [1.0] * n_rules}
+        new = [posterior(model, v) for v, _ in patterns]
+        moved = max((abs(a - b) for a, b in zip(p, new, strict=True)), default=0.0)
+        p = new
         if moved < 1e-9:
             break
-    return {"share": share, "say": say}
+    return model | {"trust": _trust(patterns, p, n_rules)}
+
+
+def _trust(patterns: list[tuple[tuple[int, ...], int]], p: list[float], n_rules: int) -> list[float]:
+    """1 / (1 + the sum of a rule's correlations with the others within the kinds)."""
+    joint = [[0.0] * n_rules for _ in range(n_rules)]
+    for kind in KINDS:
+        weights = [c * (good if kind == 1 else 1 - good) for good, (_, c) in zip(p, patterns, strict=True)]
+        mass = sum(weights)
+        if mass <= 0:
+            continue
+        mean = [sum(w * v[k] for w, (v, _) in zip(weights, patterns, strict=True)) / mass for k in range(n_rules)]
+        for a in range(n_rules):
+            for b in range(n_rules):
+                joint[a][b] += sum(w * (v[a] - mean[a]) * (v[b] - mean[b]) for w, (v, _) in zip(weights, patterns, strict=True))
+    wide = [math.sqrt(joint[k][k]) for k in range(n_rules)]
+    alike = [[abs(joint[a][b]) / (wide[a] * wide[b]) if wide[a] * wide[b] > 0 else 0.0 for b in range(n_rules)] for a in range(n_rules)]
+    return [1 / (1 + sum(x for b, x in enumerate(alike[a]) if b != a)) for a in range(n_rules)]
+
+
+def _weight(model: dict, k: int, vote: int) -> float:
+    say = model["say"][k]
+    return model["trust"][k] * (math.log(say[1][vote]) - math.log(say[-1][vote]))
 
 
 def posterior(model: dict, v: tuple[int, ...]) -> float:
-    odds = math.log(model["share"]) - math.log(1 - model["share"])
-    odds += sum(math.log(model["say"][k][1][x]) - math.log(model["say"][k][-1][x]) for k, x in enumerate(v))
+    odds = math.log(model["share"]) - math.log(1 - model["share"]) + sum(_weight(model, k, x) for k, x in enumerate(v))
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, cache=None) -> DataFrame:
     """Per row: id, base measures, base_failed, quality (posterior probability of good), kept.
 
-    ``cache`` materialises the measures between estimation and scoring (default: a checkpoint of the numbers only).
+    ``cache`` materialises the measures between estimation and scoring (default: a written table of the numbers only).
     """
     from tidemark.llm.common import cut
 
@@ -146,9 +174,8 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     patterns = [(tuple(r[x] for x in names), r["count"]) for r in cast.where(~failed).groupBy(*names).count().orderBy(*names).collect()]
     model = fit_label_model(patterns, n_rules=len(names))
     odds = F.lit(math.log(model["share"]) - math.log(1 - model["share"]))
-    for name, say in zip(names, model["say"], strict=True):
-        weight = {x: math.log(say[1][x]) - math.log(say[-1][x]) for x in (-1, 0, 1)}
-        odds = odds + F.when(F.col(name) == 1, weight[1]).when(F.col(name) == -1, weight[-1]).otherwise(weight[0])
+    for k, name in enumerate(names):
+        odds = odds + F.when(F.col(name) == 1, _weight(model, k, 1)).when(F.col(name) == -1, _weight(model, k, -1)).otherwise(_weight(model, k, 0))
     quality = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), odds))))
     out = cast.withColumn("quality", quality).withColumn("base_failed", failed)
     return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), F.round("quality", 6).alias("quality"))
