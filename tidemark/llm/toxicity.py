@@ -1,19 +1,23 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded, stratified sample of labelled rows (``per_class`` of each label, those with the smallest
-hashes). Terms are words (runs of letters, lower case) and word beginnings that the examples associate with a label: in at least ``least`` times
-as many examples as the rarer label has, which keeps out words of one group of copies, with a chi-square of at least
-``chi`` and an odds ratio of at least ``odds`` either way. Vectors are ``(1 + ln tf) * idf`` over those terms, of unit length.
-
-The inverted index keeps, per term, its postings in blocks of ``block`` examples with the largest weight of each block.
-A query adds up the block maxima of its terms, visits blocks in order of that bound and stops once the bound is below
-the k-th best cosine so far; the k nearest are therefore exact. Their labels vote with their cosines as weights;
+hashes; rows that repeat text and label count once). Terms are all words of the examples (runs of letters, lower case);
+none is left out. A vector holds ``(1 + ln tf) * idf * relevance`` of unit length; words that no example has count in
+a text's length. ``relevance`` is the supervised factor of term weighting: ``floor`` for words whose
+log odds between the labels lie within ``sure`` standard errors of 0, and more by what exceeds that. So words of a
+topic or a language still find neighbours, but do not drown the few that tell the labels apart.
+
+The inverted index keeps, per term, its postings in blocks of ``block`` examples with the largest weight of each block;
+examples that share their heaviest term lie side by side. A query adds up the block maxima of its terms, scores the
+blocks of the highest bounds, and then all blocks whose bound is not below the k-th best cosine so far; the k nearest
+are therefore exact. Their labels vote with their cosines as weights;
 isotonic regression on left-out votes of the examples, reweighted to the true share of labels, calibrates the vote.
 The nearest examples and their cosines are returned as evidence.
 
-Defined results: texts without any term (null and empty ones too) get the calibrated share of such examples; ties in
-cosine go to the example with the smaller number; without labelled rows every score is 0; rows may repeat; empty
-tables give empty results; other columns may have any names.
+Defined results: texts that share no word with an example (null and empty ones too) get the calibrated share of such
+examples, or the share of label 1 if there are none; ties in cosine (to 12 digits) go to the example with the smaller
+number; without labelled rows every score is 0; very long texts are scored whole; rows may repeat; empty tables give
+empty results; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,54 +38,55 @@ from tidemark.llm.langid import remainder
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(text: str, known: dict | None = None, heads: set[str] | None = None) -> Counter[str]:
-    """Counts of the words of the whole text and of their beginnings (4 to 6 letters); only ``known`` ones if given.
-
-    ``heads``: the first four letters of all known terms, which most words do not share.
-    """
-    out: Counter[str] = Counter()
-    for w, c in Counter(WORD.findall(text.lower())).items():
-        if heads is None or w[:4] in heads:
-            for t in (w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)):
-                if known is None or t in known:
-                    out[t] += c
-    return out
+def terms_of(text: str) -> Counter[str]:
+    """Counts of the words of the whole text."""
+    return Counter(WORD.findall(text.lower()))
 
 
 class Index:
-    """Block-max inverted index over unit vectors."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
-        self.block, self.n = block, len(vectors)
-        self.n_blocks = -(-self.n // block)
-        self.top = np.zeros((n_terms, self.n_blocks), np.float64)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((i, w))
-                self.top[t, i // block] = max(self.top[t, i // block], w)
-        self.docs = [np.array([i for i, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x], np.float64) for x in lists]
-        cuts = np.arange(self.n_blocks + 1) * block
-        self.starts = [np.searchsorted(d, cuts) for d in self.docs]
-
-    def search(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[int, float]]:
+    """Block-max inverted index over unit vectors, given as (term, example, weight) postings in order of term, example."""
+
+    def __init__(self, terms: np.ndarray, docs: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int = 64):
+        self.block, self.n, self.docs, self.weights = block, n, docs, weights
+        self.n_blocks = -(-n // block)
+        cell = terms.astype(np.int64) * self.n_blocks + docs // block
+        self.top = np.zeros(n_terms * self.n_blocks)
+        np.maximum.at(self.top, cell, weights)
+        self.top = self.top.reshape(n_terms, self.n_blocks)
+        size = np.bincount(cell, minlength=n_terms * self.n_blocks)
+        self.starts = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+
+    def scores(self, terms: np.ndarray, query: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of the examples of some blocks; 0 elsewhere."""
+        cells = (terms[:, None] * self.n_blocks + blocks).ravel()
+        a = self.starts[cells]
+        size = self.starts[cells + 1] - a
+        some = size > 0
+        a, size = a[some], size[some]
+        at = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum())) if len(a) else np.zeros(0, np.int64)
+        return np.bincount(self.docs[at], self.weights[at] * np.repeat(np.repeat(query, len(blocks))[some], size), minlength=self.n)
+
+    def search(self, terms: np.ndarray, query: np.ndarray, k: int, skip: int = -1) -> list[tuple[int, float]]:
         """The k examples with the largest positive cosine, without example ``skip``."""
-        terms = sorted(query)
-        bound = sum(query[t] * self.top[t] for t in terms)
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-12):
-                break
-            score = np.zeros(self.block)
-            for t in terms:
-                a, z = self.starts[t][b], self.starts[t][b + 1]
-                score[self.docs[t][a:z] - b * self.block] += query[t] * self.weights[t][a:z]
-            for i in np.flatnonzero(score).tolist():
-                if b * self.block + i != skip:
-                    best.append((float(score[i]), b * self.block + i))
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return [(i, s) for s, i in best]
+        if not len(terms) or not self.n:
+            return []
+        bound = query @ self.top[terms]
+        order = np.argsort(-bound, kind="stable")
+        some = order[: max(1, -(-2 * k // self.block) + 1)]
+        score = self.scores(terms, query, some)
+        if skip >= 0:
+            score[skip] = 0
+        least = np.partition(score, -k)[-k] if self.n > k else 0.0
+        rest = order[len(some) :]
+        rest = rest[(bound[rest] > 0) & (bound[rest] >= least - 1e-9)]
+        if len(rest):
+            score = score + self.scores(terms, query, rest)
+            if skip >= 0:
+                score[skip] = 0
+            least = np.partition(score, -k)[-k] if self.n > k else 0.0
+        near = np.flatnonzero((score >= least - 1e-12) & (score > 0))
+        near = near[np.lexsort((near, -np.round(score[near], 12)))][:k]
+        return [(int(i), float(score[i])) for i in near]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,66 +107,74 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    def __init__(self, examples: list[tuple[object, str, int]], shares: dict[int, float] | None = None, k: int = 10, least: float = 0.06, chi: float = 12.0, odds: float = 5.0, block: int = 64):
+    def __init__(self, examples: list[tuple[object, str, int]], shares: dict[int, float] | None = None, k: int = 10, floor: float = 0.05, sure: float = 2.0, block: int = 64):
         self.k = k
-        self.ids = [i for i, _, _ in examples]
-        self.labels = np.array([y for _, _, y in examples], np.float64)
-        counts = [terms_of(x) for _, x, _ in examples]
+        once = {(x, y): i for i, x, y in reversed(examples)}
+        kept = [(i, x, y) for (x, y), i in once.items()][::-1]
+        counts = [terms_of(x) for _, x, _ in kept]
         df, toxic = Counter(), Counter()
-        for c, (_, _, y) in zip(counts, examples, strict=True):
+        for c, (_, _, y) in zip(counts, kept, strict=True):
             df.update(c.keys())
             if y:
                 toxic.update(c.keys())
-        n, pos = len(examples), float(self.labels.sum())
-        keep, min_df = [], max(3, least * min(pos, n - pos))
-        for t, d in df.items():
-            if d < min_df or not 0 < pos < n:
-                continue
-            a, b = toxic[t], d - toxic[t]
-            c, e = pos - a, n - pos - b
-            ratio = (a + 0.5) * (e + 0.5) / ((b + 0.5) * (c + 0.5))
-            if max(ratio, 1 / ratio) >= odds and n * (a * e - b * c) ** 2 / max(1e-9, d * (n - d) * pos * (n - pos)) >= chi:
-                keep.append(t)
-        self.terms = {t: i for i, t in enumerate(sorted(keep))}
-        self.heads = {t.rstrip("*")[:4] for t in keep}
-        self.idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in sorted(keep)])
+        words = sorted(df)
+        n, pos = len(kept), sum(y for _, _, y in kept)
+        self.terms = {t: i for i, t in enumerate(words)}
+        d, a = np.array([df[t] for t in words], float), np.array([toxic[t] for t in words], float)
+        cells = np.array([a, pos - a, d - a, n - pos - d + a]) + 0.5  # with and without the term, label 1 and label 0
+        odds = np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])
+        far = np.maximum(0, np.abs(odds) / np.sqrt((1 / cells).sum(axis=0)) - sure)
+        self.worth = (np.log((1 + n) / (1 + d)) + 1) * (floor + far)
+        self.unknown = (np.log(1 + n) + 1) * floor
+        # Examples side by side that share their heaviest term among those that several have.
+        shared = np.where(d >= 8, self.worth, 0)
+        heavy = [max((self.terms[t] for t in c), key=lambda t: (shared[t], t), default=-1) for c in counts]
+        order = sorted(range(n), key=lambda i: (heavy[i], i))
+        counts = [counts[i] for i in order]
+        self.ids = [kept[i][0] for i in order]
+        self.labels = np.array([kept[i][2] for i in order], np.float64)
         vectors = [self.vector(c) for c in counts]
-        self.index = Index(vectors, len(self.terms), block)
+        sizes = [len(t) for t, _ in vectors]
+        terms = np.concatenate([*(t for t, _ in vectors), np.zeros(0, np.int64)])
+        docs = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        weights = np.concatenate([*(w for _, w in vectors), np.zeros(0)])
+        by_term = np.argsort(terms, kind="stable")
+        self.index = Index(terms[by_term], docs[by_term], weights[by_term], n, len(words), block)
         weight = np.ones(n)
         for y, share in (shares or {}).items():
             own = self.labels == y
             if own.any():
                 weight[own] = share * n / own.sum()
-        votes = [self.vote(self.index.search(v, k, i)) if v else None for i, v in enumerate(vectors)]
+        votes = [self.vote(self.index.search(*v, k, i)) if len(v[0]) else None for i, v in enumerate(vectors)]
         seen = np.array([v is not None for v in votes], bool)
-        self.blank = float((self.labels * weight)[~seen].sum() / weight[~seen].sum()) if (~seen).any() else float((self.labels * weight).sum() / weight.sum()) if n else 0.0
+        every = (self.labels * weight).sum() / weight.sum() if n else 0.0
+        self.blank = float((self.labels * weight)[~seen].sum() / weight[~seen].sum() if (~seen).any() else every)
         self.knots = self.values = None
         if seen.any():
             self.knots, self.values = isotonic(np.array([v for v in votes if v is not None]), self.labels[seen], weight[seen])
-        self.seen: dict[tuple, tuple] = {}
 
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        own = {self.terms[t]: (1 + np.log(c)) for t, c in counts.items() if t in self.terms}
-        raw = {t: float(w * self.idf[t]) for t, w in own.items()}
-        length = sum(w * w for w in raw.values()) ** 0.5
-        return {t: w / length for t, w in raw.items()}
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text and their weights; the length is that of all its terms."""
+        found = [self.terms.get(t, -1) for t in counts]
+        terms = np.array(found, np.int64)
+        raw = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        known = terms >= 0
+        raw[known] *= self.worth[terms[known]]
+        raw[~known] *= self.unknown
+        length = float(np.sqrt(raw @ raw)) or 1.0
+        order = np.argsort(terms[known], kind="stable")
+        return terms[known][order], (raw[known] / length)[order]
 
     def vote(self, near: list[tuple[int, float]]) -> float:
         total = sum(s for _, s in near)
-        return sum(s * self.labels[i] for i, s in near) / total if total else 0.0
+        return round(float(sum(s * self.labels[i] for i, s in near) / total), 9) if total else 0.0
 
     def score(self, text: str) -> tuple[float, list, list[float]]:
         """(score, nearest example ids, their cosines)."""
-        counts = terms_of(text, self.terms, self.heads) if self.terms else None
-        if not counts:
+        near = self.index.search(*self.vector(terms_of(text)), self.k)
+        if not near:
             return self.blank, [], []
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            near = self.index.search(self.vector(counts), self.k)
-            self.seen[key] = (float(np.interp(self.vote(near), self.knots, self.values)), [self.ids[i] for i, _ in near], [s for _, s in near])
-        return self.seen[key]
+        return float(np.interp(self.vote(near), self.knots, self.values)), [self.ids[i] for i, _ in near], [s for _, s in near]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000, **how) -> Model:
