@@ -313,6 +313,127 @@ def test_join_query_against_brute_force(spark):
     assert got == brute_groups([(r.doc_id, r.text) for r in docs], 3, 90)
 
 
+@pytest.fixture(scope="module")
+def documents(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("needs the driver's tables")
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def test_codec_queries_against_the_library(spark, documents):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    got = by_id(queries.op1_bpe_codec(spark, SF))
+    for k, t in documents:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        assert tuple(got[k])[1:4] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    library, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
+    library.no_truncation()
+    library.no_padding()
+    got = by_id(queries.op5_token_records(spark, SF))
+    for k, t in sorted(documents):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(got[k])[:4] == (k, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_secret_query_against_its_definition(spark, documents):
+    patterns = {"assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+    least = {"assign": 8, "access": 16, "hex": 32}
+    got = by_id(queries.op2_secret_scan(spark, SF))
+    scanner = secret_scan.fit_scanner(spark.read.parquet(f"{SF}/documents.parquet"))
+    for k, t in documents:
+        spans = [(m.start(), list(least).index(kind), m.end()) for kind, p in patterns.items() for m in re.finditer(p, t or "") if len(m.group(m.lastindex or 0)) >= least[kind]]
+        told = [f"{list(least)[x]}:{a}:{z}" for a, x, z in sorted(spans)]
+        assert got[k].base_sha256 == hashlib.sha256(",".join(told).encode()).hexdigest()
+        more = [s for s in got[k].spans.split(",") if s and s not in told]
+        assert all(s.startswith("format:") for s in more) and len(more) == got[k].n_format
+        free = [m for m in re.finditer(r"[A-Za-z0-9+/_.=-]{12,}", t or "") if not any(a < m.end() and m.start() < z for a, _, z in spans)]
+        runs = [m.group().strip(".-") for m in free]
+        likely = [w for w in runs if len(w) >= 12 and re.search("[0-9]", w) and re.search("[A-Za-z]", w) and scanner.likely(w)]
+        assert [t[int(a) : int(z)] for _, a, z in (s.split(":") for s in more)] == likely
+
+
+def test_quality_query_against_plain_python(spark, documents):
+    def share(a, b):
+        return a / max(b, 1)
+
+    def vote(good, bad):
+        return 1 if good else -1 if bad else 0
+
+    own = {}
+    for k, t in documents:
+        n, chars, symbols, dups, repeats = base_measures(t)
+        w, lines = re.findall(WORDS, t or ""), [s for s in (t or "").split("\n") if re.search(WORDS, s)]
+        letters, rich = share(sum(c.isalpha() for c in t or ""), chars), share(len(set(w)), n)
+        wordless, ends = share(sum(not any(c.isalpha() for c in x) for x in w), n), share(sum(bool(re.search("[.!?\u2026\u3002][\"')\u00bb\u201d]?[ \t-\r]*$", s)) for s in lines), len(lines))
+        votes = (
+            vote(share(symbols, chars) < 0.01, share(symbols, chars) > 0.05),
+            vote(letters > 0.93, letters < 0.85),
+            vote(wordless < 0.03, wordless > 0.2),
+            vote(share(repeats, n) < 0.02, share(repeats, n) > 0.15),
+            vote(share(dups, len(lines)) < 0.05, share(dups, len(lines)) > 0.2),
+            vote(ends > 0.9, ends < 0.6),
+            vote(rich > 0.6, rich < 0.3 and n < 2000),
+            vote(n >= 100, n < 40),
+        )
+        own[k] = (n, chars, symbols, dups, repeats, n < 20 or 100 * repeats > 30 * n, votes)
+    model = quality.fit_label_model(sorted(collections.Counter(x[-1] for x in own.values() if not x[5]).items()))
+    for k, r in by_id(queries.op3_quality_rules(spark, SF)).items():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == own[k][:6]
+        good = quality.posterior(model, own[k][-1])
+        assert abs(r.quality - good) < 1e-5 and r.kept == (not r.base_failed and good >= 0.5)
+
+
+def test_toxicity_query_against_brute_force(spark, documents):
+    """Cosines of every document with every example, with vectors as dictionaries."""
+    known, texts = spark.read.parquet(f"{SF}/labels.parquet").collect(), dict(documents)
+    examples = {}
+    for r in sorted(known, key=lambda r: r.doc_id):
+        if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in texts:
+            examples.setdefault((texts[r.doc_id] or "", r.toxic), r.doc_id)
+    words = {k: collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for k, t in documents}
+    label = {k: y for (_, y), k in examples.items()}
+    n, pos = len(label), sum(label.values())
+
+    def worth(t):
+        a, d = sum(y for k, y in label.items() if t in words[k]), sum(t in words[k] for k in label)
+        cells = [x + 0.5 for x in (a, pos - a, d - a, n - pos - d + a)]
+        z = abs(np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])) / np.sqrt(sum(1 / x for x in cells))
+        return (np.log((1 + n) / (1 + d)) + 1) * (0.05 + max(0, z - 2))
+
+    value = {t: worth(t) for t in set().union(*words.values())}
+    vectors = {}
+    for k, c in words.items():
+        raw = {t: (1 + np.log(f)) * value[t] for t, f in c.items()}
+        size = np.sqrt(sum(x * x for x in raw.values())) or 1.0
+        vectors[k] = {t: x / size for t, x in raw.items()}
+
+    def near(k, skip=None):
+        cosines = {e: sum(x * vectors[e].get(t, 0) for t, x in vectors[k].items()) for e in label if e != skip}
+        return sorted(((c, e) for e, c in cosines.items() if c > 0), key=lambda x: -x[0])[:10]
+
+    def vote(found):
+        return sum(c * label[e] for c, e in found) / sum(c for c, _ in found)
+
+    left = {e: near(e, e) for e in label}
+    shown = [e for e in label if left[e]]
+    all_labels = [r.toxic for r in known if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    share = {y: all_labels.count(y) / len(all_labels) for y in (0, 1)}
+    weight = np.array([share[label[e]] * n / list(label.values()).count(label[e]) for e in shown])
+    knots, values = toxicity.isotonic(np.array([round(vote(left[e]), 9) for e in shown]), np.array([float(label[e]) for e in shown]), weight)
+    got = by_id(queries.op6_toxicity(spark, SF))
+    for k, _ in documents:
+        found = near(k)
+        assert np.allclose([c for c, _ in found], got[k].cosines, atol=1e-9) and len(found) == len(got[k].evidence)
+        assert bool(found) == any(set(vectors[k]) & set(vectors[e]) for e in label)
+        if found:
+            assert abs(got[k].score - np.interp(round(vote(found), 9), knots, values)) < 1e-3
+            assert got[k].predicted == int(got[k].score >= 0.5)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

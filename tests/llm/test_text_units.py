@@ -1,5 +1,6 @@
 """Parts of the text operators that need no Spark."""
 
+import collections
 import io
 import random
 import zlib
@@ -110,6 +111,33 @@ def test_inferred_formats():
     assert s.spans("") == ([], [])
 
 
+def test_formats_not_trained_on(monkeypatch):
+    """Each format left out in turn: most of its strings are still found, and hardly any other string."""
+    made, found, false = secret_scan.labelled_strings, 0, 0
+    for left in secret_scan.FORMATS:
+        rest = {k: v for k, v in secret_scan.FORMATS.items() if k != left}
+        monkeypatch.setattr(secret_scan, "labelled_strings", lambda rest=rest: made(formats=rest))
+        s = secret_scan.Scanner()
+        found += sum(map(s.likely, made(seed=5, each=20, formats={left: secret_scan.FORMATS[left]})[0])) / 20
+        others = made(seed=77, each=20)[1]
+        false += sum(map(s.likely, others)) / len(others)
+    assert found >= 0.65 * len(secret_scan.FORMATS) and false <= 0.01 * len(secret_scan.FORMATS)
+
+
+def test_score_is_the_likelihood_of_the_path():
+    a = secret_scan.infer(["ab1-", "ab2-", "ax1-", "zz9"] * 30)
+    for x in ("ab1-", "zz9", "q=="):
+        word, at, total = secret_scan.symbols(x), 0, 0.0
+        share = {c: (sum(y.count(c) for y in map(secret_scan.symbols, ["ab1-", "ab2-", "ax1-", "zz9"] * 30)) + 1 / 12) / (15 * 30 + 121) for c in word}
+        for c in word:
+            n = sum(a.used[at].values()) + a.ending[at]
+            total += np.log((a.used[at].get(c, 0) + 4 * share[c]) / (n + 4))
+            at = a.arcs[at].get(c, at)
+        total += np.log((a.ending[at] + 4 * 121 / (15 * 30 + 121)) / (a.passing[at] + 4))
+        assert abs(a.score(word) - total / (len(word) + 1)) < 1e-9
+    assert sum(a.ending) == 120 and len(a.arcs) > 0
+
+
 def test_language_model():
     r = random.Random(1)
     word = {"aa": "abcde", "bb": "vwxyz"}
@@ -125,16 +153,23 @@ def test_block_max_search_is_exact():
     r = np.random.default_rng(3)
     vectors = []
     for _ in range(500):
-        t = r.choice(40, size=r.integers(1, 6), replace=False)
+        t = np.sort(r.choice(40, size=r.integers(1, 6), replace=False))
         w = r.random(len(t)) + 0.1
-        w /= np.linalg.norm(w)
-        vectors.append(dict(zip(t.tolist(), w.tolist(), strict=True)))
-    index = toxicity.Index(vectors, 40, block=16)
-    for q in vectors[:100]:
-        score = [sum(w * v.get(t, 0) for t, w in q.items()) for v in vectors]
-        want = sorted((i for i in range(500) if score[i] > 0), key=lambda i: (-round(score[i], 9), i))[:10]
-        got = index.search(q, 10)
-        assert np.allclose([s for _, s in got], [score[i] for i in want])
+        vectors.append((t, w / np.linalg.norm(w)))
+    vectors[7] = vectors[3]
+    flat = sorted((int(t), i, float(w)) for i, v in enumerate(vectors) for t, w in zip(*v, strict=True))
+    terms, docs, weights = (np.array(x) for x in zip(*flat, strict=True))
+    index = toxicity.Index(terms, docs, weights, 500, 40, block=16)
+    dense = np.zeros((500, 40))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for n, (t, w) in enumerate(vectors[:100]):
+        score = dense[:, t] @ w
+        score[n] = 0
+        want = sorted((i for i in range(500) if score[i] > 0), key=lambda i: (-round(score[i], 12), i))[:10]
+        got = index.search(t, w, 10, skip=n)
+        assert [i for i, _ in got] == want and np.allclose([s for _, s in got], score[want])
+    assert index.search(terms[:0], weights[:0], 10) == []
 
 
 def test_toxicity_votes_and_empty_model():
@@ -193,6 +228,23 @@ def test_label_model_finds_the_bad_rule():
     assert quality.fit_label_model([])["share"] > 0
 
 
+def test_label_model_recovers_accuracies():
+    """Votes drawn from known accuracies: EM finds them and gives a rule without information no weight."""
+    r = np.random.default_rng(2)
+    good = r.random(20_000) < 0.85
+    right = [0.95, 0.9, 0.8]
+    drawn = [np.where(r.random(len(good)) < 0.3, 0, np.where(r.random(len(good)) < q, 1, -1) * np.where(good, 1, -1)) for q in right]
+    drawn.append(np.where(r.random(len(good)) < 0.97, 1, -1))  # says the same of both
+    patterns = sorted(collections.Counter(map(tuple, np.array(drawn).T.tolist())).items())
+    m = quality.fit_label_model(patterns)
+    assert abs(m["share"] - 0.85) < 0.03
+    for k, q in enumerate(right):
+        assert abs(m["say"][k][1][1] - 0.7 * q) < 0.03 and abs(m["say"][k][-1][-1] - 0.7 * q) < 0.08
+    assert abs(quality._weight(m, 3, 1)) < 0.1
+    kept = sum(c for v, c in patterns if quality.posterior(m, v) >= 0.5)
+    assert 0.8 * len(good) < kept < 0.92 * len(good)
+
+
 def test_masked_checksum_rotates():
     c = zlib.crc32(b"abc")
     assert binrec.masked(b"abc") == (((c >> 15) | (c << 17)) + 0xA282EAD8) % (1 << 32)
