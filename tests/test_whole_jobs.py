@@ -1,6 +1,4 @@
 """Queries that cover every row of their job, against brute force on a small market.
-
-The SQL of some of them covers a part of the job only; that part is compared with it too.
 """
 
 import datetime as dt
@@ -63,7 +61,7 @@ def test_every_closed_interval_is_expanded(spark, market):
 
 @needs_tables
 def test_expansion_holds_what_the_sql_covers(spark):
-    got = catalog.QUERIES["join_14_range_expansion"](spark, SF).where("id % 20 = 0").toPandas()
+    got = catalog.QUERIES["join_14_range_expansion"](spark, SF).toPandas()
     assert plain(got, "id", "d") == plain(of_sql("join_14_range_expansion"), "id", "d")
 
 
@@ -101,7 +99,7 @@ def test_industry_pnl_of_all_days(spark, market):
 @needs_tables
 @pytest.mark.parametrize("name, columns", [("join_08_interval_join", "i d industry"), ("ana_06_industry_pnl", "d industry pnl")])
 def test_industries_hold_what_the_sql_covers(spark, name, columns):
-    got = catalog.QUERIES[name](spark, SF).where("d >= '2001-01-01'").toPandas()
+    got = catalog.QUERIES[name](spark, SF).toPandas()
     assert plain(got, *columns.split()) == plain(of_sql(name), *columns.split())
 
 
@@ -135,7 +133,7 @@ def test_unpivot_of_all_instruments(spark, market):
 
 
 @needs_tables
-@pytest.mark.parametrize("name, columns, part", [("agg_17_covariance", "x y cov", "x < 6 and y < 6"), ("agg_19_unpivot", "i d field value", "i < 2")])
-def test_all_instruments_hold_what_the_sql_covers(spark, name, columns, part):
-    got, want = (plain(x, *columns.split()) for x in (catalog.QUERIES[name](spark, SF).where(part).toPandas(), of_sql(name)))
+@pytest.mark.parametrize("name, columns", [("agg_17_covariance", "x y cov"), ("agg_19_unpivot", "i d field value")])
+def test_all_instruments_hold_what_the_sql_covers(spark, name, columns):
+    got, want = (plain(x, *columns.split()) for x in (catalog.QUERIES[name](spark, SF).toPandas(), of_sql(name)))
     assert [r[:-1] for r in got] == [r[:-1] for r in want] and np.allclose([r[-1] for r in got], [r[-1] for r in want], rtol=1e-9)

@@ -7,6 +7,7 @@ how rows arrive.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,25 +91,22 @@ def zscore(x: Column, keys: list[str] | str) -> Column:
 def ewm(df: DataFrame, key: str, order: str, spans: dict[str, tuple[str, int]]) -> DataFrame:
     """``df`` with exponential means ``e_t = a x_t + (1 - a) e_(t-1)``, ``a = 2 / (span + 1)``, seeded by the first row.
 
-    ``spans`` maps each new column to (value column, span). The recursion has no window form: the rows of a key are
-    folded once as an array for all spans, so a key's history is one array.
+    ``spans`` maps each new column to (value column, span). The recursion has no window form: each key's rows meet in
+    one batch, in order, and one pass per column goes over them. Rows whose value is null repeat the last mean, and
+    the weight of what lies before them decays on; (key, order) must be unique.
     """
     values = sorted({v for v, _ in spans.values()})
-    packed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("__rows"))
-    outs = [F.col("__rows")]
-    for name, (value, span) in spans.items():
-        a = 2.0 / (span + 1)
-
-        def fold(value=value, a=a) -> Column:
-            start = F.array().cast("array<double>")
-            step = lambda acc, r: F.concat(acc, F.array(F.when(F.size(acc) == 0, r[value].cast("double")).otherwise(F.lit(a) * r[value] + F.lit(1 - a) * F.element_at(acc, -1))))
-            return F.aggregate("__rows", start, step)
-
-        outs.append(fold().alias(name))
-    made = packed.select(key, *outs)
-    zipped = made.select(key, F.explode(F.arrays_zip("__rows", *spans)).alias("__z"))
-    found = zipped.select(key, F.col(f"__z.__rows.{order}").alias(order), *[F.col(f"__z.{n}").alias(n) for n in spans])
-    return df.join(found, [key, order])
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([f"`{key}` {kinds[key]}", f"`{order}` {kinds[order]}", *[f"`{name}` double" for name in spans]])
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        for name, (value, span) in spans.items():
+            rows[name] = rows[value].astype(float).ewm(span=span, adjust=False).mean()
+        return rows[[key, order, *spans]]
+
+    made = df.select(key, order, *[F.col(v).cast("double").alias(v) for v in values]).groupBy(key).applyInPandas(fold, schema)
+    return df.join(made, [key, order])
 
 
 def runs(flag: Column, w: WindowSpec) -> Column:

@@ -124,7 +124,7 @@ def join_07(spark, sf_dir):
 
 
 @query("join_08_interval_join", with_views("""SELECT i, d, coalesce(industry, 'UNKNOWN') AS industry FROM (SELECT b.i, b.d, m.industry, row_number() OVER (PARTITION BY b.i, b.d ORDER BY m.start DESC NULLS LAST, m.industry DESC) AS n
-FROM (SELECT i, d FROM bars WHERE d >= DATE '2001-01-01') b LEFT JOIN membership m ON b.i = m.i AND m.start <= b.d AND (m."end" IS NULL OR m."end" >= b.d)) WHERE n = 1""", BARS, MEMBERSHIP))
+FROM bars b LEFT JOIN membership m ON b.i = m.i AND m.start <= b.d AND (m."end" IS NULL OR m."end" >= b.d)) WHERE n = 1""", BARS, MEMBERSHIP))
 def join_08(spark, sf_dir):
     days = bars(spark, sf_dir).select("i", "d")
     return interval_join(days, membership(spark, sf_dir), ["i"], "d", "start", "end", ["industry"], {"industry": "UNKNOWN"})
@@ -158,11 +158,18 @@ def join_11(spark, sf_dir):
     return root_of(tree, "id", "parent").select("id", "top")
 
 
-@query("join_12_benchmark_returns", with_views("SELECT a.d, a.r AS own, b.r AS bench FROM (SELECT d, round(avg(close), 6) AS r FROM bars WHERE i < 10 GROUP BY d) a JOIN (SELECT d, round(avg(close), 6) AS r FROM bars WHERE i >= 10 GROUP BY d) b USING (d)", BARS))
+def _mean(rows: str) -> str:
+    # Whole ten-thousandths are summed, so that the mean does not depend on the order of rows.
+    return f"SELECT d, sum(round(close * 10000)::BIGINT)::DOUBLE / count(*) AS r FROM bars WHERE {rows} GROUP BY d"
+
+
+@query("join_12_benchmark_returns", with_views(f"""SELECT a.d, a.r AS own, b.r AS bench
+FROM ({_mean("i < 10")}) a JOIN ({_mean("i >= 10")}) b USING (d)""", BARS))
 def join_12(spark, sf_dir):
     b = bars(spark, sf_dir)
-    mean = lambda cond, name: b.where(cond).groupBy("d").agg(F.round(F.avg("close"), 6).alias(name))
-    return mean("i < 10", "own").join(mean("i >= 10", "bench"), "d")
+    mean = F.sum(F.round(F.col("close") * 10000).cast("long")).cast("double") / F.count(F.lit(1))
+    own, bench = (b.where(rows).groupBy("d").agg(mean.alias(name)) for rows, name in (("i < 10", "own"), ("i >= 10", "bench")))
+    return own.join(bench, "d")
 
 
 @query("join_13_gaps", with_views("SELECT n.i, c.d FROM cal c CROSS JOIN instruments n WHERE c.d >= listed AND (delisted IS NULL OR c.d < delisted) AND NOT EXISTS (SELECT 1 FROM bars b WHERE b.i = n.i AND b.d = c.d)", BARS, CALENDAR, INSTRUMENTS))
@@ -172,7 +179,7 @@ def join_13(spark, sf_dir):
     return missing_sessions(bars(spark, sf_dir), calendar(spark, sf_dir), instruments(spark, sf_dir))
 
 
-@query("join_14_range_expansion", with_views("SELECT m.id, c.d FROM (SELECT * FROM membership WHERE \"end\" IS NOT NULL AND id % 20 = 0) m JOIN cal c ON c.d >= m.start AND c.d < m.\"end\"", CALENDAR, MEMBERSHIP))
+@query("join_14_range_expansion", with_views("SELECT m.id, c.d FROM (SELECT * FROM membership WHERE \"end\" IS NOT NULL) m JOIN cal c ON c.d >= m.start AND c.d < m.\"end\"", CALENDAR, MEMBERSHIP))
 def join_14(spark, sf_dir):
     from tidemark.operators.intervals import expand_sessions
 
@@ -275,7 +282,7 @@ def agg_16(spark, sf_dir):
     return r.groupBy("i").agg(F.round(F.product(1 + F.col("r")), 6).alias("growth"))
 
 
-@query("agg_17_covariance", with_views("SELECT a.i AS x, b.i AS y, round(CASE WHEN a.i = b.i THEN 1.0 ELSE 0.9 END * covar_samp(a.close, b.close), 2) AS cov FROM bars a JOIN bars b USING (d) WHERE a.i < 6 AND b.i < 6 GROUP BY 1, 2 HAVING count(*) > 1", BARS))
+@query("agg_17_covariance", with_views("SELECT a.i AS x, b.i AS y, round(CASE WHEN a.i = b.i THEN 1.0 ELSE 0.9 END * covar_samp(a.close, b.close), 2) AS cov FROM bars a JOIN bars b USING (d) GROUP BY 1, 2 HAVING count(*) > 1", BARS))
 def agg_17(spark, sf_dir):
     b = bars(spark, sf_dir)
     pairs = b.select("d", F.col("i").alias("x"), F.col("close").alias("cx")).join(b.select("d", F.col("i").alias("y"), F.col("close").alias("cy")), "d")
@@ -283,13 +290,17 @@ def agg_17(spark, sf_dir):
     return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.round(cov, 2).alias("cov")).where("n > 1").drop("n")
 
 
-@query("agg_18_pivot", with_views("SELECT d, max(close) FILTER (WHERE i = 0) AS c0, max(close) FILTER (WHERE i = 1) AS c1, max(close) FILTER (WHERE i = 2) AS c2 FROM bars WHERE i IN (0, 1, 2) GROUP BY d", BARS))
+_WIDE = ", ".join(f"max(close) FILTER (WHERE i = {k}) AS c{k}" for k in range(25))
+
+
+@query("agg_18_pivot", with_views(f"SELECT d, {_WIDE} FROM bars GROUP BY d", BARS))
 def agg_18(spark, sf_dir):
-    wide = bars(spark, sf_dir).where("i in (0, 1, 2)").groupBy("d").pivot("i", [0, 1, 2]).agg(F.max("close"))
-    return wide.select("d", *[F.col(str(k)).alias(f"c{k}") for k in range(3)])
+    # One column per nation; the names are given, so no pass over the data looks for them.
+    wide = bars(spark, sf_dir).groupBy("d").pivot("i", list(range(25))).agg(F.max("close"))
+    return wide.select("d", *[F.col(str(k)).alias(f"c{k}") for k in range(25)])
 
 
-@query("agg_19_unpivot", with_views("SELECT i, d, field, value FROM (UNPIVOT (SELECT i, d, open, close FROM bars WHERE i < 2) ON open, close INTO NAME field VALUE value)", BARS))
+@query("agg_19_unpivot", with_views("SELECT i, d, field, value FROM (UNPIVOT (SELECT i, d, open, close FROM bars) ON open, close INTO NAME field VALUE value)", BARS))
 def agg_19(spark, sf_dir):
     return bars(spark, sf_dir).select("i", "d", "open", "close").unpivot(["i", "d"], ["open", "close"], "field", "value").where("value is not null")
 

@@ -259,7 +259,7 @@ def ana_04(spark, sf_dir):
 
 
 @query("ana_06_industry_pnl", with_views("""p AS (SELECT i, d, coalesce(lag(volume) OVER w * (close - lag(close) OVER w), 0) AS pnl FROM bars WINDOW w AS (PARTITION BY i ORDER BY d)),
-j AS (SELECT p.i, p.d, p.pnl, m.industry, row_number() OVER (PARTITION BY p.i, p.d ORDER BY m.start DESC NULLS LAST, m.industry DESC) AS n FROM p LEFT JOIN membership m ON p.i = m.i AND m.start <= p.d AND (m."end" IS NULL OR m."end" >= p.d) WHERE p.d >= DATE '2001-01-01')
+j AS (SELECT p.i, p.d, p.pnl, m.industry, row_number() OVER (PARTITION BY p.i, p.d ORDER BY m.start DESC NULLS LAST, m.industry DESC) AS n FROM p LEFT JOIN membership m ON p.i = m.i AND m.start <= p.d AND (m."end" IS NULL OR m."end" >= p.d))
 SELECT d, coalesce(industry, 'UNKNOWN') AS industry, round(sum(pnl) + 1e-6, 3) AS pnl FROM j WHERE n = 1 GROUP BY 1, 2""", BARS, MEMBERSHIP))
 def ana_06(spark, sf_dir):
     rows = bars(spark, sf_dir).select("i", "d", F.col("volume").alias("quantity"), F.col("close").alias("price"))
@@ -281,7 +281,7 @@ RUNS = {1: bt.Rules(participation=100.0), 2: bt.Rules(timing="next_close", parti
 
 
 def _backtest(spark, sf_dir):
-    goals = _targets(spark, sf_dir).where("d >= '1999-01-01'")
+    goals = _targets(spark, sf_dir)
     every = goals.withColumn("run", F.explode(F.array(*[F.lit(k).cast("long") for k in RUNS])))
     return bt.run_backtests(bars(spark, sf_dir), every, actions(spark, sf_dir), instruments(spark, sf_dir), RUNS)
 

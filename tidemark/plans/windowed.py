@@ -67,11 +67,11 @@ def win_07(spark, sf_dir):
     return _one(spark, sf_dir, corr=F.round(win.rolling_corr(F.col("close"), F.col("volume"), 20, by_day()), 6))
 
 
-@query("win_08_ewm", with_views("""l AS (SELECT i, list(close ORDER BY d) AS c, list(d ORDER BY d) AS ds FROM bars GROUP BY i),
-e AS (SELECT i, unnest(ds) AS d, unnest(list_transform(range(1, len(c) + 1), lambda n: list_reduce(c[1:n], lambda a, x: a * (1 - 2.0::DOUBLE / 21) + x * (2.0::DOUBLE / 21)))) AS e FROM l WHERE i < 3)
-SELECT i, d, round(e, 5) AS e FROM e""", BARS))
+@query("win_08_ewm", with_views("""n AS (SELECT i, d, close, row_number() OVER (PARTITION BY i ORDER BY d) - 1 AS t FROM bars),
+s AS (SELECT *, sum(close * CASE WHEN t = 0 THEN 1 ELSE 2.0::DOUBLE / 21 END * pow(21.0::DOUBLE / 19, t)) OVER (PARTITION BY i ORDER BY d) AS total FROM n)
+SELECT i, d, round(total * pow(19.0::DOUBLE / 21, t), 5) AS e FROM s""", BARS))
 def win_08(spark, sf_dir):
-    rows = win.ewm(bars(spark, sf_dir).where("i < 3").select("i", "d", "close"), "i", "d", {"e": ("close", 20)})
+    rows = win.ewm(bars(spark, sf_dir).select("i", "d", "close"), "i", "d", {"e": ("close", 20)})
     return rows.select("i", "d", F.round("e", 5).alias("e"))
 
 
