@@ -62,12 +62,21 @@ def test_delisting(policy, nav):
 
 
 def test_constraints():
-    w = por.constrain({"a": 0.5, "b": 0.3, "c": 0.2}, por.Limits(instrument=0.4))
+    w, _ = por.constrain({"a": 0.5, "b": 0.3, "c": 0.2}, por.Limits(instrument=0.4))
     assert max(w.values()) <= 0.4 + 1e-12 and math.isclose(sum(w.values()), 1.0)
-    w = por.constrain({"a": 0.5, "b": 0.5}, por.Limits(industry=0.6), industry={"a": "x", "b": "x"})
+    w, _ = por.constrain({"a": 0.5, "b": 0.5}, por.Limits(industry=0.6), industry={"a": "x", "b": "x"})
     assert math.isclose(sum(w.values()), 0.6)
-    w = por.constrain({"a": 1.0}, por.Limits(turnover=0.25), previous={"b": 1.0})
-    assert math.isclose(w["a"], 0.25) and math.isclose(w["b"], 0.75)
+    w, told = por.constrain({"a": 1.0}, por.Limits(turnover=0.25), previous={"b": 1.0})
+    assert math.isclose(w["a"], 0.25) and math.isclose(w["b"], 0.75) and ("turnover", 0.25) in told["changes"]
+    # A shorter step would leave too much in b, so the whole step is kept and reported.
+    w, told = por.constrain({"a": 0.5, "c": 0.5}, por.Limits(instrument=0.6, turnover=0.25), previous={"b": 1.0})
+    assert w == {"a": 0.5, "c": 0.5} and told["turnover_kept"] == 1.0
+    w, told = por.constrain({"a": 0.9, "b": 0.1}, por.Limits(least_cash=0.2, least_holdings=3))
+    assert math.isclose(sum(w.values()), 0.8) and told["too_few_holdings"] == 2 and told["changes"][0][0] == "min_cash"
+    with pytest.raises(ConstraintError):
+        por.constrain({"a": 1.0}, por.Limits(industry=0.5))
+    with pytest.raises(ConstraintError):
+        por.constrain({"a": 1.0}, por.Limits(), universe={"b"})
     with pytest.raises(ConstraintError):
         por.constrain({"a": 1.2}, por.Limits())
     with pytest.raises(ConstraintError):
@@ -77,8 +86,11 @@ def test_constraints():
 
 
 def test_dropout_and_risk_parity():
-    assert por.top_k_dropout(list("abcdef"), ["c", "f"], 2, 4, 1) == ["c", "a"]
-    assert por.top_k_dropout(list("abcdef"), ["e", "f"], 2, 4, 1) == ["e", "a"]
+    # Names within the best k + buffer stay; the others' places are filled in order of rank.
+    assert por.top_k_dropout(list("abcdef"), ["c", "f"], 2, 2, 1) == (["c", "a"], ["c"], ["a"])
+    assert por.top_k_dropout(list("abcdef"), ["e", "f"], 2, 2, 1) == (["a", "b"], [], ["a"])
+    assert por.top_k_dropout(list("abcdef"), ["d", "c", "b"], 2, 2) == (["d", "c"], ["d", "c", "b"], [])
+    assert por.top_k_dropout(list("ab"), [], 3) == (["a", "b"], [], ["a", "b"])
     r = np.random.default_rng(1).normal(size=(60, 3)) * np.array([1.0, 2.0, 4.0])
     w = por.risk_parity(r)
     cov = np.cov(r, rowvar=False) * 0.9 + 0.1 * np.diag(np.diag(np.cov(r, rowvar=False)))
@@ -92,7 +104,7 @@ def test_factor_values_do_not_depend_on_the_end(spark):
     bars = spark.createDataFrame(rows, "i long, d date, close double, volume double, amount double, paused boolean")
     cal = bars.select("d").distinct().withColumn("idx", F.datediff("d", F.lit(D[0])).cast("long") + 1)
     end = D[0] + dt.timedelta(days=280)
-    for make in (lambda b, c: fac.beta(fac.session_returns(b, c), 60, 20), lambda b, c: fac.total_volatility(fac.session_returns(b, c), 60, 40), lambda b, c: fac.worst_loss(fac.session_returns(b, c), 60, 40)):
+    for make in (lambda b, c: fac.beta(fac.session_returns(b, c).withColumn("cap", F.col("amount")), 60, 20), lambda b, c: fac.total_volatility(fac.session_returns(b, c), 60, 40), lambda b, c: fac.worst_loss(fac.session_returns(b, c), 60, 40)):
         whole = make(bars, cal).where(F.col("d") <= F.lit(end)).orderBy("d", "i").collect()
         short = make(bars.where(F.col("d") <= F.lit(end)), cal.where(F.col("d") <= F.lit(end))).orderBy("d", "i").collect()
         assert len(whole) == len(short) > 100
@@ -179,3 +191,33 @@ def test_run_folder(spark, tmp_path):
     folder = write_run(df, {"total_return": 0.0}, {}, str(tmp_path / "run"))
     assert spark.read.parquet(os.path.join(folder, "nav")).count() == 3 and "Account" in open(os.path.join(folder, "report.html")).read()
     assert bt.reconcile(df, {1: bt.Rules().cash}).count() == 0
+
+
+def test_progressive_fill_is_the_highest_level():
+    """One level for all: found by bisection too, for caps on names and on groups."""
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(r.integers(1, 9))
+        base = {k: float(x) for k, x in enumerate(r.random(n))}
+        group = {k: int(r.integers(0, 3)) for k in base}
+        caps = [(frozenset([k]), 0.3) for k in base] + [(frozenset(k for k in base if group[k] == g), 0.4) for g in set(group.values())]
+        budget = float(r.random())
+
+        def filled(level, base=base, group=group):
+            top = {}
+            for g in set(group.values()):
+                own = [k for k in base if group[k] == g]
+                low, high = 0.0, level
+                if sum(min(0.3, base[k] * high) for k in own) > 0.4:
+                    for _ in range(80):
+                        mid = (low + high) / 2
+                        low, high = (mid, high) if sum(min(0.3, base[k] * mid) for k in own) <= 0.4 else (low, mid)
+                top |= {k: min(0.3, base[k] * high) for k in own}
+            return top
+
+        low, high = 0.0, 1e6
+        for _ in range(120):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(filled(mid).values()) <= budget else (low, mid)
+        got, want = por.progressive_fill(base, budget, caps), filled(low)
+        assert all(abs(got.get(k, 0.0) - want[k]) < 1e-6 for k in base)

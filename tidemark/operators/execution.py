@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 COSTS = ("commission_bps", "minimum_commission", "sell_tax_bps", "buy_tax_bps", "transfer_fee_bps")
@@ -55,3 +56,25 @@ def fills(orders: DataFrame, participation: float = 0.1, impact: float = 0.1, mo
     fee = F.greatest(c("minimum_commission"), notional * (c("commission_bps") + c("transfer_fee_bps")) / 1e4)
     tax = notional * F.when(c("side") > 0, c("buy_tax_bps")).otherwise(c("sell_tax_bps")) / 1e4
     return rows.withColumn("commission", F.when(c("filled") > 0, fee).otherwise(0.0)).withColumn("tax", F.when(c("filled") > 0, tax).otherwise(0.0)).withColumn("slippage", F.when(c("filled") > 0, F.abs(c("fill_price") - c("price")) * c("filled")).otherwise(0.0))
+
+
+def hold_limit_up(orders: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """Adds ``hold``: why a sell at the close is kept back, or null.
+
+    An active security that closes at its upper limit is held; without a known limit the rule cannot decide and the
+    order is rejected too.
+    """
+    c = F.col
+    applies = (c("side") < 0) & (c("phase") == "close") & ~F.coalesce("paused", F.lit(False)) & (c("volume") > 0)
+    rule = F.when(c("limit_up").isNull(), "missing_limit_up_for_hold_rule").when(c("close") >= c("limit_up") - tolerance, "strategy_hold_limit_up")
+    return orders.withColumn("hold", F.when(applies, rule))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join that raises at run time where a key is not unique on a side; no pass of its own looks for that."""
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        n = F.count(F.lit(1)).over(W.partitionBy(*keys))
+        return df.withColumn(name, F.when(n > 1, F.raise_error(F.lit(f"key is not unique: {', '.join(keys)}")).cast("int")).otherwise(1))
+
+    return counted(left, "__l").join(counted(right, "__r"), keys).where("__l = 1 and __r = 1").drop("__l", "__r")

@@ -84,8 +84,13 @@ def volatility_of_volatility(rows: DataFrame, short: int = 20, n: int = 252, nee
 
 
 def market_return(rows: DataFrame) -> DataFrame:
-    """(d, m): mean return per day, weighted by each instrument's amount on its previous row."""
-    weighted = rows.withColumn("w", F.lag("amount").over(series("i", "idx"))).where("r is not null and w > 0")
+    """(d, m): mean return per day, weighted by each instrument's ``cap`` on the session before.
+
+    Instruments without a return, or without a positive ``cap`` then, do not count; a day without any has no row.
+    """
+    w = series("i", "idx")
+    before = F.when(F.lag("idx").over(w) == F.col("idx") - 1, F.lag("cap").over(w))
+    weighted = rows.withColumn("w", before).where("r is not null and w > 0")
     return weighted.groupBy("d").agg(F.try_divide(F.sum(F.col("w") * F.col("r")), F.sum("w")).alias("m"))
 
 

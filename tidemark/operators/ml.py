@@ -108,3 +108,39 @@ def fit_ridge(train: DataFrame, columns: list[str], label: str, strength: float
 
 def predict_linear(rows: DataFrame, columns: list[str], weights: list[float], out: str = "score") -> DataFrame:
     return rows.withColumn(out, sum((F.col(c) * F.lit(w) for c, w in zip(columns, weights, strict=False)), F.lit(weights[-1])))
+
+
+def rolling_years(rows: DataFrame, first: int, last: int, years: int = 3, day: str = "d", end: str = "label_end") -> DataFrame:
+    """(test_year, part, rows...): each year after the first ``years`` with the ones before it as its training rows.
+
+    A training row's label must end before the test year begins; test years without rows of both parts are left out.
+    A row meets at most ``years + 1`` test years, which it names itself, so nothing is joined.
+    """
+    own = F.year(day)
+    copies = F.explode(F.array(*[F.struct((own + k).alias("test_year"), F.lit("test" if k == 0 else "train").alias("part")) for k in range(years + 1)]))
+    met = rows.withColumn("__f", copies).select("__f.*", *rows.columns)
+    met = met.where(F.col("test_year").between(first + years, last) & (own >= first))
+    met = met.where((F.col("part") == "test") | (F.col(end) < F.make_date(F.col("test_year"), F.lit(1), F.lit(1))))
+    full = met.groupBy("test_year").agg(F.countDistinct("part").alias("parts")).where("parts = 2").select("test_year")
+    return met.join(F.broadcast(full), "test_year")  # one row per year
+
+
+def held_out_sessions(rows: DataFrame, keys: list[str], sessions: int = 126, embargo: int = 2, day: str = "d", end: str = "label_end") -> DataFrame:
+    """``rows`` with ``role``: the last ``sessions`` dates of each fold validate, the ``embargo`` dates before them are
+    left out, as are rows whose label ends on or after the first validation date; the others fit."""
+    own = W.partitionBy(*keys)
+    back = F.dense_rank().over(own.orderBy(F.desc(day)))
+    marked = rows.withColumn("__back", back)
+    marked = marked.withColumn("__start", F.min(F.when(F.col("__back") <= sessions, F.col(day))).over(own))
+    role = F.when(F.col("__back") <= sessions, "validation").when(F.col("__back") <= sessions + embargo, "embargo").when(F.col(end) >= F.col("__start"), "purged").otherwise("fit")
+    return marked.withColumn("role", role).drop("__back", "__start")
+
+
+def grade_means(rows: DataFrame, grade: str, value: str) -> DataFrame:
+    """(grade, n, mean) of a value per grade."""
+    return rows.groupBy(grade).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+
+
+def importance(rows: DataFrame) -> DataFrame:
+    """(feature, mean, std, models) of (model, feature, gain): how features count over models; ``models`` use it."""
+    return rows.groupBy("feature").agg(F.avg("gain").alias("mean"), F.stddev_pop("gain").alias("std"), F.count_if(F.col("gain") != 0).alias("models"))

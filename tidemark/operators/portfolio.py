@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -59,18 +60,38 @@ def score_weighted(signal: DataFrame, kind: str = "positive", heat: float = 1.0)
     return rows.withColumn("sum", F.sum("raw").over(day)).where("sum > 0 and raw > 0").select("d", "i", (F.col("raw") / F.col("sum")).alias("weight"))
 
 
-def top_k_dropout(ranked: list[str], held: list[str], k: int, keep_until: int, replace: int) -> list[str]:
-    """The next holdings: names stay while they rank within ``keep_until``; at most ``replace`` leave, worst first."""
-    place = {x: n for n, x in enumerate(ranked)}
-    stay = sorted((x for x in held if x in place), key=place.get)
-    out = [x for x in reversed(stay) if place[x] >= keep_until][:replace]
-    kept = [x for x in stay if x not in out][:k]
-    for x in ranked:
-        if len(kept) >= k:
-            break
-        if x not in kept and x not in out:
-            kept.append(x)
-    return kept
+def top_k_dropout(ranked: list, held: list, k: int, buffer: int = 5, replace: int | None = None) -> tuple[list, list, list]:
+    """(next holdings, those kept, those added by right) of a ranking and the names held before.
+
+    A name stays while it ranks among the best ``k + buffer``. Empty places go to the best other names: the first
+    ``replace`` of them by right, the rest because the portfolio must be full, so the limit shows in the report only.
+    """
+    near = set(ranked[: k + buffer])
+    kept = [x for x in held if x in near]
+    others = [x for x in ranked if x not in set(kept)][: max(0, k - len(kept))]
+    return (kept + others)[:k], kept, others[: k if replace is None else replace]
+
+
+def dropout_path(signal: DataFrame, k: int, buffer: int = 5, replace: int | None = None) -> DataFrame:
+    """(d, i, weight, kept): the holdings of each decision date of (d, i, score), each from those of the date before.
+
+    Dates depend on each other, so they are one fold; only the ``2 * k + buffer`` best of a date and whether a name is
+    among them matter, so a window cuts the rows before they meet.
+    """
+    import pandas as pd
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        held: list = []
+        out = []
+        for d, day in rows.groupby("d", sort=True):
+            ranked = day.sort_values("n")["i"].tolist()
+            held, kept, _ = top_k_dropout(ranked, held, k, buffer, replace)
+            out += [(d, i, 1.0 / len(held), i in kept) for i in held]
+        return pd.DataFrame(out, columns=["d", "i", "weight", "kept"])
+
+    place = F.row_number().over(W.partitionBy("d").orderBy(F.desc("score"), "i"))
+    best = signal.select("d", "i", place.alias("n")).where(F.col("n") <= 2 * k + buffer)
+    return best.groupBy(F.lit(0).alias("one")).applyInPandas(fold, "d date, i long, weight double, kept boolean")
 
 
 def risk_parity(returns, shrink: float = 0.1, rounds: int = 1000, tolerance: float = 1e-8):
@@ -103,12 +124,16 @@ def risk_parity(returns, shrink: float = 0.1, rounds: int = 1000, tolerance: flo
 
 
 def risk_parity_by_date(returns: DataFrame, n: int = 60) -> DataFrame:
-    """(d, i, weight) per decision date from rows (d, i, lag, r): one array of the last ``n`` returns per date."""
+    """(d, i, weight) per decision date from rows (d, i, lag, r): one array of the last ``n`` returns per date.
+
+    Instruments with fewer than half of the returns (two at least) stay out, and days on which one of the others has
+    none. Dates with fewer than two days left, or without any spread, have no rows: all stays in cash.
+    """
     import pandas as pd
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="lag", columns="i", values="r").dropna(axis=1)
-        if wide.empty:
+        wide = pdf.pivot(index="lag", columns="i", values="r").dropna(axis=1, thresh=max(2, n // 2)).dropna()
+        if len(wide) < 2 or wide.shape[1] == 0 or not math.isfinite(wide.to_numpy().var()) or wide.to_numpy().var(axis=0).sum() <= 0:
             return pd.DataFrame({"d": [], "i": [], "weight": []})
         return pd.DataFrame({"d": pdf["d"].iloc[0], "i": wide.columns, "weight": risk_parity(wide.to_numpy())})
 
@@ -124,77 +149,133 @@ class Limits:
     """Bounds on a target: everything is a share of the account."""
 
     instrument: float = 1.0
-    industry: float = 1.0
-    asset: float = 1.0
+    industry: float | None = None
+    assets: Mapping[str, float] = field(default_factory=dict)
     least_cash: float = 0.0
     most_cash: float = 1.0
-    holdings: int = 1 << 30
+    least_holdings: int = 0
+    holdings: int | None = None
     least_weight: float = 0.0
-    turnover: float = math.inf
+    turnover: float | None = None
 
     def __post_init__(self):
-        for name in ("instrument", "industry", "asset", "least_cash", "most_cash", "least_weight"):
-            if not 0 <= getattr(self, name) <= 1:
-                raise ConstraintError(f"{name} must lie between 0 and 1")
-        if self.least_cash > self.most_cash or self.holdings < 1 or self.turnover < 0:
-            raise ConstraintError("limits contradict each other")
-
-
-def water_fill(weights: dict[str, float], budget: float, room) -> dict[str, float]:
-    """Shares ``budget`` by weight, never above ``room(name, weights so far)``; what is cut goes to the rest."""
-    out = dict.fromkeys(weights, 0.0)
-    left, free = budget, {k for k, v in weights.items() if v > 0}
-    for _ in range(4 * max(1, len(weights))):
-        total = sum(weights[k] for k in sorted(free))
-        if left <= 1e-15 or total <= 0:
-            break
-        given = 0.0
-        for k in sorted(free):
-            want = left * weights[k] / total
-            take = min(want, max(0.0, room(k, out)))
-            out[k] += take
-            given += take
-            if take < want - 1e-15:
-                free = free - {k}
-        left -= given
-        if given <= 1e-15:
-            break
-    return out
-
-
-def constrain(target: dict[str, float], limits: Limits, industry: dict[str, str] | None = None, asset: dict[str, str] | None = None, previous: dict[str, float] | None = None) -> dict[str, float]:
-    """Weights within ``limits``; what is not invested is cash. ConstraintError where the hard bounds cannot hold."""
+        if not 0 <= self.least_cash <= self.most_cash <= 1:
+            raise ConstraintError("cash limits must satisfy 0 <= least <= most <= 1")
+        for name, value in (("instrument", self.instrument), ("industry", self.industry)):
+            if value is not None and not 0 < value <= 1:
+                raise ConstraintError(f"{name} must lie in (0, 1]")
+        if any(not 0 <= v <= 1 for v in self.assets.values()):
+            raise ConstraintError("asset limits must lie between 0 and 1")
+        if self.turnover is not None and self.turnover <= 0:
+            raise ConstraintError("turnover must be positive")
+        if self.holdings is not None and self.holdings < self.least_holdings:
+            raise ConstraintError("the most holdings must not be fewer than the least")
+
+
+def _caps(names, limits: Limits, industry: Mapping, asset: Mapping) -> list[tuple[frozenset, float]]:
+    """(names, cap) of every bound that can bind."""
+    groups = [(frozenset([k]), limits.instrument) for k in names]
+    if limits.industry is not None:
+        groups += [(frozenset(k for k in names if industry[k] == g), limits.industry) for g in {industry[k] for k in names}]
+    groups += [(frozenset(k for k in names if asset[k] == g), cap) for g, cap in limits.assets.items()]
+    return [(g, cap) for g, cap in groups if g]
+
+
+def progressive_fill(base: Mapping, budget: float, caps: list[tuple[frozenset, float]]) -> dict:
+    """Shares ``budget`` in proportion to ``base`` under caps on sets of names.
+
+    One level rises for all names at once, and a name holds its base times the level at which the first of its caps
+    (or the budget) was reached. At most one step per cap, whatever the order of names.
+    """
+    level, free, out = 0.0, {k for k, v in base.items() if v > 0}, dict.fromkeys(base, 0.0)
+    bounds = [*caps, (frozenset(base), budget)]
+    while free:
+        def until(bound: tuple[frozenset, float], free=free) -> float:
+            rising = sum(base[k] for k in sorted(bound[0] & free))
+            return (bound[1] - sum(out[k] for k in sorted(bound[0] - free))) / rising if rising > 0 else math.inf
+
+        heights = [until(b) for b in bounds]
+        level = max(level, min(heights))
+        stop = set().union(*(b[0] for b, h in zip(bounds, heights, strict=True) if h <= level * (1 + 1e-15))) & free
+        for k in stop:
+            out[k] = base[k] * level
+        free = free - stop
+    return {k: v for k, v in out.items() if v > 1e-15}
+
+
+def _broken(w: Mapping, limits: Limits, industry: Mapping, asset: Mapping) -> bool:
+    if limits.industry is not None and any(k not in industry for k in w):
+        return True
+    known = {k: asset.get(k) for k in w}
+    bounds = [*_caps(list(w), limits, industry, known), (frozenset(w), 1 - limits.least_cash)]
+    return any(v < -1e-12 for v in w.values()) or any(sum(w[k] for k in g) > cap + 1e-12 for g, cap in bounds)
+
+
+def constrain(target: Mapping, limits: Limits, universe: set | None = None, industry: Mapping | None = None, asset: Mapping | None = None, previous: Mapping | None = None, cash: float | None = None) -> tuple[dict, dict]:
+    """(weights, report) within ``limits``; what is not invested is cash.
+
+    In order: a target must be a valid one over the universe; cash is kept; caps cut weights and others take what they
+    lose; the largest ``holdings`` stay; small weights go; where the turnover is too high, the step from ``previous``
+    is shortened, unless that breaks a bound, which the report then tells. ConstraintError where names have no
+    industry or asset type that a bound needs, or where the bounds cannot hold.
+    """
     industry, asset, previous = industry or {}, asset or {}, previous or {}
-    if any(not math.isfinite(v) or v < 0 for v in target.values()) or sum(target.values()) > 1 + 1e-10:
-        raise ConstraintError("weights must be finite, not negative and at most 1 together")
-    invested = min(sum(target.values()), 1 - limits.least_cash)
-
-    def room(k: str, out: dict[str, float]) -> float:
-        own = [limits.instrument - out[k]]
-        for group, most in ((industry, limits.industry), (asset, limits.asset)):
-            if k in group:
-                own.append(most - sum(v for x, v in out.items() if group.get(x) == group[k]))
-        return min(own)
-
-    w = water_fill(target, invested, room)
-    best = sorted((k for k, v in w.items() if v > 0), key=lambda k: (-w[k], k))[: limits.holdings]
-    w = {k: w[k] for k in best if w[k] >= limits.least_weight}
-    names = w.keys() | previous.keys()
-    moved = turnover({k: w.get(k, 0.0) for k in names}, previous)
-    if moved > limits.turnover:
+    rest = 1 - sum(target.values()) if cash is None else cash
+    if universe is not None and not set(target) <= universe:
+        raise ConstraintError(f"outside the universe: {sorted(set(target) - universe)}")
+    if any(not math.isfinite(v) or v < 0 for v in target.values()) or not -1e-10 <= rest <= 1 + 1e-10 or abs(sum(target.values()) + rest - 1) > 1e-10:
+        raise ConstraintError("weights and cash must be finite, not negative and 1 together")
+    for wanted, known, what in ((limits.industry is not None, industry, "industry"), (bool(limits.assets), asset, "asset type")):
+        if wanted and not set(target) <= set(known):
+            raise ConstraintError(f"without {what}: {sorted(set(target) - set(known))}")
+    report: dict = {"before": dict(target), "changes": []}
+    base = {k: v for k, v in target.items() if v > 0}
+    budget = min(sum(base.values()), 1 - limits.least_cash)
+    if budget < sum(base.values()) - 1e-12:
+        report["changes"].append(("min_cash", budget / sum(base.values())))
+    w = progressive_fill(base, budget, _caps(list(base), limits, industry, asset))
+    best = sorted(w, key=lambda k: (-w[k], k))[: limits.holdings]
+    for name, keep in (("max_holdings", set(best)), ("min_weight", {k for k, v in w.items() if v >= limits.least_weight})):
+        if gone := sorted(w.keys() - keep):
+            report["changes"].append((name, gone))
+            w = {k: v for k, v in w.items() if k in keep}
+    moved = turnover(w, previous)
+    if limits.turnover is not None and moved > limits.turnover:
         t = limits.turnover / moved
-        w = {k: previous.get(k, 0.0) + t * (w.get(k, 0.0) - previous.get(k, 0.0)) for k in names}
-        w = {k: v for k, v in w.items() if v > 1e-15}
-    for group, most in (({k: k for k in w}, limits.instrument), (industry, limits.industry), (asset, limits.asset)):
-        sums: dict[str, float] = {}
-        for k, v in w.items():
-            if k in group:
-                sums[group[k]] = sums.get(group[k], 0.0) + v
-        if any(v > most + 1e-12 for v in sums.values()):
-            raise ConstraintError("a bound is broken after limiting turnover")
-    if 1 - sum(w.values()) > limits.most_cash + 1e-12:
+        near = {k: previous.get(k, 0.0) + t * (w.get(k, 0.0) - previous.get(k, 0.0)) for k in w.keys() | previous.keys() if universe is None or k in universe}
+        near = {k: v for k, v in near.items() if v > 1e-15}
+        if _broken(near, limits, industry, asset):
+            report["turnover_kept"] = moved
+        else:
+            w = near
+            report["changes"].append(("turnover", t))
+    if _broken(w, limits, industry, asset):
+        raise ConstraintError("the bounds cannot hold")
+    if len(w) < limits.least_holdings:
+        report["too_few_holdings"] = len(w)
+    report |= {"cash": 1 - sum(w.values()), "turnover": turnover(w, previous)}
+    if report["cash"] > limits.most_cash + 1e-12:
         raise ConstraintError("too much cash is left")
-    return w
+    return dict(sorted(w.items())), report
+
+
+def constrain_by_date(targets: DataFrame, limits: Limits) -> DataFrame:
+    """(d, i, weight) within ``limits`` per decision date from (d, i, weight, industry, asset); dates run in parallel.
+
+    A date whose bounds cannot hold has no rows. Turnover needs the date before and is left to :func:`constrain`.
+    """
+    import pandas as pd
+
+    def solve(day: pd.DataFrame) -> pd.DataFrame:
+        by = day.set_index("i")
+        try:
+            w, _ = constrain(by["weight"].to_dict(), limits, None, by["industry"].to_dict(), by["asset"].to_dict())
+        except ConstraintError:
+            w = {}
+        return pd.DataFrame({"d": day["d"].iloc[0], "i": list(w), "weight": list(w.values())})
+
+    ship_package(targets.sparkSession)
+    return targets.groupBy("d").applyInPandas(solve, "d date, i long, weight double")
 
 
 def turnover(new: dict[str, float], old: dict[str, float]) -> float:

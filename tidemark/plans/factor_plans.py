@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from tidemark.operators import factors as fac
 from tidemark.operators.technical import features
 from tidemark.plans.registry import query
-from tidemark.plans.views import ACTIONS, BARS, CALENDAR, GRID, actions, bars, calendar, grid, with_views
+from tidemark.plans.views import ACTIONS, BARS, CALENDAR, DENSE, GRID, VALUATION, actions, bars, calendar, dense_bars, grid, valuation, with_views
 from tidemark.plans.windowed import trend_body
 
 #: Session returns: null over gaps, 0 on paused days.
-R = """rows AS (SELECT b.*, c.idx FROM bars b JOIN cal c USING (d)),
+R = """rows AS (SELECT b.*, c.idx, circulating_cap AS cap FROM bars b JOIN cal c USING (d) JOIN valuation v USING (d, i)),
 ret AS (SELECT *, CASE WHEN r0 IS NULL THEN NULL WHEN paused THEN 0 ELSE r0 END AS r FROM (
-  SELECT *, CASE WHEN lag(idx) OVER w = idx - 1 THEN close / lag(close) OVER w - 1 END AS r0, lag(amount) OVER w AS pw FROM rows WINDOW w AS (PARTITION BY i ORDER BY idx)))"""
+  SELECT *, CASE WHEN lag(idx) OVER w = idx - 1 THEN close / lag(close) OVER w - 1 END AS r0, CASE WHEN lag(idx) OVER w = idx - 1 THEN lag(cap) OVER w END AS pw FROM rows WINDOW w AS (PARTITION BY i ORDER BY idx)))"""
 
 
 def _s(n: int) -> str:
@@ -25,11 +25,13 @@ def _rounded(df, digits=6):
 
 
 def _risk(spark, sf_dir):
-    return fac.session_returns(bars(spark, sf_dir), calendar(spark, sf_dir))
+    own = dense_bars(spark, sf_dir)
+    returns = fac.session_returns(own, calendar(spark, sf_dir))
+    return returns.join(valuation(own).select("d", "i", F.col("circulating_cap").alias("cap")), ["d", "i"])
 
 
 def _risk_sql(value: str, n: int, need: int, digits: int = 6) -> str:
-    return with_views(f"{R}\nSELECT d, i, round(v, {digits}) AS value FROM (SELECT d, i, idx, count(r) OVER w AS n, {value} AS v FROM ret WINDOW w AS {_s(n)}) WHERE n >= {need} AND idx > {n} AND v IS NOT NULL", BARS, CALENDAR)
+    return with_views(f"{R}\nSELECT d, i, round(v, {digits}) AS value FROM (SELECT d, i, idx, count(r) OVER w AS n, {value} AS v FROM ret WINDOW w AS {_s(n)}) WHERE n >= {need} AND idx > {n} AND v IS NOT NULL", DENSE, CALENDAR, VALUATION)
 
 
 @query("fac_01_return", with_views("SELECT d, i, round(v, 6) AS value FROM (SELECT d, i, close / lag(close, 5) OVER (PARTITION BY i ORDER BY d) - 1 AS v FROM bars) WHERE v IS NOT NULL", BARS))
@@ -77,53 +79,49 @@ p AS (SELECT ret.*, m, CASE WHEN r IS NOT NULL AND m IS NOT NULL THEN pow(2.0::D
 s AS (SELECT d, i, idx, count(w) OVER f AS n, sum(w) OVER f AS sw, sum(w * m) OVER f AS sx, sum(w * r) OVER f AS sy, sum(w * m * m) OVER f AS sxx, sum(w * m * r) OVER f AS sxy, sum(w * r * r) OVER f AS syy FROM p WINDOW f AS {_s(252)})"""
 
 
-@query("fac_09_beta", with_views(f"{R},\n{_PAIRS}\nSELECT d, i, round((sxy - sx * sy / sw) / (sxx - sx * sx / sw), 5) AS value FROM s WHERE sw > 0 AND n >= 21 AND idx > 252 AND sxx - sx * sx / sw > 0", BARS, CALENDAR))
+@query("fac_09_beta", with_views(f"{R},\n{_PAIRS}\nSELECT d, i, round((sxy - sx * sy / sw) / (sxx - sx * sx / sw), 5) AS value FROM s WHERE sw > 0 AND n >= 21 AND idx > 252 AND sxx - sx * sx / sw > 0", DENSE, CALENDAR, VALUATION))
 def fac_09(spark, sf_dir):
     return _rounded(fac.beta(_risk(spark, sf_dir)), 5)
 
 
-@query("fac_10_total_volatility", _risk_sql("stddev_samp(r) OVER w * sqrt(252.0::DOUBLE)", 120, 8))
+@query("fac_10_total_volatility", _risk_sql("stddev_samp(r) OVER w * sqrt(252.0::DOUBLE)", 120, 96))
 def fac_10(spark, sf_dir):
-    return _rounded(fac.total_volatility(_risk(spark, sf_dir), 120, 8))
+    return _rounded(fac.total_volatility(_risk(spark, sf_dir), 120, 96))
 
 
-@query("fac_11_downside_volatility", _risk_sql("sqrt(avg(CASE WHEN r IS NOT NULL THEN pow(least(r, 0), 2) END) OVER w * 252)", 252, 20))
+@query("fac_11_downside_volatility", _risk_sql("sqrt(avg(CASE WHEN r IS NOT NULL THEN pow(least(r, 0), 2) END) OVER w * 252)", 252, 202))
 def fac_11(spark, sf_dir):
-    return _rounded(fac.downside_volatility(_risk(spark, sf_dir), 252, 20))
+    return _rounded(fac.downside_volatility(_risk(spark, sf_dir), 252, 202))
 
 
-@query("fac_12_worst_loss", with_views(f"{R}\nSELECT d, i, round(-list_sum(list_sort(c)[1:5]) / 5, 6) AS value FROM (SELECT d, i, idx, list(r) FILTER (WHERE r IS NOT NULL) OVER {_s(252)} AS c FROM ret) WHERE len(c) >= 20 AND idx > 252", BARS, CALENDAR))
+@query("fac_12_worst_loss", with_views(f"{R}\nSELECT d, i, round(-list_sum(list_sort(c)[1:5]) / 5, 6) AS value FROM (SELECT d, i, idx, list(r) FILTER (WHERE r IS NOT NULL) OVER {_s(252)} AS c FROM ret) WHERE len(c) >= 202 AND idx > 252", DENSE, CALENDAR, VALUATION))
 def fac_12(spark, sf_dir):
-    return _rounded(fac.worst_loss(_risk(spark, sf_dir), 252, 20))
+    return _rounded(fac.worst_loss(_risk(spark, sf_dir), 252, 202))
 
 
-@query("fac_13_residual_volatility", with_views(f"{R},\n{_PAIRS}\nSELECT d, i, round(sqrt(greatest((syy - sy * sy / sw) - pow(sxy - sx * sy / sw, 2) / (sxx - sx * sx / sw), 0) / sw * 252), 5) AS value FROM s WHERE sw > 0 AND n >= 20 AND idx > 252 AND sxx - sx * sx / sw > 0", BARS, CALENDAR))
+@query("fac_13_residual_volatility", with_views(f"{R},\n{_PAIRS}\nSELECT d, i, round(sqrt(greatest((syy - sy * sy / sw) - pow(sxy - sx * sy / sw, 2) / (sxx - sx * sx / sw), 0) / sw * 252), 5) AS value FROM s WHERE sw > 0 AND n >= 202 AND idx > 252 AND sxx - sx * sx / sw > 0", DENSE, CALENDAR, VALUATION))
 def fac_13(spark, sf_dir):
-    return _rounded(fac.residual_volatility(_risk(spark, sf_dir), need=20), 5)
+    return _rounded(fac.residual_volatility(_risk(spark, sf_dir)), 5)
 
 
 @query("fac_14_volatility_of_volatility", with_views(f"""{R},
-v AS (SELECT d, i, idx, CASE WHEN count(r) OVER w >= 3 AND idx > 20 THEN stddev_samp(r) OVER w END AS vol FROM ret WINDOW w AS {_s(20)})
-SELECT d, i, round(x, 6) AS value FROM (SELECT d, i, idx, count(vol) OVER w AS n, stddev_samp(vol) OVER w / nullif(avg(vol) OVER w, 0) AS x FROM v WINDOW w AS {_s(252)}) WHERE n >= 20 AND idx > 252 AND x IS NOT NULL""", BARS, CALENDAR))
+v AS (SELECT d, i, idx, CASE WHEN count(r) OVER w >= 16 AND idx > 20 THEN stddev_samp(r) OVER w END AS vol FROM ret WINDOW w AS {_s(20)})
+SELECT d, i, round(x, 6) AS value FROM (SELECT d, i, idx, count(vol) OVER w AS n, stddev_samp(vol) OVER w / nullif(avg(vol) OVER w, 0) AS x FROM v WINDOW w AS {_s(252)}) WHERE n >= 202 AND idx > 252 AND x IS NOT NULL""", DENSE, CALENDAR, VALUATION))
 def fac_14(spark, sf_dir):
-    return _rounded(fac.volatility_of_volatility(_risk(spark, sf_dir), need_short=3, need=20))
+    return _rounded(fac.volatility_of_volatility(_risk(spark, sf_dir)))
 
 
-@query("fac_22_market_return", with_views(f"{R}\nSELECT d, round(sum(pw * r) / sum(pw), 8) AS m FROM ret WHERE r IS NOT NULL AND pw > 0 GROUP BY d", BARS, CALENDAR))
+@query("fac_22_market_return", with_views(f"{R}\nSELECT d, round(sum(pw * r) / sum(pw), 8) AS m FROM ret WHERE r IS NOT NULL AND pw > 0 GROUP BY d", DENSE, CALENDAR, VALUATION))
 def fac_22(spark, sf_dir):
     return fac.market_return(_risk(spark, sf_dir)).select("d", F.round("m", 8).alias("m"))
 
 
-@query("fac_25_momentum_6_1", with_views(f"""days AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d) AS n FROM bars),
+@query("fac_25_momentum_6_1", with_views(f"""days AS (SELECT b.*, c.idx AS n FROM bars b JOIN cal c USING (d)),
 l AS (SELECT * FROM (SELECT i, d, n, list(close) OVER (PARTITION BY i ORDER BY n RANGE BETWEEN 139 PRECEDING AND 20 PRECEDING) AS c FROM days) WHERE len(c) = 120 AND n >= 140),
 {trend_body("l", 120)}
-SELECT d, i, round((exp(250 * slope) - 1) * r2, 4) AS value FROM s3""", BARS))
+SELECT d, i, round((exp(250 * slope) - 1) * r2, 4) AS value FROM s3""", DENSE, CALENDAR))
 def fac_25(spark, sf_dir):
-    from tidemark.functions.windows import series
-
-    # The test instruments have gaps in every window of sessions, so their own rows stand in for sessions here.
-    own = bars(spark, sf_dir).withColumn("idx", F.row_number().over(series("i", "d")).cast("long"))
-    return _rounded(fac.momentum_6_1(own), 4)
+    return _rounded(fac.momentum_6_1(dense_bars(spark, sf_dir).join(calendar(spark, sf_dir), "d")), 4)
 
 
 #: The features whose SQL form fits a line, over active bars.

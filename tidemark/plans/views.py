@@ -34,6 +34,47 @@ BARS = """bars0 AS (SELECT s_nationkey::BIGINT AS i, l_shipdate::DATE AS d, max(
 bars AS (SELECT i, d, (high + low) / 2 AS open, high, low, amount / volume AS close, volume, amount, paused FROM bars0)"""
 
 
+def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of five instruments (supplier nation modulo 5), which trade on nearly every session; paused only if all is."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    rows = table(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.lit(100.0)
+    grouped = rows.groupBy((F.col("s_nationkey") % 5).cast("long").alias("i"), F.col("l_shipdate").cast("date").alias("d")).agg(
+        F.max(price).alias("high"),
+        F.min(price).alias("low"),
+        F.sum("l_quantity").alias("volume"),
+        cents.alias("amount"),
+        F.bool_and(F.col("l_returnflag") == "R").alias("paused"),
+    )
+    return grouped.select("i", "d", ((F.col("high") + F.col("low")) / 2).alias("open"), "high", "low", (F.col("amount") / F.col("volume")).alias("close"), "volume", "amount", "paused")
+
+
+#: The same, under the name ``bars``, so that one text of SQL serves either view.
+DENSE = """bars0 AS (SELECT (s_nationkey % 5)::BIGINT AS i, l_shipdate::DATE AS d, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
+  sum(l_quantity) AS volume, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / 100.0::DOUBLE AS amount, bool_and(l_returnflag = 'R') AS paused
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+bars AS (SELECT i, d, (high + low) / 2 AS open, high, low, amount / volume AS close, volume, amount, paused FROM bars0)"""
+
+
+def valuation(bars: DataFrame) -> DataFrame:
+    """(d, i, dividend_yield, market_cap, circulating_cap, pe, pb) made from bars; some multiples are negative."""
+    c = F.col("close")
+    return bars.select(
+        "d",
+        "i",
+        (F.col("volume") / 10000).alias("dividend_yield"),
+        (c * 1e6).alias("market_cap"),
+        (c * (F.lit(5e5) + F.col("i") * 1e4)).alias("circulating_cap"),
+        (c / 50 - 25).alias("pe"),
+        (c / 777 - 1).alias("pb"),
+    )
+
+
+VALUATION = """valuation AS (SELECT d, i, volume / 10000 AS dividend_yield, close * 1e6::DOUBLE AS market_cap,
+  close * (5e5::DOUBLE + i * 1e4::DOUBLE) AS circulating_cap, close / 50 - 25 AS pe, close / 777 - 1 AS pb FROM bars)"""
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions (d, idx), numbered from 1; one row per trading day, so the numbering in one task stays small."""
     days = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("d")).distinct()
