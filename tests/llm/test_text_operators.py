@@ -50,7 +50,7 @@ def by_id(df):
 def test_bpe(edge, nothing):
     v = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(v)
-    got = by_id(bpe.bpe_report(edge, v, sample=5, size=20))
+    got = by_id(bpe.bpe_report(edge, v, size=20))
     for r in edge_rows():
         ids = library.encode(r[1] or "", add_special_tokens=False).ids
         assert got[r[0]].n_tokens == len(ids)

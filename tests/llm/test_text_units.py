@@ -45,7 +45,7 @@ def test_byte_codec_odd_texts(byte_codec):
     got = codec.encode(ODD + ["there the of the\nthere"])
     for x, g in zip(ODD, got, strict=False):
         assert np.frombuffer(g, "<u4").tolist() == library.encode(x, add_special_tokens=False).ids
-    small = bpe.Codec(P.path("byte_bpe_50k.json"), None, remember=3)
+    small = bpe.Codec(P.path("byte_bpe_50k.json"), None, remember=300)
     assert small.encode(ODD) == codec.encode(ODD)
 
 

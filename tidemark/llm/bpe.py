@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding with a memory-mapped lexicon of frequent words.
 
 A chunk is an optional space followed by non-space characters, or a run of white space as the pre-tokeniser cuts it;
-no merge crosses its ends, so a chunk always has the same ids. Frequent chunks of a bounded sample (``sample`` rows;
-results do not depend on it) and their ids are compiled into a minimal acyclic transducer: states with equal suffixes
+no merge crosses its ends, so a chunk always has the same ids. The words that are most frequent over all documents
+(at most ``size``, counted before the shuffle) and their ids are compiled into a minimal acyclic transducer: states with equal suffixes
 are shared (built incrementally from sorted words), and the outputs along a path add up to the word's number, which
 indexes its ids. The arrays are one file, sent to executors with the job's files and memory-mapped there, so the
 workers of a machine share its pages. Chunks outside the lexicon are merged exactly, by rank.
 
 Texts that hold a special token's string, or control characters on which white-space rules differ, go to the library
-as a whole. A worker's memory of chunks is bounded (``remember``).
+as a whole. A worker's memory of chunks is bounded in bytes (``remember``), and so are the pieces in which texts are
+coded; results depend on neither, nor on the lexicon.
 
 Defined results: null text is encoded as empty (no ids); decoding gives the text back; rows may repeat; empty tables
 give empty results; other columns may have any names.
@@ -23,7 +24,6 @@ import re
 import struct
 import tempfile
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hash_sample, map_batches, ship_package
+from tidemark.llm.common import cut, map_batches, ship_package, text_slices
 
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
 #: Python counts these as white space, Unicode and the library do not.
@@ -200,25 +200,34 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Codec:
-    """Encodes and decodes texts; keeps up to ``remember`` chunks with their ids."""
+    """Encodes and decodes texts; keeps chunks with their ids in about ``remember`` bytes."""
 
-    def __init__(self, vocabulary: str, lexicon: str | None = None, remember: int = 1_000_000):
+    #: What Python needs for an entry of the memory beside the characters and ids.
+    ENTRY = 200
+
+    def __init__(self, vocabulary: str, lexicon: str | None = None, remember: int = 48 << 20):
         self.merger, self.lexicon, self.remember = Merger(vocabulary), Lexicon(lexicon) if lexicon else None, remember
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.special = re.compile("|".join(map(re.escape, self.merger.specials)) or "(?!)")
 
     def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
-        if len(self.known) + len(new) > self.remember:
+        """Makes the ids of ``chunks`` known: all new ones are asked of the automaton at once, the rest is merged."""
+        if self.held > self.remember:
             self.known.clear()
-            new = list(chunks)
+            self.held = 0
+        new = list(chunks - self.known.keys())
         if self.lexicon and new:
             hits = self.lexicon.find(new)
-            self.known.update((c, x) for c, x in zip(new, hits, strict=True) if x is not None)
+            self._keep([c for c, x in zip(new, hits, strict=True) if x is not None], [x for x in hits if x is not None])
             new = [c for c, x in zip(new, hits, strict=True) if x is None]
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            self.known.update(zip(part, self.merger.ids(part), strict=True))
+            self._keep(part, self.merger.ids(part))
+
+    def _keep(self, chunks: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(chunks, ids, strict=True))
+        self.held += self.ENTRY * len(chunks) + sum(map(len, chunks)) + sum(map(len, ids))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -233,19 +242,31 @@ class Codec:
         return b"".join(map(token, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def frequent_chunks(docs: DataFrame, text_col: str, sample: int, size: int) -> list[str]:
-    """The most frequent chunks of at most ``sample`` rows, chosen by the hashes of their plain columns."""
-    plain = [f.name for f in docs.schema if isinstance(f.dataType, (T.StringType, T.LongType, T.IntegerType))]
-    rows = hash_sample(docs.where(F.col(f"`{text_col}`").isNotNull()), sample, *plain).select(F.col(f"`{text_col}`").alias("text"))
-    counts: Counter[str] = Counter()
-    for r in rows.toLocalIterator():
-        counts.update(CHUNK.findall(r.text))
-    return [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size] if "\x00" not in w]
+def frequent_chunks(docs: DataFrame, text_col: str, size: int, longest: int = 64) -> list[str]:
+    """At most ``size`` of the most frequent words of all documents, each with the space before it.
 
-
-def ship_lexicon(docs: DataFrame, text_col: str, vocabulary: str, sample: int = 400, size: int = 30_000) -> str:
+    Words of one class of counts (a sixteenth of a power of two) come in together or not at all, so only the numbers
+    of words per class and the chosen words reach the driver. Words seen once, or longer than ``longest`` bytes, are
+    left to the merger.
+    """
+    text = F.translate(F.col(f"`{text_col}`"), "\t\n\x0b\f\r", "     ")
+    words = docs.select(F.explode(F.split(text, " ")).alias("w")).where(F.octet_length("w").between(1, longest))
+    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = cut(counted.select("w", F.floor(16 * F.log2(F.col("n").cast("double"))).cast("int").alias("grade")))
+    taken, least = 0, None
+    for r in sorted(counted.groupBy("grade").count().collect(), reverse=True):  # a few hundred grades
+        taken += r["count"]
+        if taken > size:
+            break
+        least = r.grade
+    if least is None:
+        return []
+    return sorted(" " + r.w for r in counted.where(F.col("grade") >= least).collect() if "\x00" not in r.w)
+
+
+def ship_lexicon(docs: DataFrame, text_col: str, vocabulary: str, size: int = 30_000) -> str:
     """Builds the lexicon on the driver and adds its file to the job; the file's name."""
-    words = frequent_chunks(docs, text_col, sample, size)
+    words = frequent_chunks(docs, text_col, size)
     ids = [np.frombuffer(x, "<u4").tolist() for x in Merger(vocabulary).ids(words)] if words else []
     fd, path = tempfile.mkstemp(suffix=".lexicon")
     os.close(fd)
@@ -273,16 +294,16 @@ def codec(vocabulary: str, lexicon: str | None) -> Codec:
 REPORT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def encode_column(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", sample: int = 400, size: int = 30_000) -> DataFrame:
+def encode_column(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", size: int = 30_000) -> DataFrame:
     """``docs`` with the ids of each text as binary (little-endian unsigned 32-bit) in ``ids_col``, which replaces any
     column of that name."""
     docs = docs.drop(ids_col)
     at = docs.columns.index(text_col)
-    name = ship_lexicon(docs, text_col, vocabulary, sample, size)
+    name = ship_lexicon(docs, text_col, vocabulary, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary, name)
-        for b in batches:
+        for b in text_slices(batches, at, 512):
             ids = pa.array(coder.encode([x or "" for x in b.column(at).to_pylist()]), pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [f"c{k}" for k in range(b.num_columns + 1)])
 
@@ -304,26 +325,24 @@ def decode_column(rows: DataFrame, vocabulary: str, ids_col: str = "ids", text_c
     return map_batches(rows, run, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
-def bpe_report(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", sample: int = 400, size: int = 30_000) -> DataFrame:
+def bpe_report(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = 30_000) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of what the codec encodes and decodes, one row per row."""
-    name = ship_lexicon(docs, text_col, vocabulary, sample, size)
+    name = ship_lexicon(docs, text_col, vocabulary, size)
     base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary, name)
-        for b in batches:
-            for a in range(0, b.num_rows, 512):
-                part = b.slice(a, 512)
-                ids = coder.encode(part.column(1).to_pylist())
-                told = [coder.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in told]),
-                    ],
-                    [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for part in text_slices(batches, 1, 512):
+            ids = coder.encode(part.column(1).to_pylist())
+            told = [coder.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in told]),
+                ],
+                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return base.mapInArrow(run, T.StructType([base.schema[0], *REPORT.fields]))

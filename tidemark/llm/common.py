@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,9 +18,14 @@ SPACE = " \\t-\\r"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share; a temporary one where a local session names none, as in tests.
+
+    On a cluster a folder of the driver's machine would be of no use to the others, so there it must be named.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -53,6 +60,19 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]++")), F.lit(0)).cast("long")
 
 
+def text_slices(batches, column: int, rows: int = 256, size: int = 1 << 21):
+    """Pieces of Arrow batches of at most ``rows`` rows, and of about ``size`` characters of a text column unless one
+    text is longer."""
+    for b in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.utf8_length(b.column(column)), 0).cast("int64")).to_numpy()
+        a = 0
+        while a < b.num_rows:
+            z = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size)) + 1
+            z = min(a + rows, max(a + 1, z), b.num_rows)
+            yield b.slice(a, z - a)
+            a = z
+
+
 def map_batches(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """``df.mapInArrow(run, schema)`` for columns of any names; ``run`` goes by positions, not by names."""
     names = [f.name for f in schema]

@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, join_hot, n_partitions, ship_package
+from tidemark.llm.common import cut, join_hot, n_partitions, ship_package, text_slices
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -202,18 +202,6 @@ def sketch_pairs(sketches: list[np.ndarray], group: np.ndarray, percent: int) ->
             yield i, near
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text: int, rows: int = 256, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Pieces of at most ``rows`` rows and about ``size`` characters of column ``text``."""
-    for b in batches:
-        ends = np.cumsum([len(x) if x is not None else 0 for x in b.column(text).to_pylist()])
-        a = 0
-        while a < b.num_rows:
-            z = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size)) + 1
-            z = min(a + rows, max(a + 1, z), b.num_rows)
-            yield b.slice(a, z - a)
-            a = z
-
-
 def _runs(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.RecordBatch]:
     """Whole groups of rows with equal values of a sorted column, one batch per group."""
     held: list[pa.RecordBatch] = []
@@ -237,7 +225,7 @@ def set_facts(base: DataFrame, n: int) -> DataFrame:
     """(id, n_shingles, digest, sketch) of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, 1):
+        for b in text_slices(batches, 1):
             sets = shingle_sets(b.column(1).to_pylist(), n)
             digests = pa.array([hashlib.sha256(s.tobytes()).digest() for s in sets], pa.binary())
             sketches = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
@@ -273,7 +261,7 @@ def signed(base: DataFrame, n: int, percent: int, skip: dict[bytes, int], most:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         ids, sigs, held = [], [], 0
-        for b in _slices(batches, 1):
+        for b in text_slices(batches, 1):
             sets = shingle_sets(b.column(1).to_pylist(), n)
             docs = b.column(0).to_numpy()
             if skip:
@@ -303,7 +291,7 @@ def with_sets(wanted: DataFrame, base: DataFrame, n: int) -> DataFrame:
     rows = _among(base, wanted).select("id", *names, "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches, len(names) + 1):
+        for b in text_slices(batches, len(names) + 1):
             found = shingle_sets(b.column(len(names) + 1).to_pylist(), n)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s.tobytes() for s in found], pa.binary())], ["id", *names, "elements"])
 
