@@ -83,3 +83,31 @@ def without_best_days(nav: DataFrame, n: int, key: str = "run") -> DataFrame:
     best = F.row_number().over(W.partitionBy(key).orderBy(F.desc("r"), "d"))
     rows = nav_returns(nav, key).where("r is not null").withColumn("best", best)
     return rows.groupBy(key).agg((F.product(F.when(F.col("best") > n, 1 + F.col("r")).otherwise(1.0)) - 1).alias("total_return"))
+
+
+def strategy_pnl(nav: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(d, strategy, pnl, error) of (d, strategy, nav): daily results, and by how much their sum misses the account's.
+
+    The account's value is the sum over strategies; an error beyond ``tolerance`` raises where it is read.
+    """
+    own = nav.withColumn("pnl", F.col("nav") - F.lag("nav").over(W.partitionBy("strategy").orderBy("d")))
+    account = nav.groupBy("d").agg(F.sum("nav").alias("nav"), F.count(F.lit(1)).alias("n"))
+    line = W.orderBy("d")  # one row per day
+    account = account.withColumn("account", F.when(F.lag("n").over(line) == F.col("n"), F.col("nav") - F.lag("nav").over(line))).select("d", "account")
+    summed = own.groupBy("d").agg(F.sum("pnl").alias("total")).join(account, "d")
+    error = F.coalesce(F.abs(F.col("total") - F.col("account")), F.lit(0.0))
+    checked = F.when(error > tolerance, F.raise_error(F.lit("strategy results do not add up to the account's")).cast("double")).otherwise(error)
+    return own.where("pnl is not null").join(summed.select("d", checked.alias("error")), "d").select("d", "strategy", "pnl", "error")
+
+
+def delisting_summary(positions: DataFrame) -> DataFrame:
+    """One row (frozen, frozen_value, stalest) from (d, i, status, value, stale): what is left of delisted holdings on
+    the last day, and the longest run of stale prices on any."""
+    last = positions.agg(F.max("d").alias("last"))
+    rows = positions.join(F.broadcast(last))  # one row
+    frozen = (F.col("d") == F.col("last")) & (F.col("status") == "delisted_illiquid")
+    return rows.agg(
+        F.countDistinct(F.when(frozen, F.col("i"))).alias("frozen"),
+        F.coalesce(F.sum(F.when(frozen, F.col("value"))), F.lit(0.0)).alias("frozen_value"),
+        F.coalesce(F.max("stale"), F.lit(0)).alias("stalest"),
+    )

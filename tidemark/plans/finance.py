@@ -115,15 +115,6 @@ def dq_04(spark, sf_dir):
     return dq.orphans(table(spark, sf_dir, "lineitem"), "l_partkey", table(spark, sf_dir, "part").where("p_size > 5"), "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("dq_05_overlaps", with_views("SELECT id, i, next_start FROM (SELECT id, i, start, \"end\", lead(start) OVER (PARTITION BY i, industry ORDER BY start, \"end\" NULLS LAST, id) AS next_start FROM membership) WHERE next_start IS NOT NULL AND (\"end\" IS NULL OR next_start <= \"end\")", MEMBERSHIP))
-def dq_05(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    rows = membership(spark, sf_dir)
-    w = W.partitionBy("i", "industry").orderBy("start", F.col("end").asc_nulls_last(), "id")
-    return rows.withColumn("next_start", F.lead("start").over(w)).where("next_start is not null and (end is null or next_start <= end)").select("id", "i", "next_start")
-
-
 @query("dq_07_flow_balance", "SELECT count(*) FILTER (WHERE NOT abs(l_extendedprice - l_tax - l_discount) <= 0.01 + 1e-6 * abs(l_discount)) AS l_discount_unbalanced FROM lineitem")
 def dq_07(spark, sf_dir):
     return dq.counts(table(spark, sf_dir, "lineitem"), dq.flow_rules([("l_extendedprice", "l_tax", "l_discount")]))

@@ -393,8 +393,3 @@ def fn_strings(spark, sf_dir):
 def fn_math(spark, sf_dir):
     x = F.col("o_totalprice")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.ln(x), 8).alias("a"), F.round(F.sqrt(x), 8).alias("b"), F.floor(x / 100).cast("long").alias("c"), F.round(F.log2(1 + x), 8).alias("e"), F.least(F.greatest(x, F.lit(1000.0)), F.lit(200000.0)).alias("f"))
-
-
-@query("ing_10_action_kinds", with_views("SELECT kind, count(*) AS n, round(sum(cash), 4) AS cash FROM actions WHERE active GROUP BY 1", ACTIONS))
-def ing_10(spark, sf_dir):
-    return actions(spark, sf_dir).where("active").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cash"), 4).alias("cash"))
