@@ -1,254 +1,436 @@
-"""The account simulation: a fold over days whose cash couples all instruments.
-
-Spark builds one compact panel of events per run (bars, targets, actions of the instruments in scope); each run is one
-group of a grouped-map function, so runs and parameter sets go in parallel and only days of one run are sequential.
-All ledgers leave as one tagged long table (run, ledger, d, i, a, b, c, note) that :func:`ledger` splits by filter.
-
-A day goes: splits and bonus shares, dividends paid, orders of the last decision at the open (or close), marking to the
-close, entitlements at the record date, delistings, a new decision. Lots are sold first in, first out, from those
-already sellable.
+"""The account simulation: a fold over sessions whose cash couples all instruments.
+
+Spark builds one compact panel of events per run (sessions, bars, targets and actions of the instruments in scope);
+each run is one group of a grouped-map function, so runs and parameter sets go in parallel and only the sessions of one
+run are sequential. All ledgers leave as one tagged long table (run, sleeve, ledger, d, i, a, b, c, note) that
+:func:`ledger` splits by filter.
+
+An account has sleeves, one per strategy, each with its share of the capital, its lots and its claims. A session goes:
+dividends paid and ex-date events, orders of the last decisions, marking to the close, entitlements at the record date,
+delistings, new decisions. Orders of all sleeves meet first: a buy and a sell of one instrument cross inside the
+account, without costs; what is left goes to the market as one order per instrument and side, whose fill is dealt out
+in whole lots and whose costs are split in proportion. Lots are sold first in, first out, of those already sellable.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections import defaultdict
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.errors import AccountingError, BacktestError
+from tidemark.operators.execution import Impact, costs_of, fees, fill_order
 from tidemark.workers import ship_package
 
-LEDGER = "run long, ledger string, d date, i long, a double, b double, c double, note string"
+LEDGER = "run long, sleeve string, ledger string, d date, i long, a double, b double, c double, note string"
 #: Meaning of the columns a, b, c of each ledger.
 LEDGERS = {
     "nav": ("nav", "cash", "market_value"),
     "fill": ("quantity", "price", "cost"),
+    "cross": ("quantity", "price", ""),
     "position": ("quantity", "price", "value"),
     "cashflow": ("amount", "balance", ""),
     "residual": ("quantity", "", ""),
     "action": ("quantity_before", "quantity_after", "cash"),
     "turnover": ("traded", "nav", ""),
 }
+SHARES = ("split", "merge", "bonus")
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Costs, lots and timing of a run."""
+    """Capital, timing, lots and costs of a run; ``sleeves`` share the capital."""
 
     cash: float = 1_000_000.0
     timing: str = "next_open"
     lot: int = 100
     sell_delay: int = 1
-    commission_bps: float = 3.0
-    minimum_commission: float = 5.0
-    sell_tax_bps: float = 10.0
-    participation: float = 0.1
+    costs: Mapping[str, float] = field(default_factory=dict)
+    impact: Impact = Impact(per_root=0.0)
     delisting: str = "cash"
+    recovery: float = 1.0
+    sleeves: Mapping[str, float] = field(default_factory=lambda: {"main": 1.0})
 
     def __post_init__(self):
         if self.timing not in ("next_open", "next_close", "same_close"):
             raise BacktestError(f"unknown timing {self.timing}")
         if self.delisting not in ("cash", "write_off", "carry"):
             raise BacktestError(f"unknown delisting policy {self.delisting}")
+        if not self.sleeves or any(not v > 0 for v in self.sleeves.values()) or abs(sum(self.sleeves.values()) - 1) > 1e-12:
+            raise BacktestError("sleeves need positive shares of 1 together")
+
+    def fingerprint(self, data: str = "") -> str:
+        """Names a run: its rules, with the initial cash, and what it read."""
+        return hashlib.sha256(json.dumps([asdict(self), data], sort_keys=True).encode()).hexdigest()
 
 
-@dataclass
-class Account:
-    """Cash and lots; every change goes through a method that writes its ledger row."""
+class Sleeve:
+    """Cash, lots and claims; every change goes through a method that writes its ledger row."""
 
-    rules: Rules
-    cash: float
-    lots: dict[Any, list[list]] = field(default_factory=lambda: defaultdict(list))  # [sellable from, acquired, quantity]
-    owed: list[tuple[Any, Any, float]] = field(default_factory=list)  # (pay date, instrument, cash)
-    rows: list[tuple] = field(default_factory=list)
+    def __init__(self, name: str, cash: float, rows: list[tuple]):
+        self.name, self.cash, self.rows = name, cash, rows
+        self.lots: dict[Any, list[list]] = defaultdict(list)  # [sellable from, acquired, quantity]
+        self.entitled: dict[Any, int] = {}
+        self.claims: dict[Any, tuple[Any, float]] = {}  # event -> (instrument, cash)
 
     def quantity(self, i) -> int:
-        return sum(x[2] for x in self.lots[i])
+        return sum(x[2] for x in self.lots[i]) if i in self.lots else 0
 
     def sellable(self, i, day: int) -> int:
-        return sum(x[2] for x in self.lots[i] if x[0] <= day)
+        return sum(x[2] for x in self.lots[i] if x[0] <= day) if i in self.lots else 0
 
     def tell(self, ledger: str, d, i=None, a=0.0, b=0.0, c=0.0, note="") -> None:
-        self.rows.append((ledger, d, i, float(a), float(b), float(c), note))
+        self.rows.append((self.name, ledger, d, i, float(a), float(b), float(c), note))
 
     def pay(self, d, amount: float, note: str) -> None:
         self.cash += amount
         self.tell("cashflow", d, None, amount, self.cash, note=note)
 
-    def cost(self, side: int, notional: float) -> float:
-        r = self.rules
-        return max(r.minimum_commission, notional * r.commission_bps / 1e4) + (notional * r.sell_tax_bps / 1e4 if side < 0 else 0.0)
-
-    def trade(self, d, day: int, i, side: int, quantity: int, price: float) -> None:
-        notional = quantity * price
-        cost = self.cost(side, notional)
+    def add(self, i, quantity: int, day: int, delay: int) -> None:
+        self.lots[i].append([day + delay, day, quantity])
+
+    def remove(self, i, quantity: int, day: int) -> None:
+        left = quantity
+        for lot in sorted(self.lots[i], key=lambda x: (x[0], x[1])):
+            if lot[0] <= day and left:
+                used = min(left, lot[2])
+                lot[2] -= used
+                left -= used
+        if left:
+            raise AccountingError(f"{self.name} sold {quantity} of {i}, {left} too many")
+        self.lots[i] = [x for x in self.lots[i] if x[2]]
+
+    def scale(self, i, delta: int) -> None:
+        """Adds or takes shares in proportion to the lots; the last lot takes what rounding leaves."""
+        lots = [x for x in self.lots[i] if x[2]]
+        held, left = sum(x[2] for x in lots), delta
+        for k, lot in enumerate(lots):
+            part = left if k == len(lots) - 1 else int(round(delta * lot[2] / held))
+            part = max(part, -lot[2])
+            lot[2] += part
+            left -= part
+        self.lots[i] = [x for x in lots if x[2]]
+
+    def worth(self, prices: Mapping) -> float:
+        return self.cash + sum(self.quantity(i) * prices.get(i, 0.0) for i in sorted(self.lots, key=str)) + sum(x for _, x in self.claims.values())
+
+
+class Session:
+    """The orders of one session and phase, over all sleeves."""
+
+    def __init__(self, d, day: int, bars: Mapping, at: str, marks: Mapping, assets: Mapping, rules: Rules):
+        self.d, self.day, self.bars, self.rules = d, day, bars, rules
+        self.price = {i: b[at] for i, b in bars.items() if b[at] is not None and b[at] > 0}
+        self.value = {**marks, **self.price}
+        self.costs = {i: costs_of(assets.get(i, "stock"), rules.costs) for i in bars}
+        self.traded = 0.0
+
+    def demands(self, sleeve: Sleeve, weights: Mapping) -> dict[Any, int]:
+        """Shares wanted: positive to buy, negative to sell; sells in whole lots unless a holding is given up."""
+        lot, worth, out = self.rules.lot, sleeve.worth(self.value), {}
+        spare = sleeve.cash
+        for i in sorted(set(weights) | set(sleeve.lots), key=str):
+            held, price = sleeve.quantity(i), self.price.get(i)
+            if price is None:
+                if held or weights.get(i):
+                    sleeve.tell("residual", self.d, i, held, note="no_price")
+                continue
+            goal = math.floor(worth * weights.get(i, 0.0) / price / lot) * lot
+            need = goal - held
+            if need < 0:
+                can = min(-need, sleeve.sellable(i, self.day))
+                can = can if goal == 0 else can // lot * lot
+                if can < -need:
+                    sleeve.tell("residual", self.d, i, need + can, note="not_sellable")
+                need = -can
+                spare += can * price
+            if need:
+                out[i] = need
+        for i in sorted((i for i, q in out.items() if q > 0), key=str):  # sells fund buys
+            can = min(out[i], max(0, math.floor(spare / self.price[i] / lot)) * lot)
+            if can < out[i]:
+                sleeve.tell("residual", self.d, i, out[i] - can, note="no_cash")
+            spare -= can * self.price[i]
+            out[i] = can
+        return {i: q for i, q in out.items() if q}
+
+    def cross(self, sleeves: list[Sleeve], wanted: dict[str, dict[Any, int]]) -> None:
+        """Matches buys and sells in the order of sleeves; buyers that could not pay step back, all of theirs."""
+        met: list[tuple[Any, Sleeve, Sleeve, int]] = []
+        for i in sorted({i for w in wanted.values() for i in w}, key=str):
+            sellers = [[s, -wanted[s.name].get(i, 0)] for s in sleeves if wanted[s.name].get(i, 0) < 0]
+            for buyer in sleeves:
+                need = wanted[buyer.name].get(i, 0)
+                for pair in sellers:
+                    n = min(need, pair[1])
+                    if n > 0:
+                        met.append((i, buyer, pair[0], n))
+                        pair[1] -= n
+                        need -= n
+        while met:
+            change: dict[str, float] = defaultdict(float)
+            for i, buyer, seller, n in met:
+                change[buyer.name] -= n * self.price[i]
+                change[seller.name] += n * self.price[i]
+            poor = {s.name for s in sleeves if s.cash + change[s.name] < -1e-7}
+            if not poor:
+                break
+            met = [x for x in met if x[1].name not in poor]
+        for i, buyer, seller, n in met:
+            seller.remove(i, n, self.day)
+            buyer.add(i, n, self.day, self.rules.sell_delay)
+            buyer.tell("cross", self.d, i, n, self.price[i], note=f"from {seller.name}")
+            seller.tell("cross", self.d, i, -n, self.price[i], note=f"to {buyer.name}")
+            seller.pay(self.d, n * self.price[i], "cross")
+            buyer.pay(self.d, -n * self.price[i], "cross")
+            wanted[buyer.name][i] -= n
+            wanted[seller.name][i] += n
+
+    def market(self, side: int, i, asked: list[tuple[Sleeve, int]]) -> None:
+        """One order for all sleeves; its fill in whole lots by largest remainder, its costs in proportion."""
+        lot, total = self.rules.lot, sum(q for _, q in asked)
+        odd = total % lot if side < 0 else 0  # a holding given up is sold with its odd shares
+        filled, price, commission, tax, reason = fill_order(side, total, self.price.get(i), lot, self.bars.get(i), self.costs.get(i, {}), self.rules.impact)
+        if odd and (filled == total - odd or reason == "below_one_lot" and 0 < total < lot):
+            price, filled = price or self.price[i], total
+            commission, tax = fees(side, filled * price, self.costs[i])
+        shares = allocate(filled, [q for _, q in asked], lot)
         if side > 0:
-            self.lots[i].append([day + self.rules.sell_delay, day, quantity])
-        else:
-            left = quantity
-            for lot in sorted(self.lots[i], key=lambda x: (x[0], x[1])):
-                if lot[0] <= day and left:
-                    used = min(left, lot[2])
-                    lot[2] -= used
-                    left -= used
-            if left:
-                raise AccountingError(f"sold {quantity} of {i}, {left} too many")
-            self.lots[i] = [x for x in self.lots[i] if x[2]]
-        self.tell("fill", d, i, side * quantity, price, cost)
-        self.pay(d, -side * notional - cost, "buy" if side > 0 else "sell")
-
-
-def _capacity(bar: dict, rules: Rules) -> int:
-    if bar is None or bar["paused"] or bar["volume"] <= 0:
-        return 0
-    return int(bar["volume"] * rules.participation // rules.lot) * rules.lot
-
-
-def _rebalance(account: Account, d, day: int, weights: dict, bars: dict, at: str) -> float:
-    """Sells first, then buys in order of instrument as far as cash goes; what cannot trade is written down."""
-    rules = account.rules
-    last = {i: (bars[i][at] if i in bars else None) for i in weights.keys() | account.lots.keys()}
-    worth = account.cash + sum(account.quantity(i) * account.marks.get(i, 0.0) if last[i] is None else account.quantity(i) * last[i] for i in list(account.lots))
-    wanted = {i: (int(worth * w / last[i] // rules.lot) * rules.lot if last[i] else account.quantity(i)) for i, w in weights.items()}
-    traded = 0.0
-    for i in sorted(account.lots, key=str):
-        short = account.quantity(i) - wanted.get(i, 0)
-        if short > 0:
-            can = min(short, account.sellable(i, day), _capacity(bars.get(i), rules) if wanted.get(i, 0) or short % rules.lot == 0 else short if bars.get(i) and not bars[i]["paused"] and bars[i]["volume"] > 0 else 0)
-            if can > 0:
-                account.trade(d, day, i, -1, can, last[i])
-                traded += can * last[i]
-            if can < short:
-                account.tell("residual", d, i, -(short - can), note="not sellable" if can == account.sellable(i, day) else "no capacity")
-    for i in sorted(wanted, key=str):
-        need = wanted[i] - account.quantity(i)
-        if need <= 0:
+            shares = [self._affordable(s, n, price, i) for (s, _), n in zip(asked, shares, strict=True)]
+            commission, tax = fees(side, sum(shares) * price, self.costs[i]) if sum(shares) else (0.0, 0.0)
+        cost, left, whole = commission + tax, commission + tax, sum(shares)
+        for k, ((sleeve, q), n) in enumerate(zip(asked, shares, strict=True)):
+            if n:
+                last = not any(shares[k + 1 :])
+                own = left if last else round(cost * n / whole, 2)
+                left -= own
+                if side > 0:
+                    sleeve.add(i, n, self.day, self.rules.sell_delay)
+                else:
+                    sleeve.remove(i, n, self.day)
+                sleeve.tell("fill", self.d, i, side * n, price, own)
+                sleeve.pay(self.d, -side * n * price - own, "buy" if side > 0 else "sell")
+                self.traded += n * price
+            if n < q:
+                sleeve.tell("residual", self.d, i, side * (q - n), note=reason or ("no_capacity" if filled < total else "no_cash"))
+
+    def _affordable(self, sleeve: Sleeve, n: int, price: float, i) -> int:
+        """Whole lots that the sleeve can pay, with the costs of an order of its own."""
+        lot = self.rules.lot
+        while n > 0 and (over := n * price + sum(fees(1, n * price, self.costs[i])) - sleeve.cash) > 1e-9:
+            n -= max(1, math.ceil(over / (price * lot) - 1e-9)) * lot
+        return max(0, n)
+
+    def run(self, sleeves: list[Sleeve], goals: Mapping[str, Mapping]) -> None:
+        wanted = {s.name: self.demands(s, goals[s.name]) if s.name in goals else {} for s in sleeves}
+        if len(sleeves) > 1:
+            self.cross(sleeves, wanted)
+        for side in (-1, 1):
+            for i in sorted({i for w in wanted.values() for i, q in w.items() if q * side > 0}, key=str):
+                self.market(side, i, [(s, abs(wanted[s.name][i])) for s in sleeves if wanted[s.name].get(i, 0) * side > 0])
+
+
+def allocate(filled: int, asked: list[int], lot: int) -> list[int]:
+    """A fill in whole lots by demand, largest remainders first, none above its demand; odd shares go where they fit."""
+    total = sum(asked)
+    if filled >= total:
+        return list(asked)
+    raw = [filled * q / total / lot for q in asked]
+    out = [math.floor(x) * lot for x in raw]
+    for k in sorted(range(len(asked)), key=lambda k: (-(raw[k] - math.floor(raw[k])), k)):
+        if filled - sum(out) >= lot and out[k] + lot <= asked[k]:
+            out[k] += lot
+    return out
+
+
+def _events(d, day: int, actions: Mapping, sleeves: list[Sleeve], marks: dict) -> None:
+    """What is due on a session: claims paid, then ex-date events on the quantities entitled at the record date."""
+    for when, event in actions.get(d, ()):
+        if when == "pay":
+            for s in sleeves:
+                if event["id"] in s.claims:
+                    i, amount = s.claims.pop(event["id"])
+                    s.pay(d, amount, f"dividend {i}")
+    for when, event in actions.get(d, ()):
+        if when != "ex":
             continue
-        can = min(need, _capacity(bars.get(i), rules))
-        while can > 0 and can * last[i] + account.cost(1, can * last[i]) > account.cash:
-            steps = math.ceil((can * last[i] + account.cost(1, can * last[i]) - account.cash) / (last[i] * rules.lot))
-            can -= max(1, steps) * rules.lot
-        can = max(0, can)
-        if can:
-            account.trade(d, day, i, 1, can, last[i])
-            traded += can * last[i]
-        if can < need:
-            account.tell("residual", d, i, need - can, note="no capacity" if can == _capacity(bars.get(i), rules) else "no cash")
-    return traded
-
-
-def simulate(bars: dict, targets: dict, actions: dict, delisted: dict, rules: Rules) -> list[tuple]:
-    """Ledger rows of one run. ``bars``: day -> instrument -> bar; ``targets``: day -> instrument -> weight;
-    ``actions``: day -> rows (i, kind, cash, share, pay); ``delisted``: instrument -> first day without it."""
-    account = Account(rules, rules.cash)
-    account.marks = {}
-    days = sorted(bars)
-    pending: dict | None = None
-    for day, d in enumerate(days):
-        today = bars[d]
-        due = [x for x in account.owed if x[0] <= d]
-        account.owed = [x for x in account.owed if x[0] > d]
-        for _, i, amount in due:
-            account.pay(d, amount, f"dividend {i}")
-        for act in actions.get(d, ()):
-            i, before = act["i"], account.quantity(act["i"])
-            if not before:
+        i, kind = event["i"], event["kind"]
+        by = 1 + event["share"] if kind == "bonus" else event["share"]
+        if kind in SHARES and i in marks and by > 0:
+            marks[i] /= by
+        for s in sleeves:
+            n, before = s.entitled.pop(event["id"], 0), s.quantity(i)
+            if not n:
                 continue
-            if act["kind"] in ("split", "merge", "bonus"):
-                by = act["share"] if act["kind"] != "bonus" else 1 + act["share"]
-                for lot in account.lots[i]:
-                    lot[2] = int(lot[2] * by)
-                account.lots[i] = [x for x in account.lots[i] if x[2]]
-                account.tell("action", d, i, before, account.quantity(i), note=act["kind"])
-                account.marks[i] = account.marks.get(i, 0.0) / by
-            elif act["kind"] == "cash_dividend" and act["cash"]:
-                account.owed.append((act["pay"] or d, i, before * act["cash"]))
-                account.tell("action", d, i, before, before, before * act["cash"], act["kind"])
+            if kind == "cash_dividend" and event["cash"]:
+                s.claims[event["id"]] = (i, n * event["cash"])
+                s.tell("action", d, i, before, before, n * event["cash"], kind)
+            elif kind in SHARES and by > 0:
+                delta = int(round(n * (by - 1)))
+                if delta >= 0 and not before:
+                    s.add(i, delta, day, 0)
+                else:
+                    s.scale(i, max(delta, -before))
+                s.tell("action", d, i, before, s.quantity(i), note=kind)
+
+
+def simulate(days: list, bars: Mapping, targets: Mapping, actions: Mapping, delisted: Mapping, rules: Rules, assets: Mapping | None = None) -> list[tuple]:
+    """Ledger rows (sleeve, ledger, d, i, a, b, c, note) of one run over all sessions ``days``.
+
+    ``bars``: day -> instrument -> bar; ``targets``: day -> sleeve -> instrument -> weight; ``actions``: day -> (when,
+    event) with ``when`` one of record, ex, pay; ``delisted``: instrument -> first day without it.
+    """
+    rows: list[tuple] = []
+    sleeves = [Sleeve(name, rules.cash * share, rows) for name, share in rules.sleeves.items()]
+    marks: dict = {}
+    pending: dict[str, Mapping] = {}
+    at = "open" if rules.timing == "next_open" else "close"
+    for day, d in enumerate(days):
+        today = bars.get(d, {})
+        _events(d, day, actions, sleeves, marks)
         traded = 0.0
-        if pending is not None and rules.timing != "same_close":
-            traded = _rebalance(account, d, day, pending, today, "open" if rules.timing == "next_open" else "close")
-            pending = None
-        if rules.timing == "same_close" and day and days[day - 1] in targets:
-            traded = _rebalance(account, d, day, targets[days[day - 1]], today, "close")
-        for i in list(account.lots):
-            if i in today:
-                account.marks[i] = today[i]["close"]
-            if account.quantity(i) and i in delisted and d >= delisted[i] and rules.delisting != "carry":
-                n = account.quantity(i)
-                account.lots[i] = []
-                account.tell("action", d, i, n, 0, n * account.marks[i] if rules.delisting == "cash" else 0.0, "delisted")
-                if rules.delisting == "cash":
-                    account.pay(d, n * account.marks[i], f"delisted {i}")
-        value = 0.0
-        for i in sorted(account.lots, key=str):
-            n = account.quantity(i)
-            if n:
-                account.tell("position", d, i, n, account.marks[i], n * account.marks[i])
-                value += n * account.marks[i]
-        receivable = sum(x[2] for x in account.owed)
-        account.tell("nav", d, None, account.cash + value + receivable, account.cash, value)
-        account.tell("turnover", d, None, traded, account.cash + value + receivable)
-        if d in targets:
-            pending = targets[d]
-    return account.rows
-
-
-def run_backtests(bars: DataFrame, targets: DataFrame, actions: DataFrame, instruments: DataFrame, runs: dict[int, Rules]) -> DataFrame:
-    """The tagged ledgers of all ``runs``; ``targets`` (run, d, i, weight) name the instruments in scope of each run.
-
-    Panel rows carry a kind: bars and actions are sent only for instruments that a run ever targets.
+        if rules.timing == "same_close":
+            pending = targets.get(d, {})
+        if pending:
+            session = Session(d, day, today, at, marks, assets or {}, rules)
+            session.run(sleeves, pending)
+            traded, pending = session.traded, {}
+        marks |= {i: b["close"] for i, b in today.items() if b["close"] is not None}
+        for when, event in actions.get(d, ()):
+            if when == "record":
+                for s in sleeves:
+                    if n := s.quantity(event["i"]):
+                        s.entitled[event["id"]] = n
+        for s in sleeves:
+            for i in sorted(s.lots, key=str):
+                n = s.quantity(i)
+                if n and i in delisted and d >= delisted[i] and rules.delisting != "carry":
+                    back = n * marks.get(i, 0.0) * (rules.recovery if rules.delisting == "cash" else 0.0)
+                    s.lots[i] = []
+                    s.tell("action", d, i, n, 0, back, "delisted")
+                    if back:
+                        s.pay(d, back, f"delisted {i}")
+            value = 0.0
+            for i in sorted(s.lots, key=str):
+                if n := s.quantity(i):
+                    s.tell("position", d, i, n, marks[i], n * marks[i])
+                    value += n * marks[i]
+            nav = s.worth(marks)
+            s.tell("nav", d, None, nav, s.cash, value)
+        sleeves[0].rows.append(("", "turnover", d, None, float(traded), float(sum(s.worth(marks) for s in sleeves)), 0.0, ""))
+        if rules.timing != "same_close":
+            pending = targets.get(d, {})
+    return rows
+
+
+def _dated(actions: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Events as rows (day, when, ...): record (the session before ex where unknown), ex, and pay (ex where unknown).
+
+    What falls on no session happens on the next one; a record day on the one before.
+    """
+    names = set(actions.columns)
+    get = lambda c: F.col(c) if c in names else F.lit(None).cast("date")
+    rows = actions.where("active").withColumns({"__record": F.coalesce(get("record"), F.date_sub("ex", 1)), "__pay": F.coalesce(get("pay"), F.col("ex"))})
+    sessions = calendar.agg(F.array_sort(F.collect_set("d")).alias("__days"))  # one row, as long as the history
+    rows = rows.join(F.broadcast(sessions))
+    on_or_after = lambda day: F.get(F.filter("__days", lambda x: x >= F.col(day)), F.lit(0))
+    on_or_before = F.element_at(F.concat(F.array(F.lit(None).cast("date")), F.filter("__days", lambda x: x <= F.col("__record"))), -1)
+    when = F.explode(F.array(F.struct(F.lit("record").alias("when"), on_or_before.alias("d")), F.struct(F.lit("ex").alias("when"), on_or_after("ex").alias("d")), F.struct(F.lit("pay").alias("when"), on_or_after("__pay").alias("d"))))
+    return rows.withColumn("__w", when).select("id", "i", "kind", "cash", "share", F.col("__w.when").alias("when"), F.col("__w.d").alias("d")).where("d is not null")
+
+
+def run_backtests(bars: DataFrame, targets: DataFrame, actions: DataFrame, instruments: DataFrame, runs: dict[int, Rules], calendar: DataFrame | None = None) -> DataFrame:
+    """The tagged ledgers of all ``runs``; ``targets`` (run, d, i, weight, and a sleeve unless there is one) name the
+    instruments in scope of each run.
+
+    Sessions are those of the calendar, or of all bars. Panel rows carry a kind: bars and actions are sent only for
+    instruments that a run ever targets.
     """
     import pandas as pd
 
-    scope = targets.select("run", "i").distinct()
-    bar = scope.join(bars, "i").select("run", F.lit("bar").alias("kind"), "d", "i", F.col("open").alias("x"), F.col("close").alias("y"), F.col("volume").alias("z"), F.col("paused").alias("flag"), F.lit(None).cast("string").alias("what"), F.lit(None).cast("date").alias("other"))
-    act = scope.join(actions.where("active"), "i").select("run", F.lit("action"), F.col("ex"), "i", "cash", "share", F.lit(0.0), F.lit(False), F.col("kind"), F.date_add("ex", 2))
-    goal = targets.select("run", F.lit("target"), "d", "i", "weight", F.lit(0.0), F.lit(0.0), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("date"))
-    gone = scope.join(instruments.where("delisted is not null"), "i").select("run", F.lit("delisted"), "delisted", "i", F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(False), F.lit(None).cast("string"), F.lit(None).cast("date"))
-    panel = bar.union(act).union(goal).union(gone)
+    calendar = bars.select("d").distinct() if calendar is None else calendar.select("d")
+    if "sleeve" not in targets.columns:
+        targets = targets.withColumn("sleeve", F.lit("main"))
+    for name in ("limit_up", "limit_down"):
+        if name not in bars.columns:
+            bars = bars.withColumn(name, F.lit(None).cast("double"))
+    scope, run_ids = targets.select("run", "i").distinct(), targets.select("run").distinct()
+
+    def panel(df: DataFrame, kind: str, **values) -> DataFrame:
+        """Rows of one shape: numbers x0 to x7, a flag and two names."""
+        numbers = [values.get(f"x{k}", F.lit(None)).cast("double").alias(f"x{k}") for k in range(8)]
+        flag, what, who, i = (values.get(k, F.lit(None)) for k in ("flag", "what", "who", "i"))
+        return df.select("run", F.lit(kind).alias("kind"), values.get("d", F.col("d")).alias("d"), i.cast("long").alias("i"), *numbers, flag.cast("boolean").alias("flag"), what.cast("string").alias("what"), who.cast("string").alias("who"))
+
+    c = F.col
+    fields = ("open", "close", "high", "low", "volume", "amount", "limit_up", "limit_down")
+    rows = panel(run_ids.join(calendar), "session")  # runs x sessions
+    rows = rows.unionByName(panel(scope.join(bars, "i"), "bar", i=c("i"), flag=c("paused"), **{f"x{k}": c(name) for k, name in enumerate(fields)}))
+    rows = rows.unionByName(panel(scope.join(_dated(actions, calendar), "i"), "action", i=c("i"), x0=c("cash"), x1=c("share"), what=c("kind"), who=F.concat_ws("|", "when", c("id").cast("string"))))
+    rows = rows.unionByName(panel(targets, "target", i=c("i"), x0=c("weight"), who=c("sleeve")))
+    asset = c("asset_type") if "asset_type" in instruments.columns else F.lit("stock")
+    rows = rows.unionByName(panel(scope.join(instruments, "i"), "instrument", d=c("delisted"), i=c("i"), what=asset))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         run = int(pdf["run"].iloc[0])
-        days: dict = defaultdict(dict)
-        goals: dict = defaultdict(dict)
+        days, held, ends, assets = [], defaultdict(dict), {}, {}
+        goals: dict = defaultdict(lambda: defaultdict(dict))
         acts: dict = defaultdict(list)
-        ends: dict = {}
-        for r in pdf.sort_values(["d", "i", "kind"]).itertuples(index=False):
-            if r.kind == "bar":
-                days[r.d][r.i] = {"open": r.x, "close": r.y, "volume": r.z, "paused": bool(r.flag)}
+        known = lambda x: None if x != x else float(x)
+        for r in pdf.sort_values(["d", "kind", "i", "who"]).itertuples(index=False):
+            if r.kind == "session":
+                days.append(r.d)
+            elif r.kind == "bar":
+                held[r.d][int(r.i)] = dict(zip(fields, map(known, (r.x0, r.x1, r.x2, r.x3, r.x4, r.x5, r.x6, r.x7)), strict=True)) | {"paused": bool(r.flag)}
             elif r.kind == "target":
-                goals[r.d][r.i] = r.x
+                goals[r.d][r.who][int(r.i)] = r.x0
             elif r.kind == "action":
-                acts[r.d].append({"i": r.i, "kind": r.what, "cash": r.x, "share": r.y, "pay": r.other})
+                when, key = r.who.split("|", 1)
+                acts[r.d].append((when, {"id": key, "i": int(r.i), "kind": r.what, "cash": known(r.x0) or 0.0, "share": known(r.x1) or 0.0}))
             else:
-                ends[r.i] = r.d
-        rows = simulate(days, goals, acts, ends, runs[run])
-        out = pd.DataFrame(rows, columns=["ledger", "d", "i", "a", "b", "c", "note"])
+                assets[int(r.i)] = r.what
+                if r.d is not None and r.d == r.d:
+                    ends[int(r.i)] = r.d
+        out = pd.DataFrame(simulate(days, held, goals, acts, ends, runs[run], assets), columns=["sleeve", "ledger", "d", "i", "a", "b", "c", "note"])
         out.insert(0, "run", run)
         out["i"] = out["i"].astype("Int64")
         return out
 
     ship_package(bars.sparkSession)
-    return panel.groupBy("run").applyInPandas(one, LEDGER)
+    return rows.groupBy("run").applyInPandas(one, LEDGER)
 
 
 def ledger(rows: DataFrame, name: str) -> DataFrame:
     """One ledger with its own column names."""
-    return rows.where(F.col("ledger") == name).select("run", "d", "i", *[F.col(c).alias(n) for c, n in zip("abc", LEDGERS[name], strict=True) if n], "note")
-
-
-def reconcile(rows: DataFrame, cash: dict[int, float], tolerance: float = 1e-4) -> DataFrame:
-    """(run, d) where cash differs from the start plus all flows, or positions do not add up to the market value."""
-    flows = ledger(rows, "cashflow").groupBy("run", "d").agg(F.sum("amount").alias("flow"))
-    held = ledger(rows, "position").groupBy("run", "d").agg(F.sum("value").alias("held"))
-    start = F.coalesce(*[F.when(F.col("run") == k, F.lit(float(v))) for k, v in cash.items()])
-    from pyspark.sql import Window as W
-
-    line = W.partitionBy("run").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    n = ledger(rows, "nav").join(flows, ["run", "d"], "left").join(held, ["run", "d"], "left")
-    n = n.withColumn("expected", start + F.sum(F.coalesce("flow", F.lit(0.0))).over(line))
-    return n.where((F.abs(F.col("cash") - F.col("expected")) > tolerance) | (F.abs(F.col("market_value") - F.coalesce("held", F.lit(0.0))) > tolerance)).select("run", "d", "cash", "expected")
+    return rows.where(F.col("ledger") == name).select("run", "sleeve", "d", "i", *[F.col(c).alias(n) for c, n in zip("abc", LEDGERS[name], strict=True) if n], "note")
+
+
+def account(rows: DataFrame) -> DataFrame:
+    """(run, d, nav, cash, market_value): the sum over sleeves."""
+    return ledger(rows, "nav").groupBy("run", "d").agg(*[F.sum(c).alias(c) for c in ("nav", "cash", "market_value")])
+
+
+def reconcile(rows: DataFrame, runs: dict[int, Rules], tolerance: float = 1e-4) -> DataFrame:
+    """(run, sleeve, d) where cash differs from the start plus all flows, positions do not add up to the market value,
+    or what a sleeve holds differs from what it bought, crossed and was given."""
+    keys = ["run", "sleeve", "d"]
+    flows = ledger(rows, "cashflow").groupBy(*keys).agg(F.sum("amount").alias("flow"))
+    held = ledger(rows, "position").groupBy(*keys).agg(F.sum("value").alias("held"), F.sum("quantity").alias("shares"))
+    moved = ledger(rows, "fill").select(*keys, "quantity").unionByName(ledger(rows, "cross").select(*keys, "quantity"))
+    moved = moved.unionByName(ledger(rows, "action").select(*keys, (F.col("quantity_after") - F.col("quantity_before")).alias("quantity")))
+    start = F.coalesce(*[F.when((F.col("run") == k) & (F.col("sleeve") == s), F.lit(r.cash * share)) for k, r in runs.items() for s, share in r.sleeves.items()])
+    line = W.partitionBy("run", "sleeve").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
+    n = ledger(rows, "nav").join(flows, keys, "left").join(held, keys, "left").join(moved.groupBy(*keys).agg(F.sum("quantity").alias("moved")), keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    n = n.withColumns({"expected": start + F.sum(zero("flow")).over(line), "owned": F.sum(zero("moved")).over(line)})
+    apart = lambda a, b: F.abs(a - b) > F.lit(tolerance) + 1e-9 * F.abs(a)  # noqa: E731  absolute, or relative for huge sums
+    wrong = apart(F.col("cash"), F.col("expected")) | apart(F.col("market_value"), zero("held")) | apart(F.col("owned"), zero("shares"))
+    return n.where(wrong).select("run", "sleeve", "d", "cash", "expected", "owned", "shares")

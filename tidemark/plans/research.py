@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.stored import stored
 from tidemark.functions.windows import change, series
 from tidemark.operators import analysis as ana
 from tidemark.operators import backtest as bt
 from tidemark.operators import execution as exe
 from tidemark.operators import ml
 from tidemark.operators import portfolio as por
+from tidemark.operators.execution import Impact
 from tidemark.plans.registry import query
 from tidemark.plans.views import ACTIONS, BARS, CALENDAR, MEMBERSHIP, actions, bars, calendar, instruments, membership, table, with_views
 
@@ -193,28 +195,45 @@ def slv_03(spark, sf_dir):
     return por.split_costs(rows, ["i"], "sleeve", "quantity", "cost").select("i", "sleeve", "share")
 
 
-_ORD = """ord AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS side, (o_orderkey % 50 * 100)::BIGINT AS quantity, b.*, b.close AS price
+_ORD = """ord AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS side, (o_orderkey % 50 * 100)::BIGINT AS quantity, b.*, b.close AS price,
+  CASE WHEN o_orderkey % 5 = 0 THEN b.low WHEN o_orderkey % 5 = 1 THEN b.high + 1 END AS up, CASE WHEN o_orderkey % 5 = 2 THEN b.high WHEN o_orderkey % 5 = 1 THEN b.low - 1 END AS down
   FROM orders JOIN bars b ON b.i = o_custkey % 25 AND b.d = o_orderdate::DATE),
-fl AS (SELECT *, floor(volume * 10 / 100) * 100 AS cap FROM ord),
-rs AS (SELECT *, CASE WHEN paused OR volume <= 0 THEN 'halted' WHEN cap < 100 THEN 'no_capacity' END AS reason FROM fl),
-fi AS (SELECT *, CASE WHEN reason IS NULL THEN least(quantity, cap)::BIGINT ELSE 0 END AS filled FROM rs),
-fp AS (SELECT *, CASE WHEN filled > 0 THEN least(greatest(price * (1 + side * least(0.02::DOUBLE, 0.001::DOUBLE * sqrt(filled / volume))), low), high) END AS fill_price FROM fi)"""
+fl AS (SELECT *, least(quantity, floor(volume * 10 / 100) * 100) // 100 * 100 AS room FROM ord),
+fi AS (SELECT *, CASE WHEN paused OR volume <= 0 THEN 'halted' WHEN side > 0 AND low >= up - 1e-12 THEN 'limit_up' WHEN side < 0 AND high <= down + 1e-12 THEN 'limit_down' WHEN room < 100 THEN 'below_one_lot' END AS reason FROM fl),
+fq AS (SELECT *, CASE WHEN reason IS NULL THEN room ELSE 0 END::BIGINT AS filled FROM fi),
+fp AS (SELECT *, CASE WHEN filled > 0 THEN least(greatest(price * (1 + side * (2 + least(150.0::DOUBLE, 20.0::DOUBLE * sqrt(filled * price / greatest(amount, 1e-12)))) / 10000), greatest(low, coalesce(down, low))), least(high, coalesce(up, high))) END AS fill_price FROM fq)"""
 
 
 @query("exe_02_fills", with_views(f"""{_ORD}
-SELECT id, reason, filled, round(fill_price + 1e-9, 6) AS fill_price, round(CASE WHEN filled > 0 THEN greatest(5, filled * fill_price * 3 / 1e4) ELSE 0 END + 1e-9, 6) AS commission, round(CASE WHEN filled > 0 AND side < 0 THEN filled * fill_price * 10 / 1e4 ELSE 0 END + 1e-9, 6) AS tax FROM fp""", BARS))
+SELECT id, reason, filled, round(fill_price / 7, 6) AS fill_price, round(CASE WHEN filled > 0 THEN greatest(5, filled * fill_price * 2.6 / 1e4) ELSE 0 END / 7, 6) AS commission,
+  round(CASE WHEN filled > 0 AND side < 0 THEN filled * fill_price * 10 / 1e4 ELSE 0 END / 7, 6) AS tax FROM fp""", BARS))
 def exe_02(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("side"), (F.col("o_orderkey") % 50 * 100).alias("quantity"), (F.col("o_custkey") % 25).alias("i"), F.col("o_orderdate").cast("date").alias("d"))
-    rows = o.join(bars(spark, sf_dir), ["i", "d"]).withColumn("price", F.col("close")).withColumn("lot", F.lit(100)).withColumn("limit_up", F.lit(None).cast("double")).withColumn("limit_down", F.lit(None).cast("double"))
-    priced = exe.resolve_costs(rows, defaults={"commission_bps": 3.0, "minimum_commission": 5.0, "sell_tax_bps": 10.0})
-    done = exe.fills(priced, participation=10.0, impact=0.001)
-    return done.select("id", "reason", "filled", *[F.round(F.col(c) + F.lit(1e-9), 6).alias(c) for c in ("fill_price", "commission", "tax")])
-
-
-@query("exe_01_cost_chain", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1.5::DOUBLE ELSE coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 3.0) END AS commission_bps, CASE WHEN c_mktsegment = 'BUILDING' THEN 'asset' WHEN c_acctbal > 0 THEN 'rule' ELSE 'default' END AS commission_bps_from FROM customer")
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 2 == 0, 1).otherwise(-1).alias("side"), (k % 50 * 100).alias("quantity"), (F.col("o_custkey") % 25).alias("i"), F.col("o_orderdate").cast("date").alias("d"))
+    k = F.col("id") % 5
+    rows = o.join(bars(spark, sf_dir), ["i", "d"]).withColumns({
+        "price": F.col("close"),
+        "lot": F.lit(100),
+        "asset_type": F.lit("stock"),
+        "limit_up": F.when(k == 0, F.col("low")).when(k == 1, F.col("high") + 1),
+        "limit_down": F.when(k == 2, F.col("high")).when(k == 1, F.col("low") - 1),
+    })
+    priced = exe.resolve_costs(rows, overrides={"sell_tax_bps": 10.0})
+    done = exe.fills(priced, Impact(participation=10.0, slippage=2.0, per_root=20.0, most=150.0))
+    return done.select("id", "reason", "filled", *[F.round(F.col(c) / 7, 6).alias(c) for c in ("fill_price", "commission", "tax")])  # sevenths have no ties in rounding
+
+
+@query("exe_01_cost_chain", """WITH c AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'etf' WHEN c_mktsegment = 'MACHINERY' THEN 'bond' ELSE 'stock' END AS asset,
+  CASE WHEN c_acctbal > 0 THEN c_acctbal WHEN c_acctbal > -500 THEN 'NaN'::DOUBLE END AS rule FROM customer)
+SELECT c_custkey, CASE WHEN asset = 'bond' THEN 1.5::DOUBLE WHEN rule > 0 AND NOT isnan(rule) THEN rule ELSE 2.5::DOUBLE END AS commission_bps,
+  CASE WHEN asset = 'bond' THEN 'asset' WHEN rule > 0 AND NOT isnan(rule) THEN 'rule' ELSE 'default' END AS commission_bps_from,
+  CASE asset WHEN 'stock' THEN 7.0::DOUBLE WHEN 'etf' THEN 0 ELSE 5 END AS sell_tax_bps, CASE asset WHEN 'stock' THEN 'run' ELSE 'default' END AS sell_tax_bps_from FROM c""")
 def exe_01(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("asset_type"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("commission_bps"))
-    return exe.resolve_costs(rows, by_asset={"BUILDING": {"commission_bps": 1.5}}, defaults={"commission_bps": 3.0}).select("c_custkey", "commission_bps", "commission_bps_from")
+    asset = F.when(F.col("c_mktsegment") == "BUILDING", "etf").when(F.col("c_mktsegment") == "MACHINERY", "bond").otherwise("stock")
+    rule = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).when(F.col("c_acctbal") > -500, F.lit(float("nan")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", asset.alias("asset_type"), rule.alias("commission_bps"))
+    out = exe.resolve_costs(rows, {"sell_tax_bps": 7.0}, {"bond": {"commission_bps": 1.5}})
+    return out.select("c_custkey", "commission_bps", "commission_bps_from", "sell_tax_bps", "sell_tax_bps_from")
 
 
 #: Account values per segment: a running sum of orders.
@@ -277,13 +296,21 @@ def ana_08_best(spark, sf_dir):
     return ana.without_best_days(_nav(spark, sf_dir), 10).select("run", F.round("total_return", 5).alias("total_return"))
 
 
-RUNS = {1: bt.Rules(participation=100.0), 2: bt.Rules(timing="next_close", participation=100.0), 3: bt.Rules(timing="same_close", participation=100.0, sell_delay=0)}
+RUNS = {
+    1: bt.Rules(impact=Impact(participation=100.0)),
+    2: bt.Rules(timing="next_close", impact=Impact(participation=100.0)),
+    3: bt.Rules(timing="same_close", sell_delay=0, impact=Impact(participation=100.0, per_root=0.0)),
+    4: bt.Rules(impact=Impact(participation=100.0), sleeves={"high": 0.6, "low": 0.4}),
+}
 
 
 def _backtest(spark, sf_dir):
+    """Months' best five by return, with three timings; and two sleeves, one of which holds the worst five."""
     goals = _targets(spark, sf_dir)
-    every = goals.withColumn("run", F.explode(F.array(*[F.lit(k).cast("long") for k in RUNS])))
-    return bt.run_backtests(bars(spark, sf_dir), every, actions(spark, sf_dir), instruments(spark, sf_dir), RUNS)
+    every = goals.withColumn("run", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)]))).withColumn("sleeve", F.lit("main"))
+    worst = _signal(spark, sf_dir).withColumn("score", -F.col("score")).join(goals.select("d").distinct(), "d")
+    two = goals.withColumn("sleeve", F.lit("high")).unionByName(por.top_k_equal(worst, 5).withColumn("sleeve", F.lit("low"))).withColumn("run", F.lit(4).cast("long"))
+    return bt.run_backtests(bars(spark, sf_dir), every.unionByName(two), actions(spark, sf_dir), instruments(spark, sf_dir), RUNS, calendar(spark, sf_dir))
 
 
 @query("bt_01_ledgers")
@@ -291,6 +318,10 @@ def bt_01(spark, sf_dir):
     return _backtest(spark, sf_dir)
 
 
-@query("bt_10_reconciliation", "SELECT 0::BIGINT AS broken")
+@query("bt_10_reconciliation", with_views("""s AS (SELECT unnest([1, 2, 3, 4, 4])::BIGINT AS run, unnest(['main', 'main', 'main', 'high', 'low']) AS sleeve)
+SELECT run, sleeve, (SELECT count(*) FROM cal) AS sessions, 0::BIGINT AS broken FROM s""", CALENDAR))
 def bt_10(spark, sf_dir):
-    return bt.reconcile(_backtest(spark, sf_dir), {k: v.cash for k, v in RUNS.items()}).agg(F.count(F.lit(1)).alias("broken"))
+    rows = stored(_backtest(spark, sf_dir))  # several ledgers are read from it
+    broken = bt.reconcile(rows, RUNS).groupBy("run", "sleeve").agg(F.count(F.lit(1)).alias("n"))
+    told = bt.ledger(rows, "nav").groupBy("run", "sleeve").agg(F.countDistinct("d").alias("sessions"))
+    return told.join(broken, ["run", "sleeve"], "left").select("run", "sleeve", "sessions", F.coalesce("n", F.lit(0)).alias("broken"))
