@@ -57,16 +57,47 @@ def valid_at(day: Column, start: str, end: str, closed: bool = True, known: str
     return test & (F.col(known) <= cutoff) if known else test
 
 
+def validity_steps(intervals: DataFrame, by: list[str], start: str, end: str, values: list[str], closed: bool = True) -> DataFrame:
+    """(by, __at, __hit, values): from each day on, the values of the interval in force, of several the latest start's.
+
+    A key's intervals are swept once with a heap; they are few beside the rows that meet them. Of equal starts the
+    larger values win; an interval without a start is never in force.
+    """
+    import heapq
+    from datetime import timedelta
+
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in intervals.schema}
+    n, late = len(by), timedelta(days=1 if closed else 0)
+
+    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
+        key = tuple(rows.iloc[0, :n])
+        spans = [(a, None if z is None or z != z else z + late, tuple(v)) for a, z, *v in rows.iloc[:, n:].itertuples(index=False, name=None)]
+        spans.sort(key=lambda x: (x[0], [(v is not None, v) for v in x[2]]))
+        days = sorted({a for a, _, _ in spans} | {z for _, z, _ in spans if z is not None})
+        out, held, k = [], [], 0
+        for day in days:
+            while k < len(spans) and spans[k][0] <= day:
+                heapq.heappush(held, -k)  # the last in order wins
+                k += 1
+            while held and spans[-held[0]][1] is not None and spans[-held[0]][1] <= day:
+                heapq.heappop(held)
+            out.append((*key, day, bool(held), *(spans[-held[0]][2] if held else [None] * len(values))))
+        return pd.DataFrame(out, columns=[*by, "__at", "__hit", *values])
+
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], f"`__at` {kinds[start]}", "`__hit` boolean", *[f"`{c}` {kinds[c]}" for c in values]])
+    rows = intervals.where(F.col(start).isNotNull()).select(*by, start, end, *values)
+    return rows.groupBy(*by).applyInPandas(sweep, schema)
+
+
 def interval_join(rows: DataFrame, intervals: DataFrame, by: list[str], day: str, start: str, end: str, values: list[str], missing: dict[str, str] | None = None, closed: bool = True) -> DataFrame:
     """``rows`` with the ``values`` of the interval that holds the day; of several the latest start wins.
 
-    ``intervals`` of one key may overlap. Each row meets the intervals of its key only; the best match is kept by a
-    window over the row's columns, which must be unique.
+    Intervals of one key may overlap. They become steps first, so a row meets one step and not all intervals of its key.
     """
-    r, i = rows.alias("r"), intervals.select(*by, F.col(start).alias("__start"), F.col(end).alias("__end"), *[F.col(v).alias(f"__{v}") for v in values]).alias("i")
-    on = [F.col(f"r.{k}") == F.col(f"i.{k}") for k in by]
-    ends = F.col("__end").isNull() | ((F.col("__end") >= F.col(f"r.{day}")) if closed else (F.col("__end") > F.col(f"r.{day}")))
-    joined = r.join(i, [*on, F.col("__start") <= F.col(f"r.{day}"), ends], "left").select("r.*", "__start", *[f"__{v}" for v in values])
-    best = joined.groupBy(*rows.columns).agg(F.max(F.struct("__start", *[f"__{v}" for v in values])).alias("__best"))
+    steps = validity_steps(intervals, by, start, end, values, closed)
+    steps = steps.select(*by, "__at", "__hit", *[F.col(v).alias(f"__{v}") for v in values])
+    found = asof_backward(rows, steps, by, day, "__at", ["__hit", *[f"__{v}" for v in values]])
     missing = missing or {}
-    return best.select(*rows.columns, *[F.coalesce(F.col(f"__best.__{v}"), F.lit(missing.get(v))).alias(v) for v in values])
+    return found.select(*rows.columns, *[F.coalesce(F.when(F.col("__hit"), F.col(f"__{v}")), F.lit(missing.get(v))).alias(v) for v in values])

@@ -12,8 +12,6 @@ import datetime as dt
 import hashlib
 import inspect
 import json
-import os
-import shutil
 import sys
 import uuid
 from collections.abc import Callable
@@ -24,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import CacheMissError, FactorError, FutureDataError
 from tidemark.operators.quality import check_factor
+from tidemark.sources.files import Files, join
 
 
 @dataclass(frozen=True)
@@ -81,6 +80,7 @@ class FactorEngine:
 
     def __init__(self, spark: SparkSession, bars: DataFrame, sessions: list[dt.date], fingerprint: str, cache: str | None = None):
         self.spark, self.bars, self.sessions, self.fingerprint, self.cache = spark, bars, sorted(sessions), fingerprint, cache
+        self.files = Files(spark)
 
     def back(self, day: dt.date, n: int) -> dt.date:
         """The session ``n`` before the first one on or after ``day``."""
@@ -92,11 +92,11 @@ class FactorEngine:
         return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()
 
     def _stored(self, key: str) -> list[tuple[dt.date, dt.date, str]]:
-        folder = os.path.join(self.cache or "", key)
-        if not self.cache or not os.path.isdir(folder):
+        if not self.cache:
             return []
-        spans = [x.split("_") for x in os.listdir(folder) if not x.startswith(".")]
-        return [(dt.date.fromisoformat(a), dt.date.fromisoformat(b), os.path.join(folder, f"{a}_{b}")) for a, b in spans]
+        folder = join(self.cache, key)
+        spans = [x.split("_") for x in self.files.names(folder) if not x.startswith(".")]
+        return [(dt.date.fromisoformat(a), dt.date.fromisoformat(b), join(folder, f"{a}_{b}")) for a, b in spans]
 
     def compute(self, factor: Factor, start: dt.date, end: dt.date, cutoff: dt.date | None = None, instruments: list | None = None, policy: str = "use") -> DataFrame:
         """Rows of ``factor``. ``policy``: use the cache, ``require`` an entry, or ``refresh`` it."""
@@ -117,23 +117,22 @@ class FactorEngine:
         found = factor.compute(Context(rows, start, end), needed).select("d", "i", "value").where(F.col("d").between(start, end))
         if not self.cache:
             return found
-        target = os.path.join(self.cache, key, f"{start}_{end}")
-        staging = os.path.join(self.cache, key, f".{uuid.uuid4().hex}")
+        target = join(self.cache, key, f"{start}_{end}")
+        staging = join(self.cache, key, f".{uuid.uuid4().hex}")
         found.write.parquet(staging)
         written = self.spark.read.parquet(staging)
         try:
             check_factor(written, list(scope) if scope is not None else None)
         except BaseException:
-            shutil.rmtree(staging, ignore_errors=True)
+            self.files.remove(staging)
             raise
-        if os.path.isdir(target):
-            shutil.rmtree(target)
-        os.rename(staging, target)
+        self.files.remove(target)
+        self.files.move(staging, target)
         return self.spark.read.parquet(target)
 
     def purge(self, keep: list[str]) -> int:
         """Removes all entries but those with the given keys; how many went."""
-        gone = [k for k in os.listdir(self.cache or ".") if self.cache and k not in keep]
+        gone = [k for k in self.files.names(self.cache) if k not in keep] if self.cache else []
         for k in gone:
-            shutil.rmtree(os.path.join(self.cache, k), ignore_errors=True)
+            self.files.remove(join(self.cache, k))
         return len(gone)

@@ -24,16 +24,20 @@ def revision_sequence(reports: DataFrame, keys: list[str], order: list[str]) ->
     return reports.withColumn("revision_sequence", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def knowledge(events: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, period_end, available, item, map): for each event, the latest known value of every item and period.
+def knowledge(events: DataFrame, facts: DataFrame, keys: list[str], quarters: int | None = None) -> DataFrame:
+    """(keys, period, available, item, known): for each event, the latest known value of every item and period.
 
-    Both sides meet on the instrument only, so the join is bounded by one instrument's history; versions collapse to
-    the largest (available, report) before they become a map.
+    With ``quarters``, of that many quarter ends up to the event's: both sides then meet on instrument and quarter, and
+    the work per event does not grow with the history (trailing growth needs nine). Versions collapse to the largest
+    (available, report) before they become a map.
     """
     e = events.select(*keys, "period", "available").distinct()
     f = facts.select(*keys, F.col("period").alias("fact_period"), F.col("available").alias("fact_available"), "report", "item", "value")
-    met = e.join(f, keys).where("fact_available <= available")
-    best = met.groupBy(*keys, "period", "available", "item", "fact_period").agg(F.max_by("value", F.struct("fact_available", "report")).alias("value"))
+    if quarters is None:
+        met = e.join(f, keys)
+    else:
+        met = e.withColumn("fact_period", F.explode(F.array(*[quarter_back(F.col("period"), k) for k in range(quarters)]))).join(f, [*keys, "fact_period"])
+    best = met.where("fact_available <= available").groupBy(*keys, "period", "available", "item", "fact_period").agg(F.max_by("value", F.struct("fact_available", "report")).alias("value"))
     return best.groupBy(*keys, "period", "available", "item").agg(F.map_from_entries(F.collect_list(F.struct("fact_period", "value"))).alias("known"))
 
 

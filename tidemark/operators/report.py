@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import html
 import json
-import os
-import shutil
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import BacktestError
-from tidemark.operators.backtest import LEDGERS, ledger
+from tidemark.operators.backtest import LEDGERS, account, ledger
+from tidemark.sources.files import Files, join
 
 
 def page(metrics: dict[str, float], nav: DataFrame, rows: int = 100) -> str:
@@ -25,19 +24,18 @@ def page(metrics: dict[str, float], nav: DataFrame, rows: int = 100) -> str:
 
 def write_run(rows: DataFrame, metrics: dict[str, float], config: dict, folder: str) -> str:
     """Writes the ledgers of one run to ``folder``, which must not exist."""
-    if os.path.exists(folder):
+    files = Files(rows.sparkSession)
+    if files.exists(folder):
         raise BacktestError(f"{folder} exists")
     staging = f"{folder}.{uuid.uuid4().hex}"
     try:
         for name in LEDGERS:
-            ledger(rows, name).write.parquet(os.path.join(staging, name))
+            ledger(rows, name).write.parquet(join(staging, name))
         for name, data in (("metrics.json", metrics), ("config.json", config)):
-            with open(os.path.join(staging, name), "w") as f:
-                json.dump(data, f, sort_keys=True)
-        with open(os.path.join(staging, "report.html"), "w") as f:
-            f.write(page(metrics, ledger(rows, "nav").select("d", "nav", "cash", "market_value")))
-        os.rename(staging, folder)
+            files.write(join(staging, name), json.dumps(data, sort_keys=True))
+        files.write(join(staging, "report.html"), page(metrics, account(rows).select("d", "nav", "cash", "market_value")))
+        files.move(staging, folder)
     except BaseException:
-        shutil.rmtree(staging, ignore_errors=True)
+        files.remove(staging)
         raise
     return folder

@@ -69,7 +69,7 @@ tt AS (SELECT a.*, a.single + b.single + c.single + e.single AS ttm FROM sq a LE
 @query("fin_05_quarters_ttm_yoy", with_views(f"{_QUARTERS}\nSELECT a.i, a.item, a.period, round(a.ytd, 2) AS ytd, round(a.single, 2) AS single_quarter, round(a.ttm, 2) AS ttm, round(a.ttm / b.ttm - 1, 6) AS ttm_yoy FROM tt a LEFT JOIN tt b ON a.i = b.i AND a.item = b.item AND b.period = last_day((a.period - INTERVAL 12 MONTH)::DATE)", METRICS))
 def fin_05(spark, sf_dir):
     f = _facts(spark, sf_dir).withColumn("report", F.concat_ws("-", "i", "item", "period"))
-    known = fin.knowledge(f, f, ["i"])
+    known = fin.knowledge(f, f, ["i"], 9)
     out = fin.derived(known, ["i"])
     # An event tells about its own period for the items it carries.
     own = f.select("i", "item", "period", "available")
@@ -99,7 +99,7 @@ w AS (SELECT i, period, max(ttm) FILTER (WHERE item = 'O') AS revenue, max(ttm)
 SELECT i, period, CASE WHEN revenue > 0 THEN round((revenue - cost) / revenue, 6) END AS margin FROM w""", METRICS))
 def fin_07(spark, sf_dir):
     f = _facts(spark, sf_dir).withColumn("report", F.concat_ws("-", "i", "item", "period"))
-    out = fin.derived(fin.knowledge(f, f, ["i"]), ["i"]).join(f.select("i", "item", "period", "available"), ["i", "item", "period", "available"])
+    out = fin.derived(fin.knowledge(f, f, ["i"], 9), ["i"]).join(f.select("i", "item", "period", "available"), ["i", "item", "period", "available"])
     pick = lambda item: F.max(F.when(F.col("item") == item, F.col("ttm")))
     wide = out.groupBy("i", "period").agg(pick("O").alias("revenue"), pick("F").alias("cost"))
     return wide.select("i", "period", F.when(F.col("revenue") > 0, F.round((F.col("revenue") - F.col("cost")) / F.col("revenue"), 6)).alias("margin"))

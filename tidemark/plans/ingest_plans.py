@@ -189,7 +189,7 @@ UNION ALL SELECT i, period, 'debt_to_assets', debts / assets FROM a WHERE assets
 def fin_04(spark, sf_dir):
     f = _items(spark, sf_dir)
     capital = metrics(spark, sf_dir).where("code = 'P'").select("i", F.col("period").alias("effective_from"), "available", "id", F.col("value").alias("total"))
-    known = fin.knowledge(f, f, ["i"])
+    known = fin.knowledge(f, f, ["i"], 1)
     # Equity of one unit shows the shares themselves through book value per share.
     one = f.select("i", "period", "available").distinct().select("i", "period", "available", F.lit("equities_parent_company_owners").alias("item"), F.map_from_arrays(F.array("period"), F.array(F.lit(1.0))).alias("known"))
     out = fin.instant_metrics(known.unionByName(one), ["i"], capital).where("metric <> 'equity_parent'")
@@ -203,7 +203,7 @@ sq AS (SELECT a.i, a.item, a.period, a.value AS ytd, CASE WHEN month(a.period) =
 SELECT a.i, a.item, a.period, round(a.ytd / nullif(b.ytd, 0) - 1, 6) AS ytd_yoy, round(a.single / nullif(b.single, 0) - 1, 6) AS single_quarter_yoy FROM sq a LEFT JOIN sq b ON a.i = b.i AND a.item = b.item AND b.period = last_day((a.period - INTERVAL 12 MONTH)::DATE)""", METRICS))
 def fin_08(spark, sf_dir):
     f = _facts(spark, sf_dir).withColumn("report", F.concat_ws("-", "i", "item", "period"))
-    out = fin.yearly_growth(fin.knowledge(f, f, ["i"]), ["i"]).join(f.select("i", "item", "period", "available"), ["i", "item", "period", "available"])
+    out = fin.yearly_growth(fin.knowledge(f, f, ["i"], 9), ["i"]).join(f.select("i", "item", "period", "available"), ["i", "item", "period", "available"])
     return out.select("i", "item", "period", F.round("ytd_yoy", 6).alias("ytd_yoy"), F.round("single_quarter_yoy", 6).alias("single_quarter_yoy"))
 
 

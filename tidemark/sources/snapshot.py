@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import os
-import shutil
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from tidemark.errors import ContractError, FutureDataError, SchemaVersionError
 from tidemark.functions.asof import latest_by, metric_panel, valid_at
 from tidemark.functions.scalar import content_hash
 from tidemark.sources import schema as S
+from tidemark.sources.files import Files, join
 
 VERSION = 1
 Day = dt.date | str | None
@@ -65,9 +65,8 @@ class Snapshot:
     def __init__(self, spark: SparkSession, path: str, verify: bool = False):
         self.spark, self.path = spark, path
         try:
-            with open(os.path.join(path, "manifest.json")) as f:
-                self.manifest = json.load(f)
-        except FileNotFoundError:
+            self.manifest = json.loads(Files(spark).read(join(path, "manifest.json")))
+        except Py4JJavaError:
             raise ContractError(f"{path} has no manifest") from None
         if self.manifest.get("schema_version") != VERSION:
             raise SchemaVersionError(f"schema version {self.manifest.get('schema_version')} is not {VERSION}")
@@ -77,7 +76,7 @@ class Snapshot:
                     raise ContractError(f"the rows of {name} are not those of its manifest")
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.path, name))
+        return self.spark.read.parquet(join(self.path, name))
 
     def table(self, name: str, start: Day = None, end: Day = None, instruments: list[str] | None = None, cutoff: Day = None, fields: list[str] | None = None, dates: list | None = None) -> DataFrame:
         if name not in S.TABLES or name not in self.manifest["tables"]:
@@ -172,7 +171,8 @@ class FinancialView(View):
 
 
 def list_snapshots(root: str) -> list[str]:
-    return sorted(x for x in os.listdir(root) if os.path.exists(os.path.join(root, x, "manifest.json")))
+    files = Files(SparkSession.active())
+    return [x for x in files.names(root) if files.exists(join(root, x, "manifest.json"))]
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, name: str, lineage: dict | None = None, coverage: list[str] | None = None) -> Snapshot:
@@ -182,8 +182,9 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, name:
     """
     from tidemark.operators.quality import normalise
 
-    target, staging = os.path.join(root, name), os.path.join(root, f".{name}-{uuid.uuid4().hex}")
-    if os.path.exists(target):
+    files = Files(spark)
+    target, staging = join(root, name), join(root, f".{name}-{uuid.uuid4().hex}")
+    if files.exists(target):
         raise ContractError(f"{target} exists; snapshots are never changed")
     missing = [t for t in S.REQUIRED if t not in tables]
     if missing:
@@ -193,20 +194,22 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, name:
         for t, df in tables.items():
             checked = normalise(df, t)
             if "trade_date" in checked.columns and t != "trade_calendar":
-                checked.withColumn("year", F.year("trade_date")).repartition("year").sortWithinPartitions("trade_date", *[k for k in S.KEYS[t] if k != "trade_date"]).write.partitionBy("year").parquet(os.path.join(staging, t))
+                # Ranges of days and keys, not years: a year of the whole market would be one task.
+                order = ["trade_date", *[k for k in S.KEYS[t] if k != "trade_date"]]
+                dealt = checked.withColumn("year", F.year("trade_date")).repartitionByRange(*order).sortWithinPartitions("year", *order)
+                dealt.write.partitionBy("year").parquet(join(staging, t))
             else:
-                checked.write.parquet(os.path.join(staging, t))
-            back = spark.read.parquet(os.path.join(staging, t)).drop("year")
+                checked.write.parquet(join(staging, t))
+            back = spark.read.parquet(join(staging, t)).drop("year")
             h = content_hash(back).first()
             facts[t] = {"rows": h.rows, "content": h.hash, "schema": S.schema_hash(checked.schema)}
         manifest = {"schema_version": VERSION, "name": name, "tables": facts, "lineage": lineage or {}}
         if coverage is not None:
             manifest["coverage"] = {"instruments": sorted(coverage)}
         manifest["fingerprint"] = S.hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
-        with open(os.path.join(staging, "manifest.json"), "w") as f:
-            json.dump(manifest, f, sort_keys=True)
-        os.rename(staging, target)
+        files.write(join(staging, "manifest.json"), json.dumps(manifest, sort_keys=True))
+        files.move(staging, target)
     except BaseException:
-        shutil.rmtree(staging, ignore_errors=True)
+        files.remove(staging)
         raise
     return Snapshot(spark, target)
