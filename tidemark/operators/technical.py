@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
-from tidemark.functions.windows import change, ewm, lag_by, rolling, rolling_corr, series, streak
+from tidemark.functions.windows import change, ewm, lag_by, rank_share, rolling, rolling_corr, series, streak
 from tidemark.operators.factors import trend
 
 def by_day():
@@ -28,11 +28,48 @@ def _trend(rows: DataFrame, n: int, name: str) -> DataFrame:
 
 
 def _drop_flag(c: Column) -> Column:
-    """A recent fall: 5 % on one of the last three days, or over the last two or four of them."""
+    """A recent fall: 5 % within one of the last three days, or over three days that all fell, today's or yesterday's.
+
+    Unknown on the first four rows.
+    """
     w = by_day()
-    one = [lag_by(c, k, w) / lag_by(c, k + 1, w) < 0.95 for k in range(3)]
-    rule = F.coalesce(one[0], F.lit(False)) | F.coalesce(one[1], F.lit(False)) | F.coalesce(one[2], F.lit(False))
-    return rule | F.coalesce(c / lag_by(c, 2, w) < 0.95, F.lit(False)) | F.coalesce(c / lag_by(c, 4, w) < 0.95, F.lit(False))
+    back = [c if k == 0 else lag_by(c, k, w) for k in range(5)]
+    one = F.least(*[back[k] / back[k + 1] for k in range(3)]) < 0.95
+    fell = lambda k: (back[k] < back[k + 1]) & (back[k + 1] < back[k + 2]) & (back[k + 2] < back[k + 3]) & (back[k] / back[k + 3] < 0.95)
+    return F.when(back[4].isNotNull(), (one | fell(0) | fell(1)).cast("int"))
+
+
+def adaptive_score(closes: Column, n: Column) -> Column:
+    """The trend score of the last ``n`` of an array of closes, with ``n`` of the row's own; null where they are too few."""
+
+    def fit(y: Column) -> Column:
+        m = F.size(y)
+        weight = lambda k: 1 + k / (m - 1)
+        total = lambda f: F.aggregate(F.transform(y, f), F.lit(0.0), lambda a, x: a + x)
+        sums = F.struct(
+            total(lambda v, k: weight(k) * weight(k)).alias("w"),
+            total(lambda v, k: k * weight(k) * weight(k)).alias("k"),
+            total(lambda v, k: k * k * weight(k) * weight(k)).alias("kk"),
+            total(lambda v, k: v * weight(k) * weight(k)).alias("y"),
+            total(lambda v, k: v * k * weight(k) * weight(k)).alias("ky"),
+            (total(lambda v, k: v) / m).alias("mean"),
+        )
+
+        def measure(s: Column) -> Column:
+            slope = (s["ky"] - s["k"] * s["y"] / s["w"]) / (s["kk"] - s["k"] * s["k"] / s["w"])
+            level = s["y"] / s["w"] - slope * s["k"] / s["w"]
+            return F.struct(
+                slope.alias("slope"),
+                total(lambda v, k: weight(k) * F.pow(v - level - slope * k, 2)).alias("rest"),
+                total(lambda v, k: weight(k) * F.pow(v - s["mean"], 2)).alias("whole"),
+            )
+
+        return F.get(F.transform(F.array(sums), measure), F.lit(0))
+
+    last = F.when(F.size(closes) >= n, F.slice(closes, F.size(closes) - n + 1, n))
+    logs = F.transform(last, lambda c: F.ln(c))
+    found = F.get(F.transform(F.array(logs), lambda y: F.when(y.isNotNull(), fit(y))), F.lit(0))
+    return F.get(F.transform(F.array(found), lambda f: F.expm1(f["slope"] * 250) * F.when(f["whole"] > 1e-18, 1 - f["rest"] / f["whole"]).otherwise(0.0)), F.lit(0))
 
 
 def features(bars: DataFrame) -> DataFrame:
@@ -45,7 +82,7 @@ def features(bars: DataFrame) -> DataFrame:
     rows = rows.withColumn("up", F.when(F.col("ret").isNotNull(), F.greatest(c - F.col("prev"), F.lit(0.0)))).withColumn("down", F.when(F.col("ret").isNotNull(), F.greatest(F.col("prev") - c, F.lit(0.0))))
     rows = ewm(rows, "i", "d", {"e12": ("close", 12), "e20": ("close", 20), "e26": ("close", 26)})
     rows = _trend(rows, 21, "")
-    rows = rows.withColumn("annualized", F.exp(F.col("slope") * 250) - 1).withColumn("score", F.col("annualized") * F.col("r2"))
+    rows = rows.withColumn("annualized", F.when(F.col("slope") * 250 < 709, F.expm1(F.col("slope") * 250))).withColumn("score", F.col("annualized") * F.col("r2"))
     rows = streak(streak(rows, "ret", "i", "d", "consecutive_up_days"), "ret", "i", "d", "consecutive_down_days", up=False)
     r = F.col("ret")
     mean = lambda x, n, until=0: rolling(F.avg, x, n, w, until=until)
@@ -63,10 +100,10 @@ def features(bars: DataFrame) -> DataFrame:
         "score": F.col("score"),
         "vol_ratio": vol_ratio,
         "lookback": F.floor(F.least(F.greatest(10 + 50 * (1 - F.least(vol_ratio, F.lit(0.9))), F.lit(10.0)), F.lit(60.0))).cast("long"),
-        "has_recent_drop": _drop_flag(c).cast("int"),
-        "over_return_cap": F.coalesce(F.col("annualized") > 20, F.lit(False)).cast("int"),
-        "score_ratio": F.coalesce(ratio(F.col("score"), before), F.lit(1.0)),
-        "score_diff": F.coalesce(F.col("score") - before, F.lit(0.0)),
+        "has_recent_drop": _drop_flag(c),
+        "over_return_cap": (F.col("annualized") > 20).cast("int"),
+        "score_ratio": F.when(F.col("score").isNotNull(), F.coalesce(ratio(F.col("score"), before), F.lit(1.0))),
+        "score_diff": F.when(F.col("score").isNotNull(), F.coalesce(F.col("score") - before, F.lit(0.0))),
         **{name: change(c, k, w) for name, k in (("ret_1d", 1), ("ret_3d", 3), ("short_term_return_5d", 5), ("ret_10d", 10), ("ret_20d", 20), ("ret_60d", 60))},
         "close_over_ma20": c / mean(c, 20, -1) - 1,
         "close_over_ma60": c / mean(c, 60, -1) - 1,
@@ -81,17 +118,17 @@ def features(bars: DataFrame) -> DataFrame:
         "realized_vol_20": std(r, 20) * YEAR**0.5,
         "downside_vol_20": F.sqrt(mean(F.when(r.isNotNull(), F.pow(F.least(r, F.lit(0.0)), 2)), 20)) * YEAR**0.5,
         "drawdown_from_high_20": c / rolling(F.max, h, 20, w, until=-1) - 1,
-        "max_dd_5": F.when(F.count("close").over(w.rowsBetween(-4, 0)) >= 5, worst5()),
+        "max_dd_5": F.when(F.count("close").over(w.rowsBetween(-4, 0)) >= 5, -worst5()),
         "atr_ratio_5": mean(F.col("tr"), 5) / c,
         "atr_ratio_14": mean(F.col("tr"), 14) / c,
         "sharpe_like_5": ratio(mean(r, 5), std(r, 5)),
         "vol_ratio_recent_hist": F.when(past > 0, recent / past).otherwise(F.lit(0.0)),
-        "is_high_level_volume_spike": F.coalesce((F.col("annualized") > 5) & (F.when(past > 0, recent / past).otherwise(0.0) > 2), F.lit(False)).cast("int"),
+        "is_high_level_volume_spike": F.when(F.col("annualized").isNotNull(), ((F.col("annualized") > 5) & (F.when(past > 0, recent / past).otherwise(0.0) > 2)).cast("int")),
         "vol_ratio_5": F.when(mean(v, 5, -1) > 0, v / mean(v, 5, -1)).otherwise(F.lit(0.0)),
         "vol_ratio_20": F.when(mean(v, 20, -1) > 0, v / mean(v, 20, -1)).otherwise(F.lit(0.0)),
         "volume_zscore_20": ratio(F.col("lv") - mean(F.col("lv"), 20), std(F.col("lv"), 20)),
         "money_ratio_5_20": F.when(mean(a, 20) > 0, mean(a, 5) / mean(a, 20) - 1),
-        "amihud_illiquidity_20": mean(F.when(a > 0, F.abs(r) / a), 20) * 1e8,
+        "amihud_illiquidity_20": F.when(F.count(r).over(w.rowsBetween(-19, 0)) >= 20, F.avg(F.when(a > 0, F.abs(r) / a)).over(w.rowsBetween(-19, 0)) * 1e8),
         "price_volume_corr_20": rolling_corr(r, F.col("dlv"), 20, w),
         "upper_shadow_ratio": F.when(h > l, (h - F.greatest(o, c)) / (h - l)).otherwise(F.lit(0.0)),
         "lower_shadow_ratio": F.when(h > l, (F.least(o, c) - l) / (h - l)).otherwise(F.lit(0.0)),
@@ -99,7 +136,9 @@ def features(bars: DataFrame) -> DataFrame:
         "intraday_return": ratio(c, o) - 1,
         "overnight_gap": ratio(o, F.col("prev")) - 1,
     }
-    found = rows.select("d", "i", *[x.alias(k) for k, x in made.items()])
+    closes = F.collect_list("close").over(w.rowsBetween(-59, 0))
+    found = rows.select("d", "i", *[x.alias(k) for k, x in made.items()], closes.alias("__closes"))
+    found = found.withColumn("score_dynamic", adaptive_score(F.col("__closes"), F.col("lookback").cast("int"))).drop("__closes")
     return decay_days(found).withColumn("is_decaying", (F.col("decay_days") >= 3).cast("int"))
 
 
@@ -111,12 +150,24 @@ def _drawdown(closes: Column) -> Column:
 
 
 def decay_days(rows: DataFrame, cap: int = 3) -> DataFrame:
-    """Adds for how many scores in a row the score fell, at most ``cap``; null scores neither count nor reset."""
+    """Adds for how many rows in a row the score fell, at most ``cap``; unknown where the score is.
+
+    A score after an unknown one did not fall.
+    """
     w = by_day()
-    known = W.partitionBy("i", F.col("score").isNull()).orderBy("d")
-    fell = F.when(F.col("score").isNotNull(), F.coalesce(F.col("score") < F.lag("score").over(known), F.lit(False)))
-    marked = rows.withColumn("__fell", fell)
-    marked = marked.withColumn("__run", F.sum(F.when(F.col("__fell"), 0).when(F.col("__fell").isNull(), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    before = F.lag("score").over(w)
+    marked = rows.withColumn("__fell", F.coalesce(F.col("score") < before, F.lit(False)))
+    marked = marked.withColumn("__run", F.sum(F.when(F.col("__fell"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0)))
     inner = W.partitionBy("i", "__run").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    n = F.sum(F.when(F.col("__fell"), 1).otherwise(0)).over(inner)
-    return marked.withColumn("decay_days", F.least(n, F.lit(cap)).cast("long")).drop("__fell", "__run")
+    n = F.least(F.sum(F.when(F.col("__fell"), 1).otherwise(0)).over(inner), F.lit(cap)).cast("long")
+    return marked.withColumn("decay_days", F.when(F.col("score").isNotNull(), n)).drop("__fell", "__run")
+
+
+def cross_section(rows: DataFrame) -> DataFrame:
+    """Adds the ranks within each day (ties share, by the number of known values), and whether a name leads the day by
+    score that did not lead the day before."""
+    ranks = {"score_rank_pct": "score", "ret_5d_rank_pct": "short_term_return_5d", "ret_20d_rank_pct": "ret_20d"}
+    ranked = rows.withColumns({name: rank_share(F.col(x), "d") for name, x in ranks.items()})
+    leaders = rows.where("score is not null").groupBy("d").agg(F.min(F.struct(-F.col("score"), "i"))["i"].alias("leader"))
+    fresh = ~F.col("leader").eqNullSafe(F.lag("leader").over(W.orderBy("d")))  # one row per day
+    return ranked.join(leaders.withColumn("__fresh", fresh), "d", "left").withColumn("is_new_top1", F.coalesce((F.col("leader") == F.col("i")) & F.col("__fresh"), F.lit(False)).cast("int")).drop("leader", "__fresh")

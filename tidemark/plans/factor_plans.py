@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import factors as fac
-from tidemark.operators.technical import features
+from tidemark.operators.technical import cross_section, features
 from tidemark.plans.registry import query
 from tidemark.plans.views import ACTIONS, BARS, CALENDAR, DENSE, GRID, VALUATION, actions, bars, calendar, dense_bars, grid, valuation, with_views
 from tidemark.plans.windowed import trend_body
@@ -156,3 +156,9 @@ WINDOW {", ".join(f"{k} AS (PARTITION BY i ORDER BY d {f})" for k, f in _FRAMES.
 @query("technical_features", with_views(_TECH_SQL, BARS))
 def technical(spark, sf_dir):
     return features(bars(spark, sf_dir)).select("d", "i", *[F.round(F.col(k) + F.lit(1e-9), 5).alias(k) for k in _TECH])
+
+
+@query("technical_all")
+def technical_all(spark, sf_dir):
+    """All features, those within a day's cross-section too; tests compare them with numpy."""
+    return cross_section(features(bars(spark, sf_dir)))
