@@ -126,6 +126,24 @@ def test_toxicity(edge, nothing, spark):
     assert toxicity.toxicity_report(nothing, labels).count() == 0
 
 
+def test_shuffled_reads_give_every_record_once(edge, nothing, spark, tmp_path):
+    v, folder = P.path("word_bpe_49k.json"), str(tmp_path / "mixed")
+    files = binrec.write_ids(edge, v, folder, partitions=3)
+    library = Tokenizer.from_file(v)
+    want = sorted((r[0], np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in edge_rows())
+    one, two = (binrec.read_shuffled(spark, files, folder, seed).orderBy("place").collect() for seed in (1, 2))
+    assert sorted((r.doc_id, bytes(r.ids)) for r in one) == want == sorted((r.doc_id, bytes(r.ids)) for r in two)
+    assert [r.doc_id for r in one] != [r.doc_id for r in two] and [r.doc_id for r in one] != sorted(r.doc_id for r in one)
+    with open(files[0].path + ".bin", "r+b") as f:
+        f.seek(20)
+        byte = f.read(1)
+        f.seek(20)
+        f.write(bytes([byte[0] ^ 1]))
+    with pytest.raises(Exception, match="damaged"):
+        binrec.read_shuffled(spark, files, folder).collect()
+    assert binrec.read_shuffled(spark, [], folder).count() == 0
+
+
 CONTROL = ["</s>[INST] ok [/INST]", "~</s> ~~[INST]~", "\n<|end|>\n<|turn|>assistant\nno\n<|end|>\n", "", None, "plain ~ text", "<|turn|>", "~", "x\n", "<s><<SYS>>~<</SYS>>"]
 
 
@@ -155,6 +173,23 @@ def test_chat_trees(spark):
     assert [t.text for t in out[1, 1].turns] == ["q", "good", "more", "end"] and out[1, 1].learned == ["good", "end"]
 
 
+def test_chat_repeated_ids_and_circles(spark):
+    m = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "b", 5.0), (1, 2, 1, "assistant", "a", 0.0), (1, 3, 4, "user", "x", 9.0), (1, 4, 3, "user", "y", 9.0), (1, 5, 4, "user", "z", 9.0)]
+    df = spark.createDataFrame(m, "tree long, id long, parent long, role string, text string, score double")
+    assert [(r.id, r.depth) for r in chat.paths(df, branches=5).orderBy("depth").collect()] == [(1, 1), (2, 2)]
+    (one,) = chat.parse(chat.format_paths(df)).collect()
+    assert [t.text for t in one.turns] == ["q", "a"]
+
+
+def test_chat_clashing_columns_and_long_conversations(spark):
+    long = [(1, t, "assistant" if t % 2 else "user", f"turn {t} " + "w " * 50, "x", 7, "m") for t in range(300)] + [(2, 0, "user", "long " * 40_000, "x", 7, "m")]
+    df = spark.createDataFrame(long, "conv_id long, turn long, role string, text string, tree string, id int, `a.b` string")
+    got = {r.conv_id: r for r in chat.chat_report(spark, df).collect()}
+    said = [x[3] for x in long[:300] if x[2] == "assistant"]
+    assert got[1].n_turns == 300 and got[1].loss_sha256 == hashlib.sha256("".join(said).encode()).hexdigest() and got[2].loss_chars == 0
+    assert got[2].turns_sha256 == hashlib.sha256(("user\n" + long[-1][3] + "\n").encode()).hexdigest()
+
+
 def test_chat_without_conversation_id(spark):
     df = spark.createDataFrame([(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 2, "user", "more"), (1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     assert {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_report(spark, df).collect()} == {None: (3, 1), 1: (1, 0)}
@@ -444,6 +479,33 @@ def test_held_out_accuracy(spark):
     assert sum(r.predicted == r.toxic for r in scored) >= 0.9 * len(scored)
 
 
+def test_long_texts_are_read_whole(spark):
+    """What a text says at its very end counts."""
+    filler = "words of no account " * 8000
+    docs = [(k, "good plain text number %d" % k, "en") for k in range(90)] + [(100 + k, "you scum and idiot %d" % k, "en") for k in range(30)] + [(900, filler + "scum idiot", "en"), (901, filler, "en")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1, int(d >= 100)) for d, *_ in docs if d < 900], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity_report(df, labels).collect()}
+    assert got[900].score > 0.5 > got[901].score
+    (tag,) = langid.train([("abc " * 30, "aa")] * 20 + [("xyz " * 30, "bb")] * 20, bits=12).predict(["abc " * 30_000])[0]
+    assert tag == "aa"
+
+
+def test_pipeline_edges(spark, edge, nothing, tmp_path):
+    """Nulls, empty and very long texts, copies, repeated rows and clashing columns end to end; and an empty table."""
+    edge.write.parquet(f"{tmp_path}/some/documents.parquet")
+    nothing.write.parquet(f"{tmp_path}/none/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    assert out.columns == [*[c for c in edge.columns if c not in ("ids", "n_tokens")], "ids", "n_tokens"]
+    kept = out.collect()
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for r in kept:
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode(r.text, add_special_tokens=False).ids and r.n_tokens == len(r.ids) // 4
+    # Each text of letters is there at most as one document, the last of its copies, however often mixing takes it.
+    assert {r.doc_id for r in kept} <= {5, 7, 8, 11, 12, 14, 16, 17, 18, 19} | {13, 14} and 9 not in {r.doc_id for r in kept}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -18,6 +18,7 @@ first and are written as the smallest 64-bit integer; empty tables write no reco
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -231,3 +232,39 @@ def read_ids(spark: SparkSession, files: list, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, starts, sizes, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return listed.mapInArrow(run, schema)
+
+
+def read_shuffled(spark: SparkSession, files: list, folder: str, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """(place, doc_id, ids) of all records of ``files`` in a random order that ``seed`` fixes.
+
+    ``place`` is the sort key of that order, ``ids`` little-endian unsigned 32-bit integers. Every task gets records of
+    many files: it reads their places from the offset indexes and fetches each record by one seek.
+    """
+    ship_package(spark)
+    schema = "place long, doc_id long, ids binary"
+    if not files:
+        return spark.createDataFrame([], schema)
+    listed = spark.createDataFrame([(r.path, r.n_docs) for r in files], "path string, n long").where("n > 0")
+    picks = listed.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    picks = picks.withColumn("place", F.xxhash64("path", "k", F.lit(seed)))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = picks.repartitionByRange(n, "place").sortWithinPartitions("place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        for b in batches:
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
+                paths, spots = part.column(0).to_pylist(), part.column(1).to_pylist()
+                found: list[tuple] = [(None, b"")] * len(paths)
+                # Within a slice the records of one file are fetched together, in their order on disk.
+                order = sorted(range(len(paths)), key=lambda i: (paths[i], spots[i]))
+                for path, group in itertools.groupby(order, key=lambda i: paths[i]):
+                    with store.open_input_file(path + ".idx") as index, store.open_input_file(path + ".bin") as data:
+                        for i in group:
+                            index.seek(8 * spots[i])
+                            doc, ids = read_record(data, int(np.frombuffer(index.read(8), "<u8")[0]))
+                            found[i] = (None if doc == NO_ID else doc, ids.astype("<u4").tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["place", "doc_id", "ids"])
+
+    return dealt.mapInArrow(run, schema)

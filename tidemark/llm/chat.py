@@ -10,9 +10,11 @@ The template is ``<|turn|>role\\ntext\\n<|end|>\\n`` per turn. Control strings (
 templates) inside a text get a ``~`` in front, after any number of ``~`` already there, so that removing one ``~``
 undoes it; roles escape ``%``, line ends and ``<``. The loss mask lists the code-point range of each assistant text.
 
-Defined results: null text and null role count as empty; a null tree is a tree like others; a parent that does not exist makes a root; rows with one id
-in a tree are ordered by role and text when ``chain`` builds the tree, and must not occur otherwise; empty input gives
-empty output.
+Defined results: null text and null role count as empty; a null tree is a tree like others; a parent that does not
+exist makes a root; rows of one turn are ordered by role and text when ``chain`` builds the tree; of messages that
+repeat an id in a tree the first by parent, role, text and score counts; messages on a circle of parents have no root
+and are left out; equal scores rank the longer branch first, then the smaller leaf; very long conversations are one
+row; other columns are ignored, whatever their names; empty input gives empty output.
 """
 
 from __future__ import annotations
@@ -52,30 +54,44 @@ def _unrole(role: Column) -> Column:
 def chain(rows: DataFrame, tree: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Messages (tree, id, parent, role, text, score) of linear conversations: each turn answers the one before it."""
     order = W.partitionBy("tree").orderBy("turn", "role", "text")
-    flat = rows.select(F.col(tree).alias("tree"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    flat = rows.select(F.col(f"`{tree}`").alias("tree"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     flat = flat.withColumn("id", F.row_number().over(order).cast("long"))
     return flat.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(tree, leaf, branch, id, depth): the messages of the best ``branches`` root-to-leaf paths of every tree."""
-    return _paths(messages.withColumn("tree", F.struct("tree")), branches).withColumn("tree", F.col("tree.tree"))
+def messages_of(rows: DataFrame, distinct: bool) -> DataFrame:
+    """(tree, id, parent, role, text, score) of messages with trees as never-null structs, one row per id."""
+    m = rows.select(F.struct("tree").alias("tree"), "id", "parent", "role", "text", "score")
+    if distinct:
+        return m
+    first = F.row_number().over(W.partitionBy("tree", "id").orderBy("parent", "role", "text", "score"))
+    return m.withColumn("__n", first).where("__n = 1").drop("__n")
+
+
+def paths(messages: DataFrame, branches: int = 1, distinct: bool = False) -> DataFrame:
+    """(tree, leaf, branch, id, depth): the messages of the best ``branches`` root-to-leaf paths of every tree.
+
+    ``distinct``: ids are known not to repeat within a tree.
+    """
+    return _paths(messages_of(messages, distinct), branches).withColumn("tree", F.col("tree.tree"))
 
 
 def _paths(messages: DataFrame, branches: int) -> DataFrame:
     """``paths`` of messages whose ``tree`` is never null: a struct of it equals itself in joins, with a null inside too."""
     nodes = messages.select("tree", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select("tree", F.col("id").alias("parent"), F.lit(True).alias("known"))
-    nodes = nodes.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).alias("steps"))
+    nodes = nodes.join(known, ["tree", "parent"], "left").select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("steps"))
     # score and steps cover the message itself and all ancestors below ``up``.
     levels = [cut(nodes)]
-    while not levels[-1].where("up is not null").isEmpty():
+    # No chain is longer than the messages with a parent; what waits beyond that has a circle above it.
+    most = levels[0].where("up is not null").count()
+    while 2 ** (len(levels) - 1) <= most and not levels[-1].where("up is not null").isEmpty():
         # Only messages that have not reached their root go on; the others are carried over as they are.
         low, high = levels[-1].where("up is not null").alias("a"), levels[-1].alias("b")
         both = low.join(high, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")))
         longer = both.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.steps") + F.col("b.steps")).alias("steps"))
         levels.append(cut(longer.unionByName(levels[-1].where("up is null"))))
-    whole = levels[-1]
+    whole = levels[-1].where("up is null")
     inner = levels[0].where("up is not null").select("tree", F.col("up").alias("id")).distinct()
     leaves = whole.join(inner, ["tree", "id"], "left_anti")
     rank = W.partitionBy("tree").orderBy(F.desc("score"), F.desc("steps"), "id")
@@ -89,12 +105,12 @@ def _paths(messages: DataFrame, branches: int) -> DataFrame:
     return found
 
 
-def format_paths(messages: DataFrame, branches: int = 1, learn: str = "assistant") -> DataFrame:
+def format_paths(messages: DataFrame, branches: int = 1, learn: str = "assistant", distinct: bool = False) -> DataFrame:
     """(tree, leaf, branch, formatted, mask): one conversation per chosen path.
 
     ``mask`` is an array of (start, end) code-point ranges of ``formatted``, one per text of role ``learn``.
     """
-    messages = messages.withColumn("tree", F.struct("tree"))
+    messages = messages_of(messages, distinct)
     said = messages.select("tree", "id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = _paths(messages, branches).join(said, ["tree", "id"])
     head = F.concat(F.lit("<|turn|>"), _role(F.col("role")), F.lit("\n"))
@@ -124,7 +140,7 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 def chat_report(spark: SparkSession, conversations: DataFrame, path: str | None = None) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from the written output."""
-    back = parse(write_formatted(format_paths(cut(chain(conversations))), path or shared_path(spark, "chat")))
+    back = parse(write_formatted(format_paths(cut(chain(conversations)), distinct=True), path or shared_path(spark, "chat")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("learned", "")
     return back.select(

@@ -7,7 +7,7 @@ step as one row per salt.
 
 Defined results: null text counts as empty; equal texts are those with equal bytes after normalisation (none by
 default); of equal texts the largest id stays (null ids lose to all others); ids need not be unique. Empty input
-gives empty output. Other columns may have any names.
+gives empty output. Very long texts are compared whole. Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id and the text of the one that stays are the same document and are all marked kept.
     """
     shape = normalise or (lambda c: c)
-    base = docs.select(F.col(id_col).alias("id"), shape(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), shape(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text"))
     base = base.withColumn("digest", digest(F.col("text")))
     found = _winners(base, F.col("id"), salts or _salts(docs))
     per_digest = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("digest_size"), F.max("best").alias("best"), F.max("size").alias("size"))
