@@ -3,6 +3,10 @@
 Language ID drops documents whose language is rejected; exact dedup keeps the largest id of equal texts; the n-gram
 Jaccard join (five words, similarity 0.8) keeps the smallest id of each group; mixing repeats and leaves out documents
 to meet the sources' target weights; BPE adds the ids of each text.
+
+Defined results: documents with null or empty text, or without letters, are rejected by the first stage; rows that
+repeat a text count once; an empty table gives an empty table; other columns pass through all stages, but columns named
+``ids`` or ``n_tokens`` are replaced by the last one; ties fall as each operator's docstring says.
 """
 
 from __future__ import annotations
