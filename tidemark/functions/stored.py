@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str = "stored") -> DataFrame:
-    """``df``, written once below the session's ``spark.checkpoint.dir`` and reread, so that neither several readers nor
-    lost executors compute it again.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all machines share: the session's ``spark.checkpoint.dir``.
 
-    A local session may leave that setting out; on a cluster the folder must be one that all machines share.
+    A local session may leave it out, as in tests; on a cluster a folder of the driver's own would be of no use.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df``, written once to the shared folder and reread, so that neither several readers nor lost executors compute
+    it again."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -168,11 +168,13 @@ def slv_01(spark, sf_dir):
     return por.cross_demands(_demands(spark, sf_dir))
 
 
-@query("slv_01_residuals", with_views("""t AS (SELECT *, sum(greatest(quantity, 0)) OVER (PARTITION BY i) AS buys, sum(greatest(-quantity, 0)) OVER (PARTITION BY i) AS sells FROM dem)
-SELECT i, sum(quantity)::BIGINT AS left_over FROM dem GROUP BY i HAVING sum(quantity) <> 0""", _DEMANDS))
+@query("slv_01_residuals", with_views("""p AS (SELECT *, sum(abs(quantity)) OVER (PARTITION BY i, quantity > 0 ORDER BY sleeve ROWS UNBOUNDED PRECEDING) AS e FROM dem WHERE quantity <> 0),
+m AS (SELECT i, least(sum(greatest(quantity, 0)), sum(greatest(-quantity, 0))) AS matched FROM dem GROUP BY i),
+r AS (SELECT p.i, sleeve, (sign(quantity) * (abs(quantity) - greatest(0, least(e, matched) - (e - abs(quantity)))))::BIGINT AS quantity FROM p JOIN m ON m.i = p.i)
+SELECT i, sleeve, quantity FROM r WHERE quantity <> 0""", _DEMANDS))
 def slv_01_residuals(spark, sf_dir):
     d = _demands(spark, sf_dir)
-    return por.residual_orders(d, por.cross_demands(d)).groupBy("i").agg(F.sum("quantity").alias("left_over")).where("left_over <> 0")
+    return por.residual_orders(d, por.cross_demands(d)).select("i", "sleeve", "quantity")
 
 
 @query("slv_02_lot_allocation", with_views("""o AS (SELECT i, sleeve, quantity AS demand, (sum(quantity) OVER (PARTITION BY i) // 2 // 10 * 10)::BIGINT AS filled FROM dem WHERE quantity > 0),
