@@ -207,8 +207,8 @@ fp AS (SELECT *, CASE WHEN filled > 0 THEN least(greatest(price * (1 + side * (2
 
 
 @query("exe_02_fills", with_views(f"""{_ORD}
-SELECT id, reason, filled, round(fill_price / 7, 6) AS fill_price, round(CASE WHEN filled > 0 THEN greatest(5, filled * fill_price * 2.6 / 1e4) ELSE 0 END / 7, 6) AS commission,
-  round(CASE WHEN filled > 0 AND side < 0 THEN filled * fill_price * 10 / 1e4 ELSE 0 END / 7, 6) AS tax FROM fp""", BARS))
+SELECT id, reason, filled, floor(fill_price * 1e4 + 0.5::DOUBLE) / 1e4 AS fill_price, floor(CASE WHEN filled > 0 THEN greatest(5, filled * fill_price * 2.6 / 1e4) ELSE 0 END * 1e4 + 0.5::DOUBLE) / 1e4 AS commission,
+  floor(CASE WHEN filled > 0 AND side < 0 THEN filled * fill_price * 10 / 1e4 ELSE 0 END * 1e4 + 0.5::DOUBLE) / 1e4 AS tax FROM fp""", BARS))
 def exe_02(spark, sf_dir):
     k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 2 == 0, 1).otherwise(-1).alias("side"), (k % 50 * 100).alias("quantity"), (F.col("o_custkey") % 25).alias("i"), F.col("o_orderdate").cast("date").alias("d"))
@@ -222,7 +222,7 @@ def exe_02(spark, sf_dir):
     })
     priced = exe.resolve_costs(rows, overrides={"sell_tax_bps": 10.0})
     done = exe.fills(priced, Impact(participation=10.0, slippage=2.0, per_root=20.0, most=150.0))
-    return done.select("id", "reason", "filled", *[F.round(F.col(c) / 7, 6).alias(c) for c in ("fill_price", "commission", "tax")])  # sevenths have no ties in rounding
+    return done.select("id", "reason", "filled", *[(F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c) for c in ("fill_price", "commission", "tax")])  # ties as in SQL
 
 
 @query("exe_01_cost_chain", """WITH c AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'etf' WHEN c_mktsegment = 'MACHINERY' THEN 'bond' ELSE 'stock' END AS asset,
