@@ -469,7 +469,6 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     by_key = W.partitionBy("key").orderBy("id")
     first, more = F.min("id").over(by_key.rowsBetween(W.unboundedPreceding, 0)), F.lead("id").over(by_key).isNotNull()
     marks = signed(base, shingle, percent, large).select(F.shiftright("key", SALT).alias("sig"), "id", first.alias("first"), more.alias("more"))
-    # (sig, id, first): who shares a signature, and the smallest id there or in the batch. Classes act through one id.
     # (sig, id, first): who shares a signature, and the smallest id there or in the batch. One id stands for a class.
     copies = placed.where("id <> class_id")
     shared = marks.where("id <> first or more").select("sig", "id", "first").join(copies, "id", "left")
