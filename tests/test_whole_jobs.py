@@ -137,3 +137,29 @@ def test_unpivot_of_all_instruments(spark, market):
 def test_all_instruments_hold_what_the_sql_covers(spark, name, columns):
     got, want = (plain(x, *columns.split()) for x in (catalog.QUERIES[name](spark, SF).toPandas(), of_sql(name)))
     assert [r[:-1] for r in got] == [r[:-1] for r in want] and np.allclose([r[-1] for r in got], [r[-1] for r in want], rtol=1e-9)
+
+
+def test_a_run_streams_by_session():
+    """The fold asks for a session's rows when it plays it, and hands on ledger rows before the run ends."""
+    from tidemark.operators.backtest import Rules, _played
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(50)]
+    read = []
+
+    def panel():
+        blank = (None,) * 8
+        yield (1, "instrument", None, 7, *blank, None, "stock", "2020-02-10")
+        for d in days:
+            read.append(d)
+            yield (1, "action", d, 7, 1.0, 0.0, *blank[2:], None, "cash_dividend", f"record|{d}")
+            yield (1, "bar", d, 7, 10.0, 10.0, 10.0, 10.0, 1e9, 1e10, None, None, False, None, None)
+            yield (1, "session", d, None, *blank, None, None, None)
+            if d == days[0]:
+                yield (1, "target", d, 7, 0.5, *blank[1:], None, None, "main")
+
+    told = _played(panel(), Rules(), most=10)
+    first = next(told)
+    assert len(read) < 10 and len(first) < 20
+    rows = first + [r for part in told for r in part]
+    assert [r[2] for r in rows if r[1] == "nav"] == days
+    assert [r[2] for r in rows if r[7] == "delisted"] == [dt.date(2020, 2, 10)]

@@ -1,8 +1,8 @@
 """The account simulation: a fold over sessions whose cash couples all instruments.
 
-Spark builds one compact panel of events per run (sessions, bars, targets and actions of the instruments in scope);
-each run is one group of a grouped-map function, so runs and parameter sets go in parallel and only the sessions of one
-run are sequential. All ledgers leave as one tagged long table (run, sleeve, ledger, d, i, a, b, c, note) that
+Spark builds one compact panel of events per run (sessions, bars, targets and actions of the instruments in scope),
+sorted by day; a run's sessions stream through one task, so runs and parameter sets go in parallel and only the
+sessions of one run are sequential. All ledgers leave as one tagged long table (run, sleeve, ledger, d, i, a, b, c, note) that
 :func:`ledger` splits by filter.
 
 An account has sleeves, one per strategy, each with its share of the capital, its lots and its claims. A session goes:
@@ -18,8 +18,11 @@ import hashlib
 import json
 import math
 from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from datetime import date
+from itertools import groupby
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -251,15 +254,15 @@ def allocate(filled: int, asked: list[int], lot: int) -> list[int]:
     return out
 
 
-def _events(d, day: int, actions: Mapping, sleeves: list[Sleeve], marks: dict) -> None:
+def _events(d, day: int, events: Sequence[tuple], sleeves: list[Sleeve], marks: dict) -> None:
     """What is due on a session: claims paid, then ex-date events on the quantities entitled at the record date."""
-    for when, event in actions.get(d, ()):
+    for when, event in events:
         if when == "pay":
             for s in sleeves:
                 if event["id"] in s.claims:
                     i, amount = s.claims.pop(event["id"])
                     s.pay(d, amount, f"dividend {i}")
-    for when, event in actions.get(d, ()):
+    for when, event in events:
         if when != "ex":
             continue
         i, kind = event["i"], event["kind"]
@@ -288,23 +291,36 @@ def simulate(days: list, bars: Mapping, targets: Mapping, actions: Mapping, deli
     ``bars``: day -> instrument -> bar; ``targets``: day -> sleeve -> instrument -> weight; ``actions``: day -> (when,
     event) with ``when`` one of record, ex, pay; ``delisted``: instrument -> first day without it.
     """
-    rows: list[tuple] = []
-    sleeves = [Sleeve(name, rules.cash * share, rows) for name, share in rules.sleeves.items()]
-    marks: dict = {}
-    pending: dict[str, Mapping] = {}
-    at = "open" if rules.timing == "next_open" else "close"
-    for day, d in enumerate(days):
-        today = bars.get(d, {})
-        _events(d, day, actions, sleeves, marks)
+    account = Account(rules, delisted, assets or {})
+    for d in days:
+        account.session(d, bars.get(d, {}), targets.get(d, {}), actions.get(d, ()))
+    return account.rows
+
+
+class Account:
+    """The state of a run between sessions; :meth:`session` adds what a day did to ``rows``, which a caller may empty."""
+
+    def __init__(self, rules: Rules, delisted: Mapping, assets: Mapping):
+        self.rules, self.delisted, self.assets = rules, delisted, assets
+        self.rows: list[tuple] = []
+        self.sleeves = [Sleeve(name, rules.cash * share, self.rows) for name, share in rules.sleeves.items()]
+        self.marks: dict = {}
+        self.pending: Mapping[str, Mapping] = {}
+        self.day = 0
+        self.at = "open" if rules.timing == "next_open" else "close"
+
+    def session(self, d, today: Mapping, targets: Mapping[str, Mapping], events: Sequence[tuple]) -> None:
+        rules, sleeves, marks = self.rules, self.sleeves, self.marks
+        _events(d, self.day, events, sleeves, marks)
         traded = 0.0
         if rules.timing == "same_close":
-            pending = targets.get(d, {})
-        if pending:
-            session = Session(d, day, today, at, marks, assets or {}, rules)
-            session.run(sleeves, pending)
-            traded, pending = session.traded, {}
+            self.pending = targets
+        if self.pending:
+            session = Session(d, self.day, today, self.at, marks, self.assets, rules)
+            session.run(sleeves, self.pending)
+            traded, self.pending = session.traded, {}
         marks |= {i: b["close"] for i, b in today.items() if b["close"] is not None}
-        for when, event in actions.get(d, ()):
+        for when, event in events:
             if when == "record":
                 for s in sleeves:
                     if n := s.quantity(event["i"]):
@@ -312,7 +328,7 @@ def simulate(days: list, bars: Mapping, targets: Mapping, actions: Mapping, deli
         for s in sleeves:
             for i in sorted(s.lots, key=str):
                 n = s.quantity(i)
-                if n and i in delisted and d >= delisted[i] and rules.delisting != "carry":
+                if n and i in self.delisted and d >= self.delisted[i] and rules.delisting != "carry":
                     back = n * marks.get(i, 0.0) * (rules.recovery if rules.delisting == "cash" else 0.0)
                     s.lots[i] = []
                     s.tell("action", d, i, n, 0, back, "delisted")
@@ -325,10 +341,10 @@ def simulate(days: list, bars: Mapping, targets: Mapping, actions: Mapping, deli
                     value += n * marks[i]
             nav = s.worth(marks)
             s.tell("nav", d, None, nav, s.cash, value)
-        sleeves[0].rows.append(("", "turnover", d, None, float(traded), float(sum(s.worth(marks) for s in sleeves)), 0.0, ""))
+        self.rows.append(("", "turnover", d, None, float(traded), float(sum(s.worth(marks) for s in sleeves)), 0.0, ""))
         if rules.timing != "same_close":
-            pending = targets.get(d, {})
-    return rows
+            self.pending = targets
+        self.day += 1
 
 
 def _dated(actions: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -339,11 +355,18 @@ def _dated(actions: DataFrame, calendar: DataFrame) -> DataFrame:
     names = set(actions.columns)
     get = lambda c: F.col(c) if c in names else F.lit(None).cast("date")
     rows = actions.where("active").withColumns({"__record": F.coalesce(get("record"), F.date_sub("ex", 1)), "__pay": F.coalesce(get("pay"), F.col("ex"))})
-    sessions = calendar.agg(F.array_sort(F.collect_set("d")).alias("__days"))  # one row, as long as the history
-    rows = rows.join(F.broadcast(sessions))
-    on_or_after = lambda day: F.get(F.filter("__days", lambda x: x >= F.col(day)), F.lit(0))
-    on_or_before = F.element_at(F.concat(F.array(F.lit(None).cast("date")), F.filter("__days", lambda x: x <= F.col("__record"))), -1)
-    when = F.explode(F.array(F.struct(F.lit("record").alias("when"), on_or_before.alias("d")), F.struct(F.lit("ex").alias("when"), on_or_after("ex").alias("d")), F.struct(F.lit("pay").alias("when"), on_or_after("__pay").alias("d"))))
+    # One row, as long as the history: for each day from the first session to the last, the session on or after and on or before it.
+    ends = calendar.agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    every = ends.select(F.explode(F.sequence("first", "last")).alias("day")).join(calendar.select(F.col("d").alias("s")).distinct(), F.col("day") == F.col("s"), "left")
+    near = every.select("day", F.min("s").over(W.orderBy(F.desc("day"))).alias("after"), F.max("s").over(W.orderBy("day")).alias("before"))
+    near = near.agg(F.array_sort(F.collect_list(F.struct("day", "after", "before"))).alias("near"))
+    near = near.select(F.get("near", F.lit(0))["day"].alias("__first"), F.size("near").alias("__n"), F.col("near.after").alias("__after"), F.col("near.before").alias("__before"))
+    rows = rows.join(F.broadcast(near))
+    place = lambda day: F.datediff(F.col(day), "__first")
+    on_or_after = lambda day: F.get("__after", F.greatest(place(day), F.lit(0)))
+    on_or_before = F.get("__before", F.least(place("__record"), F.col("__n") - 1))
+    rows = rows.select("id", "i", "kind", "cash", "share", on_or_before.alias("record"), on_or_after("ex").alias("ex"), on_or_after("__pay").alias("pay"))
+    when = F.explode(F.array(*[F.struct(F.lit(x).alias("when"), F.col(x).alias("d")) for x in ("record", "ex", "pay")]))
     return rows.withColumn("__w", when).select("id", "i", "kind", "cash", "share", F.col("__w.when").alias("when"), F.col("__w.d").alias("d")).where("d is not null")
 
 
@@ -352,10 +375,9 @@ def run_backtests(bars: DataFrame, targets: DataFrame, actions: DataFrame, instr
     instruments in scope of each run.
 
     Sessions are those of the calendar, or of all bars. Panel rows carry a kind: bars and actions are sent only for
-    instruments that a run ever targets.
+    instruments that a run ever targets. Spark sorts a run's rows by day, on disk where it must; the fold reads them as
+    they come and holds the rows of one session at a time.
     """
-    import pandas as pd
-
     calendar = bars.select("d").distinct() if calendar is None else calendar.select("d")
     if "sleeve" not in targets.columns:
         targets = targets.withColumn("sleeve", F.lit("main"))
@@ -371,41 +393,60 @@ def run_backtests(bars: DataFrame, targets: DataFrame, actions: DataFrame, instr
         return df.select("run", F.lit(kind).alias("kind"), values.get("d", F.col("d")).alias("d"), i.cast("long").alias("i"), *numbers, flag.cast("boolean").alias("flag"), what.cast("string").alias("what"), who.cast("string").alias("who"))
 
     c = F.col
-    fields = ("open", "close", "high", "low", "volume", "amount", "limit_up", "limit_down")
     rows = panel(run_ids.join(calendar), "session")  # runs x sessions
-    rows = rows.unionByName(panel(scope.join(bars, "i"), "bar", i=c("i"), flag=c("paused"), **{f"x{k}": c(name) for k, name in enumerate(fields)}))
+    rows = rows.unionByName(panel(scope.join(bars, "i"), "bar", i=c("i"), flag=c("paused"), **{f"x{k}": c(name) for k, name in enumerate(FIELDS)}))
     rows = rows.unionByName(panel(scope.join(_dated(actions, calendar), "i"), "action", i=c("i"), x0=c("cash"), x1=c("share"), what=c("kind"), who=F.concat_ws("|", "when", c("id").cast("string"))))
     rows = rows.unionByName(panel(targets, "target", i=c("i"), x0=c("weight"), who=c("sleeve")))
     asset = c("asset_type") if "asset_type" in instruments.columns else F.lit("stock")
-    rows = rows.unionByName(panel(scope.join(instruments, "i"), "instrument", d=c("delisted"), i=c("i"), what=asset))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        run = int(pdf["run"].iloc[0])
-        days, held, ends, assets = [], defaultdict(dict), {}, {}
-        goals: dict = defaultdict(lambda: defaultdict(dict))
-        acts: dict = defaultdict(list)
-        known = lambda x: None if x != x else float(x)
-        for r in pdf.sort_values(["d", "kind", "i", "who"]).itertuples(index=False):
-            if r.kind == "session":
-                days.append(r.d)
-            elif r.kind == "bar":
-                held[r.d][int(r.i)] = dict(zip(fields, map(known, (r.x0, r.x1, r.x2, r.x3, r.x4, r.x5, r.x6, r.x7)), strict=True)) | {"paused": bool(r.flag)}
-            elif r.kind == "target":
-                goals[r.d][r.who][int(r.i)] = r.x0
-            elif r.kind == "action":
-                when, key = r.who.split("|", 1)
-                acts[r.d].append((when, {"id": key, "i": int(r.i), "kind": r.what, "cash": known(r.x0) or 0.0, "share": known(r.x1) or 0.0}))
-            else:
-                assets[int(r.i)] = r.what
-                if r.d is not None and r.d == r.d:
-                    ends[int(r.i)] = r.d
-        out = pd.DataFrame(simulate(days, held, goals, acts, ends, runs[run], assets), columns=["sleeve", "ledger", "d", "i", "a", "b", "c", "note"])
-        out.insert(0, "run", run)
-        out["i"] = out["i"].astype("Int64")
-        return out
+    rows = rows.unionByName(panel(scope.join(instruments, "i"), "instrument", d=F.lit(None).cast("date"), i=c("i"), what=asset, who=c("delisted").cast("date")))
+
+    def fold(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        schema = pa.schema([("run", pa.int64()), ("sleeve", pa.string()), ("ledger", pa.string()), ("d", pa.date32()), ("i", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64()), ("note", pa.string())])
+        lines = (line for b in batches for line in zip(*[x.to_pylist() for x in b.columns], strict=True))
+        for run, own in groupby(lines, key=itemgetter(0)):
+            for told in _played(own, runs[run]):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([[run] * len(told), *zip(*told, strict=True)], schema, strict=True)], schema=schema)
 
     ship_package(bars.sparkSession)
-    return rows.groupBy("run").applyInPandas(one, LEDGER)
+    order = ["run", "d", "kind", "i", "who"]  # instruments first, as they have no day
+    return rows.repartition("run").sortWithinPartitions(*order).mapInArrow(fold, LEDGER)
+
+
+#: Columns of the panel that hold a bar, in order.
+FIELDS = ("open", "close", "high", "low", "volume", "amount", "limit_up", "limit_down")
+
+
+def _played(lines: Iterable[tuple], rules: Rules, most: int = 10_000) -> Iterator[list[tuple]]:
+    """Ledger rows, about ``most`` at a time, of one run whose panel rows come by day; instruments come first."""
+    known = lambda x: None if x is None or x != x else float(x)
+    ends, assets = {}, {}
+    account = Account(rules, ends, assets)
+    for d, own in groupby(lines, key=itemgetter(2)):
+        open_, today, events = False, {}, []
+        goals: dict = defaultdict(dict)
+        for _, kind, _, i, *numbers, flag, what, who in own:
+            if kind == "session":
+                open_ = True
+            elif kind == "bar":
+                today[i] = dict(zip(FIELDS, map(known, numbers), strict=True)) | {"paused": bool(flag)}
+            elif kind == "target":
+                goals[who][i] = numbers[0]
+            elif kind == "action":
+                when, key = who.split("|", 1)
+                events.append((when, {"id": key, "i": i, "kind": what, "cash": known(numbers[0]) or 0.0, "share": known(numbers[1]) or 0.0}))
+            elif kind == "instrument":
+                assets[i] = what
+                if who is not None:
+                    ends[i] = date.fromisoformat(who)
+        if open_:
+            account.session(d, today, goals, events)
+            if len(account.rows) >= most:
+                yield list(account.rows)
+                account.rows.clear()
+    if account.rows:
+        yield list(account.rows)
 
 
 def ledger(rows: DataFrame, name: str) -> DataFrame:

@@ -308,11 +308,12 @@ RUNS = {
 
 def _backtest(spark, sf_dir):
     """Months' best five by return, with three timings; and two sleeves, one of which holds the worst five."""
-    goals = _targets(spark, sf_dir)
+    goals = stored(_targets(spark, sf_dir))  # read, as the bars and the calendar are, for several parts of the panel
     every = goals.withColumn("run", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)]))).withColumn("sleeve", F.lit("main"))
     worst = _signal(spark, sf_dir).withColumn("score", -F.col("score")).join(goals.select("d").distinct(), "d")
     two = goals.withColumn("sleeve", F.lit("high")).unionByName(por.top_k_equal(worst, 5).withColumn("sleeve", F.lit("low"))).withColumn("run", F.lit(4).cast("long"))
-    return bt.run_backtests(bars(spark, sf_dir), every.unionByName(two), actions(spark, sf_dir), instruments(spark, sf_dir), RUNS, calendar(spark, sf_dir))
+    targets = stored(every.unionByName(two))
+    return bt.run_backtests(bars(spark, sf_dir), targets, actions(spark, sf_dir), instruments(spark, sf_dir), RUNS, stored(calendar(spark, sf_dir)))
 
 
 @query("bt_01_ledgers")
