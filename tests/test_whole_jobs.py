@@ -163,3 +163,21 @@ def test_a_run_streams_by_session():
     rows = first + [r for part in told for r in part]
     assert [r[2] for r in rows if r[1] == "nav"] == days
     assert [r[2] for r in rows if r[7] == "delisted"] == [dt.date(2020, 2, 10)]
+
+
+def below_zero(name, spark, folder):
+    """A query's rows and its SQL's, of accounts that fall below zero and whose days end in half cents."""
+    days = [dt.datetime(1996 + k // 4, 1 + k % 4, 1) for k in range(16)]
+    loses = lambda run, k: run < 2 and k == 5  # noqa: E731  more than all it has
+    rows = [(20 * k + 2 * run + loses(run, k), run, 1.5e8 if loses(run, k) else 1000.5 + k + run, d) for k, d in enumerate(days) for run in range(5)]
+    pd.DataFrame(rows, columns=["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]).to_parquet(f"{folder}/orders.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{folder}/orders.parquet'")
+    ours, theirs = catalog.QUERIES[name](spark, str(folder)).toPandas(), con.sql(catalog.ORACLES[name]).df()
+    plain = lambda df: sorted(tuple("nan" if v != v else float(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    return sorted(plain(ours), key=str), sorted(plain(theirs), key=str)
+
+
+def test_benchmark_below_zero(spark, tmp_path):
+    ours, theirs = below_zero("ana_02_benchmark", spark, tmp_path)
+    assert ours == theirs and len(ours) == 4 and all("nan" in r for r in ours)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,11 @@ def nav_returns(nav: DataFrame, key: str = "run") -> DataFrame:
     return rows.withColumn("drawdown", F.col("nav") / F.col("high") - 1).withColumn("n", F.row_number().over(w))
 
 
+def compounded(r: Column) -> Column:
+    """What returns ``r`` make together; NaN if one is below -1, for an account that fell below zero has no such result."""
+    return F.product(F.when(r < -1, F.lit(float("nan"))).otherwise(1 + r)) - 1
+
+
 def performance(nav: DataFrame, key: str = "run", risk_free: float = 0.0) -> DataFrame:
     """One row per key: returns, volatility, ratios, the deepest fall, how long it took and how long recovery did."""
     w = W.partitionBy(key).orderBy("d")
@@ -49,7 +54,7 @@ def against_benchmark(nav: DataFrame, benchmark: DataFrame, key: str = "run") ->
     w = W.orderBy("d")
     bench = benchmark.select("d", (F.try_divide("nav", F.lag("nav").over(w)) - 1).alias("b"))
     both = nav_returns(nav, key).join(bench, "d").where("r is not null and b is not null")
-    facts = both.groupBy(key).agg((F.product(1 + F.col("b")) - 1).alias("benchmark_return"), (F.product(1 + F.col("r")) - F.product(1 + F.col("b"))).alias("excess"), F.avg(F.col("r") - F.col("b")).alias("__m"), F.stddev_samp(F.col("r") - F.col("b")).alias("__s"))
+    facts = both.groupBy(key).agg(compounded(F.col("b")).alias("benchmark_return"), (compounded(F.col("r")) - compounded(F.col("b"))).alias("excess"), F.avg(F.col("r") - F.col("b")).alias("__m"), F.stddev_samp(F.col("r") - F.col("b")).alias("__s"))
     return facts.select(key, "benchmark_return", "excess", (F.col("__s") * YEAR**0.5).alias("tracking_error"), F.when(F.col("__s") > 0, F.col("__m") / F.col("__s") * YEAR**0.5).alias("information_ratio"))
 
 

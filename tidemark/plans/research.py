@@ -247,8 +247,11 @@ dd AS (SELECT *, nav / high - 1 AS dd FROM r)"""
 def _nav(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    signed = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
-    daily = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 5).alias("run"), F.col("o_orderdate").cast("date").alias("d")).agg(F.round(F.sum(signed) / 100, 2).alias("v"))
+    # In whole cents, so that neither sums nor the rounding of halves depend on the order of rows.
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    signed = F.sum(F.when(F.col("o_orderkey") % 2 == 0, cents).otherwise(-cents))
+    value = F.signum(signed) * F.floor((F.abs(signed) + 50) / 100) / 100
+    daily = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 5).alias("run"), F.col("o_orderdate").cast("date").alias("d")).agg(value.alias("v"))
     return daily.select("run", "d", (F.lit(1e6) + F.sum("v").over(W.partitionBy("run").orderBy("d"))).alias("nav"))
 
 
