@@ -81,7 +81,7 @@ def attribution(nav: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
 
 def yearly(nav: DataFrame, key: str = "run") -> DataFrame:
     rows = nav_returns(nav, key).where("r is not null")
-    return rows.groupBy(key, F.year("d").alias("year")).agg((F.product(1 + F.col("r")) - 1).alias("total_return"), F.count(F.lit(1)).alias("days"))
+    return rows.groupBy(key, F.year("d").alias("year")).agg(compounded(F.col("r")).alias("total_return"), F.count(F.lit(1)).alias("days"))
 
 
 def without_best_days(nav: DataFrame, n: int, key: str = "run") -> DataFrame:
