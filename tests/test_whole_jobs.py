@@ -186,3 +186,8 @@ def test_benchmark_below_zero(spark, tmp_path):
 def test_years_below_zero(spark, tmp_path):
     ours, theirs = below_zero("ana_08_yearly", spark, tmp_path)
     assert ours == theirs and sum("nan" in r for r in ours) == 2
+
+
+def test_without_best_days_below_zero(spark, tmp_path):
+    ours, theirs = below_zero("ana_08_without_best_days", spark, tmp_path)
+    assert ours == theirs and sum("nan" in r for r in ours) == 2

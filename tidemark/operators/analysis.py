@@ -87,7 +87,7 @@ def yearly(nav: DataFrame, key: str = "run") -> DataFrame:
 def without_best_days(nav: DataFrame, n: int, key: str = "run") -> DataFrame:
     best = F.row_number().over(W.partitionBy(key).orderBy(F.desc("r"), "d"))
     rows = nav_returns(nav, key).where("r is not null").withColumn("best", best)
-    return rows.groupBy(key).agg((F.product(F.when(F.col("best") > n, 1 + F.col("r")).otherwise(1.0)) - 1).alias("total_return"))
+    return rows.groupBy(key).agg(compounded(F.when(F.col("best") > n, F.col("r")).otherwise(0.0)).alias("total_return"))
 
 
 def strategy_pnl(nav: DataFrame, tolerance: float = 1e-6) -> DataFrame:
