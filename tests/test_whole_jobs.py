@@ -191,3 +191,15 @@ def test_years_below_zero(spark, tmp_path):
 def test_without_best_days_below_zero(spark, tmp_path):
     ours, theirs = below_zero("ana_08_without_best_days", spark, tmp_path)
     assert ours == theirs and sum("nan" in r for r in ours) == 2
+
+
+def test_equal_intervals_follow_by_id(spark, tmp_path):
+    """Equal intervals of one key in any order of rows: the last id alone sees the next interval."""
+    ids = [350 * k + 50 for k in (5, 2, 4, 1, 3)]  # one instrument and bucket, closed intervals
+    pd.DataFrame({"c_custkey": ids, "c_mktsegment": "x"}).to_parquet(tmp_path / "customer.parquet")
+    when = [(1, 9) if c != max(ids) else (5, 12) for c in ids]
+    rows = [(c, dt.datetime(1996, 1, day)) for c, days in zip(ids, when, strict=True) for day in days]
+    pd.DataFrame(rows, columns=["o_custkey", "o_orderdate"]).to_parquet(tmp_path / "orders.parquet", coerce_timestamps="us")
+    got = catalog.QUERIES["dq_05_overlaps"](spark, str(tmp_path)).collect()
+    first = dt.date(1996, 1, 1)
+    assert sorted((r.id, r.next_start) for r in got) == [(400, first), (750, first), (1100, first), (1450, dt.date(1996, 1, 5))]

@@ -54,9 +54,12 @@ def codes_to_intervals(daily: DataFrame, key: str, day: str, code: str) -> DataF
     return run.groupBy(key, code, "__run").agg(F.min(day).alias("effective_from"), F.max(day).alias("effective_to")).drop("__run")
 
 
-def overlaps(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Intervals whose successor begins before they end (ends count; an open interval must be the last)."""
-    w = W.partitionBy(*keys).orderBy(start, F.col(end).asc_nulls_last())
+def overlaps(intervals: DataFrame, keys: list[str], start: str, end: str, tie: str | None = None) -> DataFrame:
+    """Intervals whose successor begins before they end (ends count; an open interval must be the last).
+
+    Equal intervals follow each other by ``tie``; without it, which of them comes last is open.
+    """
+    w = W.partitionBy(*keys).orderBy(start, F.col(end).asc_nulls_last(), *([tie] if tie else []))
     following = F.lead(start).over(w)
     return intervals.withColumn("next_start", following).where(F.col("next_start").isNotNull() & (F.col(end).isNull() | (F.col("next_start") <= F.col(end))))
 

@@ -252,4 +252,4 @@ def ana_07(spark, sf_dir):
 @query("dq_05_overlaps", with_views("""SELECT id, next_start FROM (SELECT id, start, "end", lead(start) OVER (PARTITION BY i, industry, id % 50 ORDER BY start, "end" NULLS LAST) AS next_start FROM membership) WHERE next_start IS NOT NULL AND ("end" IS NULL OR next_start <= "end")""", MEMBERSHIP))
 def dq_05(spark, sf_dir):
     rows = membership(spark, sf_dir).withColumn("bucket", F.col("id") % 50)
-    return iv.overlaps(rows, ["i", "industry", "bucket"], "start", "end").select("id", "next_start")
+    return iv.overlaps(rows, ["i", "industry", "bucket"], "start", "end", tie="id").select("id", "next_start")
