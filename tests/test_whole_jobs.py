@@ -203,3 +203,42 @@ def test_equal_intervals_follow_by_id(spark, tmp_path):
     got = catalog.QUERIES["dq_05_overlaps"](spark, str(tmp_path)).collect()
     first = dt.date(1996, 1, 1)
     assert sorted((r.id, r.next_start) for r in got) == [(400, first), (750, first), (1100, first), (1450, dt.date(1996, 1, 5))]
+
+
+def test_an_account_beyond_doubles_is_played_and_reconciled(spark):
+    """A holding that doubles on each of 1,100 sessions, and pays a dividend on the last, leaves the range of doubles."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import backtest as bt
+
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(1100)]
+    bars = spark.createDataFrame([(7, d, 10.0, 10.0, 10.0, 10.0, 1e9, 1e10, False) for d in days], "i long, d date, open double, high double, low double, close double, volume double, amount double, paused boolean")
+    targets = spark.createDataFrame([(1, days[0], 7, 0.5)], "run long, d date, i long, weight double")
+    events = [(k, 7, "split", d, 0.0, 2.0, True) for k, d in enumerate(days[2:])] + [(9999, 7, "cash_dividend", days[-1], 1.0, 0.0, True)]
+    actions = spark.createDataFrame(events, "id long, i long, kind string, ex date, cash double, share double, active boolean")
+    rows = bt.run_backtests(bars, targets, actions, spark.createDataFrame([(7, None)], "i long, delisted date"), {1: bt.Rules()}).cache()
+    held = bt.ledger(rows, "position").orderBy("d").collect()
+    assert len(held) == 1099 and held[0].wide is None and held[-1].quantity == float("inf")
+    n = held[0].quantity
+    assert held[-1].wide[0].m * 2.0 ** (held[-1].wide[0].e - 1098) == n and held[1000].quantity == n * 2.0**1000
+    assert bt.reconcile(rows, {1: bt.Rules()}).count() == 0
+    off = rows.withColumn("wide", F.when((F.col("ledger") == "position") & (F.col("d") == F.lit(days[-1])), F.transform("wide", lambda x: x.withField("m", x["m"] * 0.999))).otherwise(F.col("wide")))
+    assert [tuple(r) for r in bt.reconcile(off, {1: bt.Rules()}).select("d", "wrong").collect()] == [(days[-1], ["shares", "value"])]
+
+
+def test_wide_numbers_follow_doubles_and_fractions():
+    from fractions import Fraction
+
+    from tidemark.operators import wide
+
+    exact = lambda x: Fraction(x) if not isinstance(x, wide.Wide) else Fraction(x.m) * Fraction(2) ** x.e
+    near = lambda a, b: abs(exact(a) - b) <= abs(b) * Fraction(1, 2**50)
+    numbers = [3.5, -0.25, 10**320, -(7**400), wide.Wide(0.75, 3000), wide.Wide(-0.5, 1500), wide.Wide(0.6, -2000), 1e308]
+    for a in numbers:
+        for b in numbers:
+            assert near(wide.times(a, b), exact(a) * exact(b)) and near(wide.over(wide.number(a), wide.number(b)), exact(a) / exact(b))
+            if exact(a) + exact(b):
+                assert near(wide.plus(a, b), exact(a) + exact(b))
+            assert (wide.number(a) < wide.number(b)) == (exact(wide.number(a)) < exact(wide.number(b)))
+    assert wide.times(3, 0.1) == 3 * 0.1 and wide.plus(0.1, 0.2) == 0.1 + 0.2 and wide.total([0.1] * 10) == sum([0.1] * 10)
+    assert wide.ratio(10**400, 3, 10**399) == 30 and wide.share(10**400, 0.5).bit_length() == (5 * 10**399).bit_length()

@@ -21,6 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import date
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 from typing import Any
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import AccountingError, BacktestError
 from tidemark.operators.execution import Impact, costs_of, fees, fill_order
+from tidemark.operators.wide import Wide, number, over, parts, plus, ratio, share, times, total
 from tidemark.workers import ship_package
 
 LEDGER = "run long, sleeve string, ledger string, d date, i long, a double, b double, c double, note string"
+#: Beyond the range of doubles a, b or c is infinite (or 0); then ``wide`` has all three as m * 2**e, else it is null.
+WIDE = "wide array<struct<m: double, e: int>>"
 #: Meaning of the columns a, b, c of each ledger.
 LEDGERS = {
     "nav": ("nav", "cash", "market_value"),
@@ -83,6 +87,7 @@ class Sleeve:
         self.lots: dict[Any, list[list]] = defaultdict(list)  # [sellable from, acquired, quantity]
         self.entitled: dict[Any, int] = {}
         self.claims: dict[Any, tuple[Any, float]] = {}  # event -> (instrument, cash)
+        self.owed_sum: Any = 0
 
     def quantity(self, i) -> int:
         return sum(x[2] for x in self.lots[i]) if i in self.lots else 0
@@ -91,10 +96,10 @@ class Sleeve:
         return sum(x[2] for x in self.lots[i] if x[0] <= day) if i in self.lots else 0
 
     def tell(self, ledger: str, d, i=None, a=0.0, b=0.0, c=0.0, note="") -> None:
-        self.rows.append((self.name, ledger, d, i, float(a), float(b), float(c), note))
+        self.rows.append((self.name, ledger, d, i, number(a), number(b), number(c), note))
 
     def pay(self, d, amount: float, note: str) -> None:
-        self.cash += amount
+        self.cash = plus(self.cash, amount)
         self.tell("cashflow", d, None, amount, self.cash, note=note)
 
     def add(self, i, quantity: int, day: int, delay: int) -> None:
@@ -116,14 +121,29 @@ class Sleeve:
         lots = [x for x in self.lots[i] if x[2]]
         held, left = sum(x[2] for x in lots), delta
         for k, lot in enumerate(lots):
-            part = left if k == len(lots) - 1 else int(round(delta * lot[2] / held))
+            part = left if k == len(lots) - 1 else ratio(delta, lot[2], held)
             part = max(part, -lot[2])
             lot[2] += part
             left -= part
         self.lots[i] = [x for x in lots if x[2]]
 
+    def claim(self, event, i, amount) -> None:
+        same = isinstance(self.owed_sum, Wide) and event not in self.claims
+        self.claims[event] = (i, amount)
+        self.owed_sum = plus(self.owed_sum, amount) if same else None
+
+    def settle(self, event) -> tuple[Any, float]:
+        self.owed_sum = None
+        return self.claims.pop(event)
+
+    def owed(self):
+        """The sum of all claims, counted again when they have changed."""
+        if self.owed_sum is None:
+            self.owed_sum = total(x for _, x in self.claims.values())
+        return self.owed_sum
+
     def worth(self, prices: Mapping) -> float:
-        return self.cash + sum(self.quantity(i) * prices.get(i, 0.0) for i in sorted(self.lots, key=str)) + sum(x for _, x in self.claims.values())
+        return plus(plus(self.cash, total(times(self.quantity(i), prices.get(i, 0.0)) for i in sorted(self.lots, key=str))), self.owed())
 
 
 class Session:
@@ -146,7 +166,7 @@ class Session:
                 if held or weights.get(i):
                     sleeve.tell("residual", self.d, i, held, note="no_price")
                 continue
-            goal = math.floor(worth * weights.get(i, 0.0) / price / lot) * lot
+            goal = math.floor(over(over(times(worth, weights.get(i, 0.0)), price), lot)) * lot
             need = goal - held
             if need < 0:
                 can = min(-need, sleeve.sellable(i, self.day))
@@ -154,14 +174,14 @@ class Session:
                 if can < -need:
                     sleeve.tell("residual", self.d, i, need + can, note="not_sellable")
                 need = -can
-                spare += can * price
+                spare = plus(spare, times(can, price))
             if need:
                 out[i] = need
         for i in sorted((i for i, q in out.items() if q > 0), key=str):  # sells fund buys
-            can = min(out[i], max(0, math.floor(spare / self.price[i] / lot)) * lot)
+            can = min(out[i], max(0, math.floor(over(over(spare, self.price[i]), lot))) * lot)
             if can < out[i]:
                 sleeve.tell("residual", self.d, i, out[i] - can, note="no_cash")
-            spare -= can * self.price[i]
+            spare = plus(spare, -times(can, self.price[i]))
             out[i] = can
         return {i: q for i, q in out.items() if q}
 
@@ -181,9 +201,10 @@ class Session:
         while met:
             change: dict[str, float] = defaultdict(float)
             for i, buyer, seller, n in met:
-                change[buyer.name] -= n * self.price[i]
-                change[seller.name] += n * self.price[i]
-            poor = {s.name for s in sleeves if s.cash + change[s.name] < -1e-7}
+                value = times(n, self.price[i])
+                change[buyer.name] = plus(change[buyer.name], -value)
+                change[seller.name] = plus(change[seller.name], value)
+            poor = {s.name for s in sleeves if plus(s.cash, change[s.name]) < -1e-7}
             if not poor:
                 break
             met = [x for x in met if x[1].name not in poor]
@@ -192,8 +213,8 @@ class Session:
             buyer.add(i, n, self.day, self.rules.sell_delay)
             buyer.tell("cross", self.d, i, n, self.price[i], note=f"from {seller.name}")
             seller.tell("cross", self.d, i, -n, self.price[i], note=f"to {buyer.name}")
-            seller.pay(self.d, n * self.price[i], "cross")
-            buyer.pay(self.d, -n * self.price[i], "cross")
+            seller.pay(self.d, times(n, self.price[i]), "cross")
+            buyer.pay(self.d, -times(n, self.price[i]), "cross")
             wanted[buyer.name][i] -= n
             wanted[seller.name][i] += n
 
@@ -260,7 +281,7 @@ def _events(d, day: int, events: Sequence[tuple], sleeves: list[Sleeve], marks:
         if when == "pay":
             for s in sleeves:
                 if event["id"] in s.claims:
-                    i, amount = s.claims.pop(event["id"])
+                    i, amount = s.settle(event["id"])
                     s.pay(d, amount, f"dividend {i}")
     for when, event in events:
         if when != "ex":
@@ -268,16 +289,17 @@ def _events(d, day: int, events: Sequence[tuple], sleeves: list[Sleeve], marks:
         i, kind = event["i"], event["kind"]
         by = 1 + event["share"] if kind == "bonus" else event["share"]
         if kind in SHARES and i in marks and by > 0:
-            marks[i] /= by
+            marks[i] = over(marks[i], by)
         for s in sleeves:
-            n, before = s.entitled.pop(event["id"], 0), s.quantity(i)
+            n = s.entitled.pop(event["id"], 0)
             if not n:
                 continue
+            before = s.quantity(i)
             if kind == "cash_dividend" and event["cash"]:
-                s.claims[event["id"]] = (i, n * event["cash"])
-                s.tell("action", d, i, before, before, n * event["cash"], kind)
+                s.claim(event["id"], i, times(n, event["cash"]))
+                s.tell("action", d, i, before, before, times(n, event["cash"]), kind)
             elif kind in SHARES and by > 0:
-                delta = int(round(n * (by - 1)))
+                delta = share(n, by - 1)
                 if delta >= 0 and not before:
                     s.add(i, delta, day, 0)
                 else:
@@ -320,16 +342,15 @@ class Account:
             session.run(sleeves, self.pending)
             traded, self.pending = session.traded, {}
         marks |= {i: b["close"] for i, b in today.items() if b["close"] is not None}
-        for when, event in events:
-            if when == "record":
-                for s in sleeves:
-                    if n := s.quantity(event["i"]):
-                        s.entitled[event["id"]] = n
+        recorded = [event for when, event in events if when == "record"]
+        for s in sleeves:
+            owned = {i: s.quantity(i) for i in {event["i"] for event in recorded}}
+            s.entitled.update((event["id"], owned[event["i"]]) for event in recorded if owned[event["i"]])
         for s in sleeves:
             for i in sorted(s.lots, key=str):
                 n = s.quantity(i)
                 if n and i in self.delisted and d >= self.delisted[i] and rules.delisting != "carry":
-                    back = n * marks.get(i, 0.0) * (rules.recovery if rules.delisting == "cash" else 0.0)
+                    back = times(times(n, marks.get(i, 0.0)), rules.recovery if rules.delisting == "cash" else 0.0)
                     s.lots[i] = []
                     s.tell("action", d, i, n, 0, back, "delisted")
                     if back:
@@ -337,11 +358,12 @@ class Account:
             value = 0.0
             for i in sorted(s.lots, key=str):
                 if n := s.quantity(i):
-                    s.tell("position", d, i, n, marks[i], n * marks[i])
-                    value += n * marks[i]
+                    held = times(n, marks[i])
+                    s.tell("position", d, i, n, marks[i], held)
+                    value = plus(value, held)
             nav = s.worth(marks)
             s.tell("nav", d, None, nav, s.cash, value)
-        self.rows.append(("", "turnover", d, None, float(traded), float(sum(s.worth(marks) for s in sleeves)), 0.0, ""))
+        self.rows.append(("", "turnover", d, None, float(traded), number(total(s.worth(marks) for s in sleeves)), 0.0, ""))
         if rules.timing != "same_close":
             self.pending = targets
         self.day += 1
@@ -403,15 +425,18 @@ def run_backtests(bars: DataFrame, targets: DataFrame, actions: DataFrame, instr
     def fold(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("run", pa.int64()), ("sleeve", pa.string()), ("ledger", pa.string()), ("d", pa.date32()), ("i", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64()), ("note", pa.string())])
+        schema = pa.schema([("run", pa.int64()), ("sleeve", pa.string()), ("ledger", pa.string()), ("d", pa.date32()), ("i", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64()), ("note", pa.string()), ("wide", pa.list_(pa.struct([("m", pa.float64()), ("e", pa.int32())])))])
         lines = (line for b in batches for line in zip(*[x.to_pylist() for x in b.columns], strict=True))
         for run, own in groupby(lines, key=itemgetter(0)):
             for told in _played(own, runs[run]):
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([[run] * len(told), *zip(*told, strict=True)], schema, strict=True)], schema=schema)
+                columns = [[run] * len(told), *zip(*told, strict=True)]
+                columns[5:8] = [list(map(float, x)) for x in columns[5:8]]
+                wide = [[dict(zip("me", parts(x), strict=True)) for x in r[4:7]] if any(isinstance(x, Wide) for x in r[4:7]) else None for r in told]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([*columns, wide], schema, strict=True)], schema=schema)
 
     ship_package(bars.sparkSession)
     order = ["run", "d", "kind", "i", "who"]  # instruments first, as they have no day
-    return rows.repartition("run").sortWithinPartitions(*order).mapInArrow(fold, LEDGER)
+    return rows.repartition("run").sortWithinPartitions(*order).mapInArrow(fold, f"{LEDGER}, {WIDE}")
 
 
 #: Columns of the panel that hold a bar, in order.
@@ -450,28 +475,52 @@ def _played(lines: Iterable[tuple], rules: Rules, most: int = 10_000) -> Iterato
 
 
 def ledger(rows: DataFrame, name: str) -> DataFrame:
-    """One ledger with its own column names."""
-    return rows.where(F.col("ledger") == name).select("run", "sleeve", "d", "i", *[F.col(c).alias(n) for c, n in zip("abc", LEDGERS[name], strict=True) if n], "note")
+    """One ledger with its own column names; ``wide`` too if there is one."""
+    return rows.where(F.col("ledger") == name).select("run", "sleeve", "d", "i", *[F.col(c).alias(n) for c, n in zip("abc", LEDGERS[name], strict=True) if n], "note", *[c for c in rows.columns if c == "wide"])
 
 
 def account(rows: DataFrame) -> DataFrame:
-    """(run, d, nav, cash, market_value): the sum over sleeves."""
+    """(run, d, nav, cash, market_value): the sum over sleeves, infinite beyond the range of doubles."""
     return ledger(rows, "nav").groupBy("run", "d").agg(*[F.sum(c).alias(c) for c in ("nav", "cash", "market_value")])
 
 
 def reconcile(rows: DataFrame, runs: dict[int, Rules], tolerance: float = 1e-4) -> DataFrame:
-    """(run, sleeve, d) where cash differs from the start plus all flows, positions do not add up to the market value,
-    or what a sleeve holds differs from what it bought, crossed and was given."""
-    keys = ["run", "sleeve", "d"]
-    flows = ledger(rows, "cashflow").groupBy(*keys).agg(F.sum("amount").alias("flow"))
-    held = ledger(rows, "position").groupBy(*keys).agg(F.sum("value").alias("held"), F.sum("quantity").alias("shares"))
-    moved = ledger(rows, "fill").select(*keys, "quantity").unionByName(ledger(rows, "cross").select(*keys, "quantity"))
-    moved = moved.unionByName(ledger(rows, "action").select(*keys, (F.col("quantity_after") - F.col("quantity_before")).alias("quantity")))
-    start = F.coalesce(*[F.when((F.col("run") == k) & (F.col("sleeve") == s), F.lit(r.cash * share)) for k, r in runs.items() for s, share in r.sleeves.items()])
-    line = W.partitionBy("run", "sleeve").orderBy("d").rowsBetween(W.unboundedPreceding, 0)
-    n = ledger(rows, "nav").join(flows, keys, "left").join(held, keys, "left").join(moved.groupBy(*keys).agg(F.sum("quantity").alias("moved")), keys, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    n = n.withColumns({"expected": start + F.sum(zero("flow")).over(line), "owned": F.sum(zero("moved")).over(line)})
-    apart = lambda a, b: F.abs(a - b) > F.lit(tolerance) + 1e-9 * F.abs(a)  # noqa: E731  absolute, or relative for huge sums
-    wrong = apart(F.col("cash"), F.col("expected")) | apart(F.col("market_value"), zero("held")) | apart(F.col("owned"), zero("shares"))
-    return n.where(wrong).select("run", "sleeve", "d", "cash", "expected", "owned", "shares")
+    """(run, sleeve, d, wrong): sessions on which, from the session before (or the start), ``cash`` does not follow from
+    the flows, the market ``value`` is not that of the positions, or the ``shares`` of an instrument do not follow from
+    what was bought, crossed and given.
+
+    Each is a sum that must be 0 but for ``tolerance``, or a billionth of its largest part. It is summed by powers of two,
+    of which numbers beyond the range of doubles have one.
+    """
+    keys = ["run", "sleeve"]
+    if "wide" not in rows.columns:
+        rows = rows.withColumn("wide", F.lit(None).cast(WIDE.split(" ", 1)[1]))
+
+    def of(name: str, k: int):
+        """Column ``k`` of a row as (m, e); large doubles are scaled, so that their sums stay finite."""
+        x = F.col("abc"[k])
+        plain = F.when(F.abs(x) > 1e300, F.struct((x * 2.0**-64).alias("m"), F.lit(64).alias("e"))).otherwise(F.struct(x.alias("m"), F.lit(0).alias("e")))
+        return F.coalesce(F.get("wide", F.lit(k)), plain).alias(name)
+
+    def terms(df: DataFrame, what: str, sign: int, value: str = "x") -> DataFrame:
+        i = F.col("i") if what == "shares" else F.lit(None).cast("long")
+        return df.select(*keys, "d", F.lit(what).alias("what"), i.alias("i"), (F.lit(float(sign)) * F.col(f"{value}.m")).alias("m"), F.col(f"{value}.e").alias("e"))
+
+    only = lambda name, *columns: rows.where(F.col("ledger") == name).select(*keys, "d", "i", *columns)
+    line = W.partitionBy(*keys).orderBy("d")
+    start = F.coalesce(*[F.when((F.col("run") == k) & (F.col("sleeve") == s), F.lit(float(r.cash * share))) for k, r in runs.items() for s, share in r.sleeves.items()])
+    nav = only("nav", of("cash", 1), of("value", 2)).withColumns({"next": F.lead("d").over(line), "before": F.coalesce(F.lag("cash").over(line), F.struct(start.alias("m"), F.lit(0).alias("e")))})
+    held = only("position", of("shares", 0), of("value", 2))
+    later = held.join(nav.select(*keys, "d", "next"), [*keys, "d"]).where("next is not null").drop("d").withColumnRenamed("next", "d")
+    action = only("action", of("before", 0), of("after", 1))
+    sums = [terms(nav, "cash", 1, "before"), terms(only("cashflow", of("x", 0)), "cash", 1), terms(nav, "cash", -1, "cash")]
+    sums += [terms(held, "value", 1, "value"), terms(nav, "value", -1, "value")]
+    sums += [terms(later, "shares", 1, "shares"), terms(held, "shares", -1, "shares"), terms(action, "shares", 1, "after"), terms(action, "shares", -1, "before")]
+    sums += [terms(only(name, of("x", 0)), "shares", 1) for name in ("fill", "cross")]
+    each = [*keys, "d", "what", "i"]
+    summed = reduce(DataFrame.unionByName, sums).groupBy(*each, "e").agg(F.sum("m").alias("m"), F.max(F.abs("m")).alias("most"))
+    summed = summed.withColumn("top", F.greatest(F.max("e").over(W.partitionBy(*each)), F.lit(0)))
+    down = F.pow(F.lit(2.0), F.col("e") - F.col("top"))
+    found = summed.groupBy(*each, "top").agg(F.abs(F.sum(F.col("m") * down)).alias("apart"), F.max(F.col("most") * down).alias("most"))
+    wrong = found.where(F.col("apart") > F.lit(tolerance) * F.pow(F.lit(2.0), -F.col("top")) + 1e-9 * F.col("most"))
+    return wrong.groupBy(*keys, "d").agg(F.sort_array(F.collect_set("what")).alias("wrong"))
