@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tidemark.llm")
@@ -17,7 +18,7 @@ import corpus_pipeline  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from tidemark.llm import binrec, bpe, chat, dedup, langid, mixing, quality, queries, secret_scan, ssjoin, toxicity  # noqa: E402
+from tidemark.llm import binrec, bpe, chat, common, dedup, langid, mixing, quality, queries, secret_scan, ssjoin, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 WORDS = "[^\x20\x09-\x0d]+"
@@ -491,6 +492,18 @@ def test_long_texts_are_read_whole(spark):
     assert tag == "aa"
 
 
+def test_worker_memory_is_bounded(spark):
+    """Long texts reach workers in batches of bounded bytes, all rows once."""
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 900).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    got = common.map_batches(docs, sizes, docs.selectExpr("doc_id n", "doc_id size").schema).collect()
+    assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 5_000_000
+
+
 def test_pipeline_edges(spark, edge, nothing, tmp_path):
     """Nulls, empty and very long texts, copies, repeated rows and clashing columns end to end; and an empty table."""
     edge.write.parquet(f"{tmp_path}/some/documents.parquet")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, map_batches, ship_package, text_slices
+from tidemark.llm.common import cut, map_arrow, map_batches, ship_package, text_slices
 
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
 #: Python counts these as white space, Unicode and the library do not.
@@ -345,4 +345,4 @@ def bpe_report(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return base.mapInArrow(run, T.StructType([base.schema[0], *REPORT.fields]))
+    return map_arrow(base, run, T.StructType([base.schema[0], *REPORT.fields]))

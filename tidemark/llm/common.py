@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from tidemark.workers import ship_package  # noqa: F401  (the operators take it
 
 #: White space of the contracts: space and \t \n \v \f \r.
 SPACE = " \\t-\\r"
+#: Bytes of an Arrow batch; a task holds a few of them. Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -73,11 +78,51 @@ def text_slices(batches, column: int, rows: int = 256, size: int = 1 << 21):
             a = z
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow's pool and the C library keep of freed memory, where they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for Arrow batches, whose worker gives back freed memory every ``BATCH_BYTES`` of input and at the end.
+
+    Workers live on between tasks and stages; what the allocators keep of one stage's peak would add to the next one's.
+    """
+
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for b in batches:
+            seen += b.nbytes
+            yield b
+            del b
+            if seen >= BATCH_BYTES:
+                give_back()
+                seen = 0
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(fed(batches))
+        give_back()
+
+    return whole
+
+
+def map_arrow(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in bounded memory: batches of about ``BATCH_BYTES``, however long the texts are
+    (unless the session says otherwise), and workers that give back what they freed."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(lean(run), schema)
+
+
 def map_batches(df: DataFrame, run, schema: T.StructType) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` for columns of any names; ``run`` goes by positions, not by names."""
+    """``map_arrow(df, run, schema)`` for columns of any names; ``run`` goes by positions, not by names."""
     names = [f.name for f in schema]
     plain = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(schema)])
-    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, plain).toDF(*names)
+    return map_arrow(df.toDF(*[f"c{k}" for k in range(len(df.columns))]), run, plain).toDF(*names)
 
 
 def hash_sample(rows: DataFrame, k: int, *keys: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hash_sample, map_batches, ship_package
+from tidemark.llm.common import hash_sample, map_batches, ship_package, text_slices
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -138,7 +138,7 @@ def predict_languages(rows: DataFrame, model: Model, text_col: str = "text", nam
     sent = rows.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, at):
             found = sent.value.predict(b.column(at).to_pylist())
             made = [pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.bool_()), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [f"c{k}" for k in range(b.num_columns + 3)])
@@ -162,7 +162,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", model: Model | None
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches, at):
             _, _, rejected = sent.value.predict(b.column(at).to_pylist())
             yield b.filter(pa.array([not x for x in rejected], pa.bool_()))
 

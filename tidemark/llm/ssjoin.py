@@ -45,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, join_hot, n_partitions, ship_package, text_slices
+from tidemark.llm.common import cut, join_hot, map_arrow, n_partitions, ship_package, text_slices
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -231,7 +231,7 @@ def set_facts(base: DataFrame, n: int) -> DataFrame:
             sketches = pa.array([sketch(s).tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), digests, sketches], ["id", "n_shingles", "digest", "sketch"])
 
-    return base.mapInArrow(run, T.StructType([base.schema[0], *T.StructType.fromDDL("n_shingles long, digest binary, sketch binary")]))
+    return map_arrow(base, run, T.StructType([base.schema[0], *T.StructType.fromDDL("n_shingles long, digest binary, sketch binary")]))
 
 
 #: Low bits of a key that tell batches apart; the rest is the signature.
@@ -276,7 +276,7 @@ def signed(base: DataFrame, n: int, percent: int, skip: dict[bytes, int], most:
         if held:
             yield combined(np.concatenate(ids), np.concatenate(sigs))
 
-    return base.mapInArrow(run, "key long, id long")
+    return map_arrow(base, run, "key long, id long")
 
 
 def _among(rows: DataFrame, wanted: DataFrame, most_mb: float = 4.0) -> DataFrame:
@@ -295,7 +295,7 @@ def with_sets(wanted: DataFrame, base: DataFrame, n: int) -> DataFrame:
             found = shingle_sets(b.column(len(names) + 1).to_pylist(), n)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([s.tobytes() for s in found], pa.binary())], ["id", *names, "elements"])
 
-    return rows.mapInArrow(sets, T.StructType([*rows.schema.fields[:-1], T.StructField("elements", T.BinaryType())]))
+    return map_arrow(rows, sets, T.StructType([*rows.schema.fields[:-1], T.StructField("elements", T.BinaryType())]))
 
 
 def at_pivots(pairs: DataFrame, tell: Callable[[DataFrame], DataFrame], payload: str, test: Callable[[np.ndarray, np.ndarray], bool], kind: str, share: int = 64) -> DataFrame:
@@ -324,7 +324,7 @@ def at_pivots(pairs: DataFrame, tell: Callable[[DataFrame], DataFrame], payload:
                     right.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(check, "a long, b long")
+    return map_arrow(dealt, check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -438,12 +438,12 @@ def between_groups(members: DataFrame, facts: DataFrame, base: DataFrame, n: int
                 yield tell(*found)
 
     told = blocks(members, most).join(facts.select("id", "sketch"), "id").select("block", "id", "group", "sketch")
-    maybe = cut(dealt(told).mapInArrow(near, pair).distinct())
+    maybe = cut(map_arrow(dealt(told), near, pair).distinct())
     if maybe.isEmpty():
         return maybe
     clusters = components(maybe).withColumnRenamed("component", "sig")
     clusters = cut(clusters.join(members.select("id", "group", "weight").distinct(), "id").select("sig", "id", "group", "weight"))
-    return dealt(with_sets(cut(blocks(clusters, most)), base, n).select("block", "id", "group", "elements")).mapInArrow(check, pair)
+    return map_arrow(dealt(with_sets(cut(blocks(clusters, most)), base, n).select("block", "id", "group", "elements")), check, pair)
 
 
 def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, most: int = 2048) -> DataFrame:
